@@ -38,6 +38,35 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def skewed_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = 1_000_000,
+    salts: int = 64,
+) -> DataFrame:
+    """Equi join that repeats rows of ``small`` only for keys with over ``hot_rows`` rows in ``big``.
+
+    For a wide ``small`` side (file contents), where ``salted_join`` would repeat every row. There
+    are at most ``rows / hot_rows`` hot keys, so the extra table stays small.
+    """
+    hot = (
+        big.groupBy(*on)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select(*on, F.lit(salts).alias("_salts"))
+    )
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on]), F.col("_salts"))
+    left = big.join(hot, list(on), "left").withColumn(
+        "_salt", F.coalesce(spread, F.lit(0)).cast("int")
+    )
+    right = small.join(hot, list(on), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
