@@ -154,8 +154,8 @@ def repo_ref(url: Column) -> Column:
     name = F.regexp_replace(F.get(parts, 2), r"\.git$", "")
     valid = (
         F.lower(F.get(parts, 0)).isin("github.com", "www.github.com")
-        & owner.rlike(r"^[A-Za-z0-9_.-]+$")
-        & name.rlike(r"^[A-Za-z0-9_.-]+$")
+        & owner.rlike(r"^[A-Za-z0-9_.-]{1,100}$")
+        & name.rlike(r"^[A-Za-z0-9_.-]{1,100}$")
         & ~name.isin(".", "..")
     )
     key = F.lower(F.concat(F.lit("github.com/"), owner, F.lit("/"), name))

@@ -1 +1 @@
-
+from corpusloom.operators import extract as op
