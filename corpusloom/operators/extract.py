@@ -57,13 +57,17 @@ def blanked(text: Column, pattern: str) -> Column:
     return F.array_join(pairs, "")
 
 
+def _code_of(text: Column) -> Column:
+    families = _literal_family(F.col("language")).items()
+    plain = F.regexp_replace(text, "\r\n?", "\n")
+    return F.coalesce(*[F.when(cond, blanked(plain, LITERALS[name])) for name, cond in families])
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """Lines of parseable files: ``line_no``, ``raw`` and ``code`` (blanked), with bracket depths."""
     language = F.col("language")
     text = F.regexp_replace("text", "\r\n?", "\n")
-    code = F.coalesce(
-        *[F.when(cond, blanked(F.col("_text"), LITERALS[name])) for name, cond in _literal_family(language).items()]
-    )
+    code = _code_of(F.col("_text"))
     rows = (
         files.where(language.isin(fixed.PARSEABLE))
         .select(*FILE, "language", text.alias("_text"))
@@ -202,66 +206,76 @@ def python_imports(lines: DataFrame) -> DataFrame:
 # --- languages with brackets --------------------------------------------------------------------
 
 
-def _closed_at(lines: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Adds ``end_line``: the first line from the declaration on that closes its bracket level.
+def _declared(lines: DataFrame, declaration: Column, with_first: bool = False) -> DataFrame:
+    """Lines with a declaration (a struct with ``loose``) and the line that closes its bracket level.
 
-    A block declaration ends on a line with ``}`` or ``;`` at its end; an expression (``loose``) on
-    the first line that does not ask for more.
+    Every line becomes one row per bracket level it touches, so one sort per file and level answers
+    both "where does this level close next" and "where did this statement start". A block ends on a
+    line with ``}`` or ``;`` at its end; an expression (``loose``) on the first line that does not ask
+    for more. ``first`` is the first code line since the level's last close (annotations included).
     """
-    closers = lines.where("after <= before").select(
-        *FILE,
-        F.explode(F.sequence("after", "before")).alias("level"),
-        "line_no",
-        F.col("code").rlike(r"[};]\s*[),;]*\s*$").alias("strict"),
-        (~F.col("code").rlike(r"(=>|[=,|&+?:({\[.]|^)\s*$")).alias("any"),
-    )
-    marks = declarations.select(*FILE, "level", "line_no", F.struct(*[c for c in declarations.columns if c not in (*FILE, "level", "line_no")]).alias("d"))
-    both = marks.withColumns({"strict": F.lit(False), "any": F.lit(False), "o": F.lit(0)}).unionByName(
-        closers.withColumns({"d": F.lit(None).cast(marks.schema["d"].dataType), "o": F.lit(1)})
-    )
-    ahead = (
-        Window.partitionBy(*FILE, "level")
-        .orderBy("line_no", "o")
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    ends = both.withColumn("_s", F.min(F.when(F.col("strict"), F.col("line_no"))).over(ahead)).withColumn(
-        "_a", F.min(F.when(F.col("any"), F.col("line_no"))).over(ahead)
-    )
-    found = ends.where("o = 0").select(*FILE, "level", "line_no", "d.*", "_s", "_a")
-    end = F.when(F.col("loose"), F.coalesce("_a", "_s")).otherwise(F.col("_s"))
-    return found.withColumn("end_line", F.coalesce(end, F.col("line_no"))).drop("_s", "_a")
-
-
-def _with_owner(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (``level``) joined to the class whose body they are in: ``owner`` and ``owner_kind``."""
-    opened = classes.select(
+    code = F.col("code")
+    closes = F.col("after") <= F.col("before")
+    rows = lines.where(F.trim("code") != "").select(
         *FILE,
-        (F.col("level") + 1).alias("level"),
         "line_no",
-        F.struct("name", "end_line").alias("c"),
-    )
-    marks = members.select(*FILE, "level", "line_no", F.struct(*[c for c in members.columns if c not in (*FILE, "level", "line_no")]).alias("m"))
-    both = marks.withColumn("c", F.lit(None).cast(opened.schema["c"].dataType)).unionByName(
-        opened.withColumn("m", F.lit(None).cast(marks.schema["m"].dataType))
-    )
-    earlier = Window.partitionBy(*FILE, "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.withColumn("_c", F.last("c", ignorenulls=True).over(earlier)).where("m IS NOT NULL")
-    return carried.where("_c.end_line >= line_no").select(
-        *FILE, "level", "line_no", "m.*", F.col("_c.name").alias("owner")
-    )
-
-
-def _symbols(df: DataFrame, parent: Column, start: Column | None = None) -> DataFrame:
+        "before",
+        F.explode(F.sequence(F.least("before", "after"), F.greatest("before", "after"))).alias("level"),
+        declaration.alias("d"),
+        (closes & code.rlike(r"[};]\s*[),;]*\s*$")).alias("strict"),
+        (closes & ~code.rlike(r"(=>|[=,|&+?:({\[.])\s*$")).alias("any"),
+        code.rlike(r"^\s*[})]").alias("tail"),
+    )
+    by_line = Window.partitionBy(*FILE, "level").orderBy("line_no")
+    ahead = by_line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    line = F.col("line_no")
+    rows = rows.withColumn("_s", F.min(F.when(F.col("strict"), line)).over(ahead))
+    rows = rows.withColumn("_a", F.min(F.when(F.col("any"), line)).over(ahead))
+    at_level = F.col("before") == F.col("level")
+    if with_first:
+        earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
+        part = F.coalesce(F.sum(F.col("strict").cast("int")).over(earlier), F.lit(0))
+        rows = rows.withColumn("_part", part)
+        opening = F.when(at_level & ~F.col("tail"), line)
+        rows = rows.withColumn("first", F.min(opening).over(Window.partitionBy(*FILE, "level", "_part")))
+    else:
+        rows = rows.withColumn("first", line)
+    found = rows.where(at_level & F.col("d").isNotNull())
+    end = F.when(F.col("d.loose"), F.coalesce("_a", "_s")).otherwise(F.col("_s"))
+    return found.select(*FILE, "level", "line_no", "first", "d.*", F.coalesce(end, line).alias("end_line"))
+
+
+def _with_owner(found: DataFrame, is_type: Column) -> DataFrame:
+    """Adds ``owner``: the type whose body holds the declaration, one level further out."""
+    inner = [c for c in found.columns if c not in FILE]
+    row = F.struct(*inner)
+    itself = F.struct(F.col("level").alias("at"), row.alias("m"), F.lit(None).cast("struct<name:string,end_line:int>").alias("o"))
+    opener = F.struct(
+        (F.col("level") + 1).alias("at"),
+        F.when(F.lit(False), row).alias("m"),
+        F.struct("name", F.col("end_line").cast("int").alias("end_line")).alias("o"),
+    )
+    marks = found.select(*FILE, F.col("line_no").alias("_line"), F.inline(F.when(is_type, F.array(itself, opener)).otherwise(F.array(itself))))
+    earlier = Window.partitionBy(*FILE, "at").orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("_o", F.last("o", ignorenulls=True).over(earlier)).where("m IS NOT NULL")
+    return carried.select(*FILE, "m.*", F.when(F.col("_o.end_line") >= F.col("_line"), F.col("_o.name")).alias("owner"))
+
+
+def _symbols(df: DataFrame, parent: Column) -> DataFrame:
     return df.select(
         *FILE,
         "name",
         "kind",
-        (F.col("line_no") if start is None else start).alias("start_line"),
+        F.col("first").alias("start_line"),
         "end_line",
         parent.cast("string").alias("parent"),
     )
 
 
+def _form(test: Column, name: Column, kind: Column, loose: Column) -> Column:
+    return F.when(test, F.struct(name.alias("name"), kind.alias("kind"), loose.alias("loose")))
+
+
 _JS_HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 _JS_NAMED = {
     "function": _JS_HEAD + r"(?:async\s+)?function\b\s*\*?\s*([\w$]*)",
@@ -280,41 +294,22 @@ _JS_FIELD = rf"^\s*{_JS_MODIFIER}(#?[\w$]+)\s*[?!]?(?::[^=]+(?:=>[^=]+)?)?=\s*{_
 
 def js_symbols(lines: DataFrame) -> DataFrame:
     mine = lines.where(F.col("language").isin(JS_FAMILY))
-    code = F.col("code")
-    forms = [
-        F.when(
-            code.rlike(rx),
-            F.struct(
-                F.coalesce(F.nullif(F.regexp_extract(code, rx, 1), F.lit("")), F.lit("default")).alias("name"),
-                F.lit(kind).alias("kind"),
-                F.lit(kind == "type").alias("loose"),
-            ),
-        )
-        for kind, rx in _JS_NAMED.items()
-    ]
+    code, top, member = F.col("code"), F.col("before") == 0, F.col("before") == 1
+    forms = []
+    for kind, rx in _JS_NAMED.items():
+        name = F.coalesce(F.nullif(F.regexp_extract(code, rx, 1), F.lit("")), F.lit("default"))
+        forms.append(_form(top & code.rlike(rx), name, F.lit(kind), F.lit(kind == "type")))
     for value, kind in ((_JS_VALUE, "function"), (r"class\b", "class")):
-        forms.append(
-            F.when(
-                code.rlike(_JS_VARIABLE + value),
-                F.struct(F.regexp_extract(code, _JS_VARIABLE, 1).alias("name"), F.lit(kind).alias("kind"), F.lit(kind != "class").alias("loose")),
-            )
-        )
-    forms.append(
-        F.when(code.rlike(_JS_DEFAULT), F.struct(F.lit("default").alias("name"), F.lit("function").alias("kind"), F.lit(True).alias("loose")))
-    )
-    top = mine.where("before = 0").withColumn("d", F.coalesce(*forms)).where("d IS NOT NULL")
-    top = _closed_at(mine, top.select(*FILE, F.col("before").alias("level"), "line_no", "d.*"))
-    classes = top.where("kind = 'class'")
-    method = F.when(code.rlike(_JS_METHOD), F.struct(F.regexp_extract(code, _JS_METHOD, 1).alias("name"), F.lit(False).alias("loose")))
-    field = F.when(code.rlike(_JS_FIELD), F.struct(F.regexp_extract(code, _JS_FIELD, 1).alias("name"), F.lit(True).alias("loose")))
-    members = (
-        mine.where("before = 1")
-        .withColumn("d", F.coalesce(field, method))
-        .where("d IS NOT NULL AND d.name NOT IN ('if', 'for', 'while', 'switch', 'return', 'catch')")
-        .select(*FILE, F.col("before").alias("level"), "line_no", "d.*", F.lit("method").alias("kind"))
-    )
-    members = _with_owner(_closed_at(mine, members), classes)
-    return _symbols(top, F.lit(None)).unionByName(_symbols(members, F.col("owner")))
+        name = F.regexp_extract(code, _JS_VARIABLE, 1)
+        test = top & code.rlike(_JS_VARIABLE + value)
+        forms.append(_form(test, name, F.lit(kind), F.lit(kind != "class")))
+    forms.append(_form(top & code.rlike(_JS_DEFAULT), F.lit("default"), F.lit("function"), F.lit(True)))
+    for rx, loose in ((_JS_FIELD, True), (_JS_METHOD, False)):
+        name = F.regexp_extract(code, rx, 1)
+        test = member & code.rlike(rx) & ~name.isin("if", "for", "while", "switch", "return", "catch")
+        forms.append(_form(test, name, F.lit("method"), F.lit(loose)))
+    found = _with_owner(_declared(mine, F.coalesce(*forms)), F.col("kind") == "class")
+    return _symbols(found.where("level = 0 OR owner IS NOT NULL"), F.col("owner"))
 
 
 def js_imports(lines: DataFrame) -> DataFrame:
@@ -356,38 +351,28 @@ _JAVA_KINDS = {"class": "class", "interface": "interface", "enum": "enum", "reco
 def java_symbols(lines: DataFrame) -> DataFrame:
     mine = lines.where("language = 'java'")
     code = F.col("code")
-    # A declaration starts at its first annotation: the first code line after the level's last close.
-    shut = F.when((F.col("after") <= F.col("before")) & code.rlike(r"[};]\s*$"), 1).otherwise(0)
-    per_level = mine.where(F.trim("code") != "").withColumn("level", F.explode(F.sequence(F.least("after", "before"), F.greatest("after", "before"))))
-    earlier = Window.partitionBy(*FILE, "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    per_level = per_level.withColumn("_part", F.coalesce(F.sum(shut).over(earlier), F.lit(0)))
-    in_part = Window.partitionBy(*FILE, "level", "_part")
-    first = F.min(F.when((F.col("before") == F.col("level")) & ~code.rlike(r"^\s*[})]"), F.col("line_no"))).over(in_part)
-    rows = per_level.withColumn("first", first).where("before = level")
     kind = X.lookup(_JAVA_KINDS, F.regexp_extract(code, _JAVA_TYPE, 1))
-    types = rows.where(code.rlike(_JAVA_TYPE)).select(
-        *FILE, "level", "line_no", F.regexp_extract(code, _JAVA_TYPE, 2).alias("name"), kind.alias("kind"), "first", F.lit(False).alias("loose")
-    )
-    types = _closed_at(mine, types)
-    inner = _with_owner(types.where("level > 0"), types)
-    methods = rows.where((F.col("level") > 0) & code.rlike(_JAVA_METHOD) & ~code.rlike(_JAVA_TYPE)).select(
-        *FILE,
-        "level",
-        "line_no",
-        F.regexp_extract(code, _JAVA_METHOD, 2).alias("name"),
-        F.lit("method").alias("kind"),
-        F.trim(F.regexp_extract(code, _JAVA_METHOD, 1)).alias("returns"),
-        "first",
-        F.lit(False).alias("loose"),
-    )
-    methods = _with_owner(_closed_at(mine, methods), types).where(
-        "(returns <> '' AND returns NOT IN ('return', 'new', 'throw', 'else')) OR name = owner"
+    is_type = code.rlike(_JAVA_TYPE)
+    # The return type tells a method from a call; constructors have the name of their type instead.
+    returns = F.trim(F.regexp_extract(code, _JAVA_METHOD, 1))
+    declaration = F.when(
+        is_type,
+        F.struct(
+            F.regexp_extract(code, _JAVA_TYPE, 2).alias("name"), kind.alias("kind"), F.lit("").alias("returns"), F.lit(False).alias("loose")
+        ),
+    ).when(
+        (F.col("before") > 0) & code.rlike(_JAVA_METHOD),
+        F.struct(
+            F.regexp_extract(code, _JAVA_METHOD, 2).alias("name"), F.lit("method").alias("kind"), returns.alias("returns"), F.lit(False).alias("loose")
+        ),
     )
-    return (
-        _symbols(types.where("level = 0"), F.lit(None), F.col("first"))
-        .unionByName(_symbols(inner, F.col("owner"), F.col("first")))
-        .unionByName(_symbols(methods, F.col("owner"), F.col("first")))
+    found = _with_owner(_declared(mine, declaration, with_first=True), F.col("kind") != "method")
+    method = F.col("owner").isNotNull() & (
+        (F.col("name") == F.col("owner"))
+        | ((F.col("returns") != "") & ~F.col("returns").isin("return", "new", "throw", "else"))
     )
+    kept = (F.col("level") == 0) | F.when(F.col("kind") == "method", method).otherwise(F.col("owner").isNotNull())
+    return _symbols(found.where(kept), F.col("owner"))
 
 
 def java_imports(lines: DataFrame) -> DataFrame:
@@ -434,9 +419,7 @@ def go_symbols(lines: DataFrame) -> DataFrame:
         (F.col("before") == 1) & F.col("block").rlike(r"^type\s*\(") & code.rlike(grouped) & ~code.rlike(r"^type\b"),
         spec(grouped),
     )
-    found = mine.withColumn("d", F.coalesce(func, alone, inside)).where("d IS NOT NULL")
-    found = _closed_at(mine, found.select(*FILE, F.col("before").alias("level"), "line_no", "d.*"))
-    return _symbols(found, F.col("owner"))
+    return _symbols(_declared(mine, F.coalesce(func, alone, inside)), F.col("owner"))
 
 
 def go_imports(lines: DataFrame) -> DataFrame:
@@ -491,24 +474,25 @@ def imports_of(lines: DataFrame, extractors: dict[str, Extractor] | None = None)
     return out
 
 
-def packages_of(lines: DataFrame) -> DataFrame:
-    """Package name of Java and Go files."""
-    form = r"^\s*package\s+([\w.]+)"
-    rows = lines.where("language IN ('java', 'go') AND before = 0").where(F.col("code").rlike(form))
-    return rows.groupBy(*FILE).agg(F.min_by(F.regexp_extract("code", form, 1), "line_no").alias("package"))
+def file_state(files: DataFrame) -> DataFrame:
+    """``package`` and ``parse_errors`` (brackets do not balance) per parseable file; no shuffle."""
+    rows = files.where(F.col("language").isin(fixed.PARSEABLE)).select(*FILE, "language", _code_of(F.col("text")).alias("code"))
+    code = F.col("code")
+    opened = F.length(code) - F.length(F.translate(code, "([{", ""))
+    closed = F.length(code) - F.length(F.translate(code, ")]}", ""))
+    package = F.regexp_extract(code, r"(?m)^\s*package\s+([\w.]+)", 1)
+    named = F.col("language").isin("java", "go") & (package != "")
+    return rows.select(*FILE, F.when(named, package).alias("package"), (opened != closed).alias("parse_errors"))
 
 
-def file_facts(lines: DataFrame) -> DataFrame:
-    """One row per parsed file: sorted ``symbols``, ``package``, ``parse_errors`` (brackets unbalanced)."""
-    symbols = symbols_of(lines)
-    ordered = F.transform(
-        F.array_sort(
-            F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("_b"), "name", "kind", "end_line", "parent"))
-        ),
-        lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["parent"].alias("parent")),
+def file_facts(files: DataFrame) -> DataFrame:
+    """One row per parseable file: ``symbols`` in file order, ``package``, ``parse_errors``."""
+    symbols = symbols_of(source_lines(files))
+    in_order = F.array_sort(
+        F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("_b"), "name", "kind", "end_line", "parent"))
     )
-    listed = symbols.groupBy(*FILE).agg(ordered.alias("symbols"))
-    state = lines.groupBy(*FILE, "language").agg(
-        ((F.max_by("after", "line_no") != 0) | (F.min("after") < 0)).alias("parse_errors")
+    shape = F.transform(
+        in_order, lambda s: F.struct(*[s[c].alias(c) for c in ("name", "kind", "start_line", "end_line", "parent")])
     )
-    return state.join(listed, FILE, "left").join(packages_of(lines), FILE, "left")
+    listed = symbols.groupBy(*FILE).agg(shape.alias("symbols"))
+    return file_state(files).join(listed, FILE, "left")

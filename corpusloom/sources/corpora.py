@@ -279,7 +279,70 @@ _REFS_SQL = """(SELECT *, (o_orderkey * 7) % (o_custkey + 1) - ((o_orderkey * 7)
  JOIN (SELECT k AS t, slug AS tslug FROM code_files) f USING (t)"""
 
 
+_PYPROJECT = """
+[project]
+name = "x"
+dependencies = ["django>=4", "click", "unknown-<<k>>", "uvicorn[standard]"]
+[project.optional-dependencies]
+dev = ["pytest"]
+[project.scripts]
+serve<<k>> = "app:main"
+[tool.poetry.dependencies]
+fastapi = "^1"
+"""
+_REQUIREMENTS = """
+Flask==1
+numpy[extra]>=1
+# comment
+-r other.txt
+scikit_learn
+"""
+_GO_MOD = """
+module example.com/r<<k>>
+
+require (
+    gorm.io/gorm v1
+    github.com/gin-gonic/gin v1
+)
+"""
+_MAKEFILE = """
+build:
+    go
+.PHONY: x
+VAR:=1
+test-all: build
+"""
+_PACKAGE_JSON = """
+{"name": "p<<k>>", "dependencies": {"react": "^18", "left-pad-<<k>>": "1", "Express": "4"},
+ "devDependencies": {"jest": "1", "react": "2"}, "scripts": {"dev": "vite", "test": "jest -n <<k>>"}}
+"""
+_MANIFEST_NAME = """CASE k % 12 WHEN 0 THEN CASE WHEN k % 24 = 0 THEN 'package.json' ELSE 'web/package.json' END
+ WHEN 1 THEN 'pyproject.toml' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'lib/setup.py' WHEN 4 THEN 'go.mod'
+ WHEN 5 THEN 'jvm/pom.xml' WHEN 6 THEN 'build.gradle' WHEN 7 THEN 'Gemfile' WHEN 8 THEN 'composer.json'
+ WHEN 9 THEN 'Dockerfile' WHEN 10 THEN CASE WHEN k % 24 = 10 THEN '.github/workflows/ci.yml'
+ ELSE 'compose.yml' END ELSE 'Makefile' END"""
+_MANIFEST_TEXT = f"""CASE k % 12 WHEN 0 THEN {_template(_PACKAGE_JSON, k="CAST(k AS STRING)")}
+ WHEN 1 THEN {_template(_PYPROJECT, k="CAST(k AS STRING)")} WHEN 2 THEN {_template(_REQUIREMENTS)}
+ WHEN 3 THEN 'setup(install_requires=["celery>=5", "pandas ~=1", "torch"])'
+ WHEN 4 THEN {_template(_GO_MOD, k="CAST(k AS STRING)")} WHEN 5 THEN '<a>Spring-Boot-starter</a> JUnit'
+ WHEN 6 THEN 'implementation lombok quarkus' WHEN 7 THEN 'gem "rails"'
+ WHEN 8 THEN CASE WHEN k % 24 = 8 THEN '[laravel/framework]' ELSE '[]' END WHEN 11 THEN {_template(_MAKEFILE)} ELSE 'x' END"""
+
+
 CORPORA: dict[str, Corpus] = {
+    "manifest_files": Corpus(
+        "customer",
+        lambda t: t.customer,
+        [
+            {"k": "c_custkey"},
+            {
+                "k": "k",
+                "repo_id": "'repo' || CAST((k - k % 12) AS STRING)",
+                "path": _MANIFEST_NAME,
+                "text": _MANIFEST_TEXT,
+            },
+        ],
+    ),
     "doc_files": Corpus(
         "documents",
         lambda t: t.documents,
