@@ -1,6 +1,7 @@
 """Building blocks that keep a plan balanced when one key holds a large share of all rows.
 
 * ``salted_join`` splits the rows of a hot key over several tasks; the other side is repeated.
+* ``skewed_join`` is for a wide other side: adaptive execution splits the hot partitions instead.
 * ``top_k`` ranks with ``row_number() <= k``, which Spark limits per partition before the shuffle.
 * ``running_sum`` / ``previous_value`` give ordered results per key without putting a whole key
   into one task: rows are cut into ordered slices of even size, each slice is summed on its own,
@@ -39,32 +40,16 @@ def salted_join(
 
 
 def skewed_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = 1_000_000,
-    salts: int = 64,
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Equi join that repeats rows of ``small`` only for keys with over ``hot_rows`` rows in ``big``.
+    """Equi join of a possibly hot ``big`` side with a wide ``small`` side (unique keys).
 
-    For a wide ``small`` side (file contents), where ``salted_join`` would repeat every row. There
-    are at most ``rows / hot_rows`` hot keys, so the extra table stays small.
+    Repeating a wide side for salting would multiply its bytes, so hot keys are left to adaptive
+    execution: it splits an oversized shuffle partition of ``big`` and reads the matching partition
+    of ``small`` once per split. The result must not be grouped by the same keys right away (that
+    would forbid the split); callers here go on with projections or other keys.
     """
-    hot = (
-        big.groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*on, F.lit(salts).alias("_salts"))
-    )
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on]), F.col("_salts"))
-    left = big.join(hot, list(on), "left").withColumn(
-        "_salt", F.coalesce(spread, F.lit(0)).cast("int")
-    )
-    right = small.join(hot, list(on), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    )
-    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    return big.join(small, list(on), how)
 
 
 def top_k(
