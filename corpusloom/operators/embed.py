@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
+from corpusloom.scale import computed_once
 
 
 class EmbeddingProvider(Protocol):
@@ -92,13 +93,13 @@ def token_bucket(token: Column, dimensions: int) -> Column:
 def _sparse(texts: DataFrame, key: str, dimensions: int) -> DataFrame:
     """Bucket numbers and unit-length weights per text, as two arrays."""
     buckets = F.array_sort(F.transform(X.code_tokens(F.col("text")), lambda w: token_bucket(w, dimensions)))
-    rows = texts.select(key, buckets.alias("_b")).withColumn("_k", F.array_distinct("_b"))
+    rows = computed_once(texts.select(key, "text"), "_b", buckets).withColumn("_k", F.array_distinct("_b"))
     # In the sorted list, the distance between first positions is the number of repeats.
     rows = rows.withColumn("_p", F.transform("_k", lambda b: F.array_position("_b", b)))
     after = F.size("_b") + 1
     counts = F.transform("_p", lambda p, i: (F.coalesce(F.get("_p", i + 1), after) - p).cast("double"))
-    rows = rows.select(key, "_k", counts.alias("_c"))
-    return rows.select(key, "_k", normalised(F.col("_c")).alias("_c"))
+    rows = computed_once(rows, "_n", counts)
+    return computed_once(rows.select(key, "_k", "_n"), "_c", normalised(F.col("_n"))).drop("_n")
 
 
 def hashing_embeddings(texts: DataFrame, key: str, dimensions: int = fixed.HASH_DIMENSIONS) -> DataFrame:
@@ -107,13 +108,12 @@ def hashing_embeddings(texts: DataFrame, key: str, dimensions: int = fixed.HASH_
     Takes ``key, text`` and gives ``key, embedding``. All work stays inside the row: embedding a
     corpus needs no shuffle and no Python.
     """
-    rows = _sparse(texts, key, dimensions).select(key, F.map_from_arrays("_k", "_c").alias("_m"))
+    rows = computed_once(_sparse(texts, key, dimensions), "_m", F.map_from_arrays("_k", "_c"))
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
         lambda i: F.coalesce(F.try_element_at("_m", i.cast("bigint")), F.lit(0.0)),
     )
-    # Both branches read the map, so it is built once per row and not once per bucket.
-    return rows.select(key, F.when(F.size("_m") >= 0, dense).alias("embedding"))
+    return computed_once(rows.select(key, "_m"), "embedding", dense).drop("_m")
 
 
 def hashing_weights(texts: DataFrame, key: str, dimensions: int = fixed.HASH_DIMENSIONS) -> DataFrame:

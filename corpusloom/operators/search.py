@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
-from corpusloom.operators.embed import norm
+from corpusloom.operators.embed import norm, normalised
 from corpusloom.scale import first_per_key, salted_join, top_k
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
@@ -62,7 +62,7 @@ def vector_search(
     unit = queries.select(
         "query_id",
         "repo_id",
-        F.transform("vector", lambda x: x.cast("double") / F.coalesce(F.nullif(norm(F.col("vector")), F.lit(0.0)), F.lit(1.0))).alias("vector"),
+        normalised(F.transform("vector", lambda x: x.cast("double"))).alias("vector"),
     )
     size = queries.agg(F.coalesce(F.sum(F.size("vector") * 8 + 64), F.lit(0))).first()[0]
     kind = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)}
@@ -161,10 +161,12 @@ def overlap_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.SEARCH_
     Each chunk row gets one weight per token; frequent tokens are spread by salting the chunk side,
     and scores are summed map-side before the shuffle.
     """
-    fields = [
-        F.transform(X.code_tokens(F.coalesce(F.col(name), F.lit(""))), lambda w, b=boost: F.struct(w.alias("token"), F.lit(b).alias("weight")))
-        for name, boost in FIELD_BOOSTS.items()
-    ]
+
+    def weighted(name: str, boost: int) -> Column:
+        tokens = X.code_tokens(F.coalesce(F.col(name), F.lit("")))
+        return F.transform(tokens, lambda w: F.struct(w.alias("token"), F.lit(boost).alias("weight")))
+
+    fields = [weighted(name, boost) for name, boost in FIELD_BOOSTS.items()]
     postings = chunks.select("chunk_id", "repo_id", "path", "start_line", F.inline(F.concat(*fields)))
     hits = salted_join(postings, query_tokens(queries), ["repo_id", "token"], spread_by=["chunk_id"])
     scores = hits.groupBy("query_id", "chunk_id", "path", "start_line").agg(F.sum("weight").alias("score"))

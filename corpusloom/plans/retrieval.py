@@ -172,7 +172,7 @@ def f15(t):
 
 
 _J1_QUERIES = f"""qw AS {weights_sql('benchmark', 'item_id', 'text', 64)},
- qv AS (SELECT item_id AS query_id, (item_id % 10) AS label, list(coalesce(weight, 0) ORDER BY b) AS vector FROM (SELECT item_id FROM benchmark) i CROSS JOIN
+ qv AS (SELECT i.item_id AS query_id, (i.item_id % 10) AS label, list(coalesce(weight, 0) ORDER BY b) AS vector FROM (SELECT item_id FROM benchmark) i CROSS JOIN
    (SELECT unnest(range(0, 64)) AS b) LEFT JOIN qw ON qw.item_id = i.item_id AND bucket = b GROUP BY 1, 2)"""
 
 

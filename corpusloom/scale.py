@@ -52,6 +52,16 @@ def skewed_join(
     return big.join(small, list(on), how)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for an expensive expression that filters and later columns must not repeat.
+
+    A plain column is copied into every filter pushed below it. A one-element explode is a generator,
+    which the optimizer neither copies nor moves filters through.
+    """
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
