@@ -392,6 +392,30 @@ CORPORA: dict[str, Corpus] = {
             {"*": "*", "path": _CODE_PATH, "language": _CODE_LANGUAGE, "text": _CODE_TEXT},
         ],
     ),
+    "claims": Corpus(
+        "orders JOIN code_files ON o_custkey = k",
+        lambda t: t.orders.join(CORPORA["code_files"].spark(t), F.col("o_custkey") == F.col("k")),
+        [
+            {
+                "claim_id": "o_orderkey",
+                "k": "k",
+                "repo_id": "repo_id",
+                "repo_name": "lower(repo_id) || '/app'",
+                "true_path": "path",
+                "n": "length(text) - length(replace(text, chr(10), '')) + 1",
+                "form": "o_orderkey % 9",
+                "raw": """CASE o_orderkey % 9 WHEN 0 THEN path WHEN 1 THEN './' || path WHEN 2 THEN upper(path)
+ WHEN 3 THEN regexp_replace(path, '^.*/', '') WHEN 4 THEN path || ':2-4' WHEN 5 THEN '`' || path || '#L5`'
+ WHEN 6 THEN regexp_replace(path, '^[^/]*/', '') WHEN 7 THEN 'ghost/x_' || CAST(k AS STRING) || '.zz'
+ ELSE lower(repo_id) || '/app/' || path END""",
+                "start_line": "CAST(CASE o_orderkey % 5 WHEN 1 THEN 5 WHEN 2 THEN 8 WHEN 3 THEN 1 WHEN 4 THEN 99 END AS INT)",
+                "end_line": "CAST(CASE o_orderkey % 5 WHEN 1 THEN 50 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 120 END AS INT)",
+                "name": """CASE k % 4 WHEN 0 THEN 'Model_' || CAST(k AS STRING) || '.run()' WHEN 1 THEN 'service_' || CAST(k AS STRING)
+ WHEN 2 THEN 'Mod' || CAST(k AS STRING) ELSE 'Unknown' || CAST(k AS STRING) END""",
+            }
+        ],
+        needs=("code_files",),
+    ),
     "code_refs": Corpus(
         _REFS_SQL,
         _refs_frame,
