@@ -1 +1,115 @@
+"""Streaming plans over the given tables, run until everything available is processed."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import embed, ops
+from corpusloom.plans.registry import query
+from corpusloom.schemas import TABLES, struct_of
+from corpusloom.session import durable_path
+from corpusloom.streaming import jobs as op
+
+c = F.col
+
+
+def event_stream(t, name="events"):
+    """A given table as a stream of its files."""
+    return t.spark.readStream.schema(struct_of(TABLES[name])).parquet(t.path(name))
+
+
+def step_events(events):
+    return events.selectExpr(
+        "event_id", "CAST(ts AS TIMESTAMP) AS ts", "CAST(user_id % 30 AS STRING) AS job_id", "CASE WHEN event_type = 'purchase' THEN 'job' ELSE 'step' END AS kind",
+        "event_type AS step", "CASE WHEN event_type = 'purchase' AND event_id % 50 < 5 THEN 'done' ELSE 'running' END AS status", "value / 100 AS fraction", "props AS message",
+    )
+
+
+_EV = """ev AS (SELECT event_id, ts, CAST(user_id % 30 AS VARCHAR) AS job_id, event_type AS step, value / 100 AS fraction FROM events WHERE event_type <> 'purchase')"""
+
+
+@query(
+    "l1_job_state",
+    f"WITH {_EV} SELECT job_id, step, arg_max(event_id, (ts, event_id)) IS NOT NULL AS seen, round(arg_max(fraction, (ts, event_id)), 6) AS fraction FROM ev GROUP BY 1, 2",
+)
+def l1(t):
+    """Snapshot table kept current by the stream; each batch rewrites it under a new version."""
+    versions: list[str] = []
+    schema = "job_id string, step string, status string, fraction double, message string, updated_at timestamp"
+
+    def sink(batch, number):
+        stored = t.spark.read.schema(schema).parquet(versions[-1]) if versions else t.spark.createDataFrame([], schema)
+        path = durable_path(t.spark, f"job-state-{number}")
+        op.merged_snapshot(stored, batch).write.mode("overwrite").parquet(path)
+        versions.append(path)
+
+    op.run_available(op.job_snapshots(step_events(event_stream(t)), sink), "job-state", t.spark)
+    state = t.spark.read.schema(schema).parquet(versions[-1])
+    return state.select("job_id", "step", F.lit(True).alias("seen"), F.round("fraction", 6).alias("fraction"))
+
+
+def _collected(t, df, schema, name):
+    """Run a stream into a table and read it back."""
+    path = durable_path(t.spark, name)
+    op.run_available(df.writeStream.format("parquet").option("path", path), name, t.spark)
+    return t.spark.read.schema(schema).parquet(path)
+
+
+@query("l2_quota_stream")
+def l2_stream(t):
+    requests = event_stream(t).selectExpr("user_id % 40 AS user_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us", "event_id")
+    return _collected(t, op.quota_stream(requests, 3, 21_600), "user_id bigint, event_id bigint, accepted boolean", "quota")
+
+
+@query("l3_silent_jobs_stream")
+def l3_stream(t):
+    beats = event_stream(t).selectExpr("user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", "CASE WHEN event_id % 97 = 0 THEN 'done' ELSE 'running' END AS status")
+    return _collected(t, op.silent_jobs(beats, 30), "job_id bigint, last_ms bigint, status string", "silent")
+
+
+@query(
+    "l6_health_stream",
+    """SELECT server, event_id, online FROM (SELECT user_id % 3 AS server, event_id, event_type <> 'error' AS online, lag(event_type <> 'error') OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS p FROM events) WHERE p <> online""",
+)
+def l6_stream(t):
+    probes = event_stream(t).selectExpr("user_id % 3 AS server", "CAST(ts AS TIMESTAMP) AS ts", "event_id", "event_type <> 'error' AS online")
+    return _collected(t, op.health_changes(probes), "server bigint, event_id bigint, online boolean", "health")
+
+
+@query(
+    "l5_new_snapshots",
+    "SELECT DISTINCT 'github.com/o/r' || user_id AS url_key, event_type AS commit_sha FROM events",
+)
+def l5(t):
+    landed = event_stream(t).selectExpr("CAST(ts AS TIMESTAMP) AS ts", "concat('github.com/o/r', user_id) AS url_key", "event_type AS commit_sha")
+    schema = "ts timestamp, url_key string, commit_sha string"
+    return _collected(t, op.new_snapshots(landed, "60 days"), schema, "snapshots").select("url_key", "commit_sha")
+
+
+@query(
+    "l5_incremental_embedding",
+    "SELECT sha256(encode('hash-16' || chr(0) || left('File: ' || lang || '/' || chr(10) || text, 4000))) AS embed_hash, 16 AS dims FROM documents GROUP BY 1",
+)
+def l5_embedding(t):
+    table = durable_path(t.spark, "vectors")
+    schema = "embed_hash string, embedding array<double>, batch int"
+    t.spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("batch").parquet(table)
+    rows = event_stream(t, "documents").select(
+        F.concat("lang", F.lit("/")).alias("path"), F.lit(None).cast("string").alias("symbol"), c("text").alias("content")
+    )
+    chunks = embed.with_embed_hash(rows, "hash-16").select("embed_hash", "text")
+    stream = op.ingest_stream(
+        chunks, lambda: t.spark.read.schema(schema).parquet(table), lambda todo: embed.hashing_embeddings(todo, "embed_hash", 16), table
+    )
+    op.run_available(stream, "ingest", t.spark)
+    return t.spark.read.schema(schema).parquet(table).select("embed_hash", F.size("embedding").alias("dims"))
+
+
+@query("l3_sweep_twice")
+def sweep_twice(t):
+    """A second sweep changes nothing: rows swept by the second run (none)."""
+    from corpusloom.plans.operations import _NOW, jobs, repos
+
+    now = F.expr(_NOW)
+    once = ops.swept_jobs(jobs(t), repos(t), now).drop("swept", "silent_minutes", "abandon_analysis")
+    return ops.swept_jobs(once, repos(t), now).where("swept").select("job_id")
