@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import embed, ops
+from corpusloom.plans.operations import _QUOTA
 from corpusloom.plans.registry import query
 from corpusloom.schemas import TABLES, struct_of
 from corpusloom.session import durable_path
@@ -15,7 +16,8 @@ c = F.col
 
 def event_stream(t, name="events"):
     """A given table as a stream of its files."""
-    return t.spark.readStream.schema(struct_of(TABLES[name])).parquet(t.path(name))
+    source = t.spark.readStream.schema(struct_of(TABLES[name])).option("pathGlobFilter", f"{name}.parquet")
+    return source.parquet(t.root)
 
 
 def step_events(events):
@@ -55,13 +57,17 @@ def _collected(t, df, schema, name):
     return t.spark.read.schema(schema).parquet(path)
 
 
-@query("l2_quota_stream")
+@query("l2_quota_stream", f"WITH RECURSIVE {_QUOTA} SELECT user_id, event_id, accepted FROM w")
 def l2_stream(t):
-    requests = event_stream(t).selectExpr("user_id % 40 AS user_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us", "event_id")
+    requests = event_stream(t).selectExpr("user_id % 40 AS user_id", "CAST(ts AS TIMESTAMP) AS ts", "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us", "event_id")
     return _collected(t, op.quota_stream(requests, 3, 21_600), "user_id bigint, event_id bigint, accepted boolean", "quota")
 
 
-@query("l3_silent_jobs_stream")
+@query(
+    "l3_silent_jobs_stream",
+    """SELECT user_id AS job_id, epoch_ms(max(ts)) AS last_ms, 'failed' AS status FROM events GROUP BY 1
+ HAVING NOT bool_or(event_id % 97 = 0) AND max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""",
+)
 def l3_stream(t):
     beats = event_stream(t).selectExpr("user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", "CASE WHEN event_id % 97 = 0 THEN 'done' ELSE 'running' END AS status")
     return _collected(t, op.silent_jobs(beats, 30), "job_id bigint, last_ms bigint, status string", "silent")
@@ -105,7 +111,7 @@ def l5_embedding(t):
     return t.spark.read.schema(schema).parquet(table).select("embed_hash", F.size("embedding").alias("dims"))
 
 
-@query("l3_sweep_twice")
+@query("l3_sweep_twice", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey < 0")
 def sweep_twice(t):
     """A second sweep changes nothing: rows swept by the second run (none)."""
     from corpusloom.plans.operations import _NOW, jobs, repos

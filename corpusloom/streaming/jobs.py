@@ -54,10 +54,11 @@ def terminal_jobs(events: DataFrame) -> DataFrame:
 
 
 def quota_stream(requests: DataFrame, limit: int, seconds: int, user_type: str = "bigint") -> DataFrame:
-    """Accept or reject each request on arrival; the state per user is at most ``limit`` times.
+    """Accept or reject each request (``user_id, ts, ts_us, event_id``) on arrival.
 
-    The state's timer drops a user who has been silent for the whole window. Requests of a user
-    must arrive in time order, as they do at the service that asks for the decision.
+    The state per user is at most ``limit`` times; it is dropped once the watermark shows the user
+    silent for the whole window. Requests of a user must arrive in time order, as they do at the
+    service that asks for the decision.
     """
     duration = seconds * 1_000_000
 
@@ -65,21 +66,26 @@ def quota_stream(requests: DataFrame, limit: int, seconds: int, user_type: str =
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
+        kept, last = list(state.get[0]) if state.exists else [], 0
         for frame in frames:
             frame = frame.sort_values(["ts_us", "event_id"])
             flags = []
             for now in frame["ts_us"]:
                 kept = [x for x in kept if x > now - duration]
                 flags.append(len(kept) < limit)
+                last = int(now)
                 if flags[-1]:
-                    kept.append(int(now))
+                    kept.append(last)
             yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"].values, "accepted": flags})
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((last + duration) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("user_id").applyInPandasWithState(
-        decide, f"user_id {user_type}, event_id bigint, accepted boolean", "history array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        requests.withWatermark("ts", "1 minute")
+        .groupBy("user_id")
+        .applyInPandasWithState(
+            decide, f"user_id {user_type}, event_id bigint, accepted boolean", "history array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 
