@@ -240,12 +240,21 @@ def fused(rankings: dict[str, DataFrame], spans: DataFrame, limit: int = 10, k:
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, limit: int = 10, candidates: int = fixed.SEARCH_CANDIDATES, text_search=overlap_search
+    queries: DataFrame,
+    chunks: DataFrame,
+    limit: int = 10,
+    candidates: int = fixed.SEARCH_CANDIDATES,
+    text_search=overlap_search,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Vector and keyword candidates fused. Leave out ``vector`` or ``text`` to use one side only."""
+    """Vector and keyword candidates fused. Leave out ``vector`` or ``text`` to use one side only.
+
+    ``vectors`` (``chunk_id, repo_id, embedding``) keeps embeddings in their own table, so that the
+    keyword side never reads or computes them.
+    """
     rankings: dict[str, DataFrame] = {}
     if "vector" in queries.columns:
-        rankings["vector"] = vector_search(queries, chunks, candidates)
+        rankings["vector"] = vector_search(queries, chunks if vectors is None else vectors, candidates)
     if "text" in queries.columns:
         rankings["text"] = text_search(queries, chunks, candidates)
     return fused(rankings, chunks, limit)

@@ -45,10 +45,11 @@ def question_vectors(t, dimensions):
     return vectors.select(c("item_id").alias("query_id"), c("embedding").alias("vector"))
 
 
-def embedded_chunks(t):
-    chunks = doc_chunks(t)
-    vectors = embed.hashing_embeddings(chunks.select("chunk_id", c("content").alias("text")), "chunk_id")
-    return chunks.join(vectors, "chunk_id")
+def chunk_vectors(t):
+    """Vectors of the passages; the repository is read off the row, so nothing is joined."""
+    texts = corpus(t, "doc_files").select(F.struct("doc_id", "repo_id").alias("at"), "text")
+    vectors = embed.hashing_embeddings(texts, "at")
+    return vectors.select(c("at.doc_id").alias("chunk_id"), c("at.repo_id").alias("repo_id"), "embedding")
 
 
 _BUCKET = "CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % {0}"
@@ -269,9 +270,10 @@ def g6(t):
     DOCS,
 )
 def j5(t):
-    chunks = embedded_chunks(t)
+    chunks = doc_chunks(t)
+    asked = question_vectors(t, 384).join(questions(t).drop("text"), "query_id")
     rankings = {
-        "vector": search.vector_search(question_vectors(t, 384).join(questions(t).drop("text"), "query_id"), chunks),
+        "vector": search.vector_search(asked, chunk_vectors(t)),
         "text": search.overlap_search(questions(t), chunks),
     }
     out = search.fused(rankings, chunks, 15)
@@ -281,7 +283,7 @@ def j5(t):
 
 def hybrid(t, limit=10):
     asked = questions(t).join(question_vectors(t, 384), "query_id")
-    return search.hybrid_search(asked, embedded_chunks(t), limit)
+    return search.hybrid_search(asked, doc_chunks(t), limit, vectors=chunk_vectors(t))
 
 
 @query(
