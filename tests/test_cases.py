@@ -335,7 +335,7 @@ def test_salted_join_keeps_rows(spark):
 def test_stale_job_sweep(spark):
     jobs = spark.sql("""SELECT * FROM VALUES (1, 1, 'running', 45), (2, 1, 'running', 5), (3, 1, 'queued', 120), (4, 1, 'waiting_for_model', 600) AS t(job_id, repo_id, status, ago)""")
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    jobs = jobs.select("job_id", "repo_id", "status", F.timestamp_micros(F.unix_micros(now) - F.col("ago") * 60_000_000).alias("heartbeat_at"),
+    jobs = jobs.select("job_id", "repo_id", "status", F.timestamp_micros(F.unix_micros(now) - F.col("ago").cast("bigint") * 60_000_000).alias("heartbeat_at"),
                        F.lit(None).cast("timestamp").alias("started_at"), now.alias("created_at"))
     repos = spark.sql("SELECT 1 AS repo_id, 'ingesting' AS status")
     once = ops.swept_jobs(jobs, repos, now)
