@@ -112,6 +112,17 @@ def e14(t):
     return facts.select("repo_id", "path", F.size("symbols").alias("symbols"), "package", "parse_errors")
 
 
+@query(
+    "m6_pluggable_extractor",
+    " UNION ALL ".join([_symbol_check("k % 4 = 0", [r for r in _PY if "'class'" in r]), _symbol_check("k % 4 = 1", _TS), _symbol_check("k % 4 = 2", _JAVA), _symbol_check("k % 4 = 3", _GO)]),
+    ("code_files",),
+)
+def m6(t):
+    """All languages together, with the Python extractor replaced by one that keeps classes only."""
+    mine = {"python": lambda lines: extract.python_symbols(lines).where("kind = 'class'")}
+    return _out(extract.symbols_of(extract.source_lines(corpus(t, "code_files")), mine))
+
+
 def symbol_rows(t):
     """Symbols of the code corpus for the plans that need them as input."""
     return _out(extract.symbols_of(extract.source_lines(corpus(t, "code_files"))))

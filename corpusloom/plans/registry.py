@@ -30,4 +30,9 @@ def query(name: str, check: str | None = None, corpora: tuple[str, ...] = ()) ->
 
 
 def runnable(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, root: plan(Tables(spark, root))
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        # The tables hold zoneless UTC times; casts to instants must read them as such.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return plan(Tables(spark, root))
+
+    return run

@@ -135,6 +135,29 @@ def m1(t):
     return long.withColumn("weight", F.round("weight", 9))
 
 
+@query(
+    "m2_batched_retry",
+    f"SELECT doc_id AS id, bucket, round(weight, 9) AS weight FROM {weights_sql('documents', 'doc_id', 'text', 32)}",
+)
+def m2(t):
+    """Small batches from a model whose every second call fails: each batch is tried again."""
+    base = _hashing_provider(32)
+
+    class Flaky(base):
+        calls = 0
+
+        def embed_documents(self, texts):
+            self.calls += 1
+            if self.calls % 2:
+                raise ConnectionError("busy")
+            return [self.embed_query(x) for x in texts]
+
+    texts = t.documents.select(c("doc_id").alias("id"), "text")
+    rows = embed.run_provider(texts, Flaky, key="id", batch=16, retries=2)
+    long = rows.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    return long.withColumn("weight", F.round("weight", 9))
+
+
 _HASHED = """hs AS (SELECT doc_id, repo_id, sha256(encode('hash-384' || chr(0) || left('File: ' || lang || '/' || chr(10) || text, 4000))) AS h, doc_id % 3 = 0 AS stored
  FROM (SELECT doc_id, source AS repo_id, lang, text FROM documents))"""
 

@@ -65,12 +65,12 @@ def l2_stream(t):
 
 @query(
     "l3_silent_jobs_stream",
-    """SELECT user_id AS job_id, epoch_ms(max(ts)) AS last_ms, 'failed' AS status FROM events GROUP BY 1
+    """SELECT user_id AS job_id, epoch_us(max(ts)) AS last_us, 'failed' AS status FROM events GROUP BY 1
  HAVING NOT bool_or(event_id % 97 = 0) AND max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""",
 )
 def l3_stream(t):
     beats = event_stream(t).selectExpr("user_id AS job_id", "CAST(ts AS TIMESTAMP) AS ts", "CASE WHEN event_id % 97 = 0 THEN 'done' ELSE 'running' END AS status")
-    return _collected(t, op.silent_jobs(beats, 30), "job_id bigint, last_ms bigint, status string", "silent")
+    return _collected(t, op.silent_jobs(beats, 30), "job_id bigint, last_us bigint, status string", "silent")
 
 
 @query(

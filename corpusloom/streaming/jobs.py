@@ -97,29 +97,30 @@ def silent_jobs(heartbeats: DataFrame, minutes: int) -> DataFrame:
 
     ``heartbeats``: ``job_id, ts, status``; a terminal status ends the watch.
     """
-    limit = minutes * 60_000
+    limit = minutes * 60_000_000
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last_ms": [last], "status": ["failed"]})
+            yield pd.DataFrame({"job_id": [key[0]], "last_us": [last], "status": ["failed"]})
             return
         last, ended = (state.get[0] if state.exists else 0), False
         for frame in frames:
-            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+            last = max(last, int(frame["ts_us"].max()))
             ended = ended or frame["status"].isin(["done", "failed"]).any()
         if ended:
             if state.exists:
                 state.remove()
             return
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((last + limit) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return (
         heartbeats.withWatermark("ts", "1 minute")
+        .withColumn("ts_us", F.unix_micros("ts"))
         .groupBy("job_id")
-        .applyInPandasWithState(watch, "job_id bigint, last_ms bigint, status string", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(watch, "job_id bigint, last_us bigint, status string", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
