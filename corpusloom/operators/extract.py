@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
+from corpusloom.session import slice_count
 
 FILE = ["repo_id", "path"]
 JS_FAMILY = ["javascript", "typescript", "tsx"]
@@ -71,7 +72,8 @@ def source_lines(files: DataFrame) -> DataFrame:
     rows = (
         files.where(language.isin(fixed.PARSEABLE))
         .select(*FILE, "language", text.alias("_text"))
-        .repartition(*FILE)
+        # An explicit count keeps all tasks: parsing costs far more than its bytes suggest.
+        .repartition(slice_count(files.sparkSession), *FILE)
         .select(
             *FILE,
             "language",
