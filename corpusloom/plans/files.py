@@ -377,12 +377,12 @@ def b9_too_large(t):
 @query(
     "b10_limits",
     "SELECT repo_id, count(*) AS files, sum(size) AS bytes FROM tree_files WHERE repo_id IN (SELECT "
-    "repo_id FROM tree_files GROUP BY 1 HAVING sum(size) <= 5000000) GROUP BY 1",
+    "repo_id FROM tree_files GROUP BY 1 HAVING count(*) <= 300 AND sum(size) <= 50000000) GROUP BY 1",
     ("tree_files",),
 )
 def b10(t):
     files = corpus(t, "tree_files").select("repo_id", "path", "size")
-    return op.repo_sizes(op.within_limits(files, max_files=10**9, max_bytes=5_000_000))
+    return op.repo_sizes(op.within_limits(files, max_files=300, max_bytes=50_000_000))
 
 
 _LANG = (
