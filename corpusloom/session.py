@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +26,13 @@ def build_session(app: str = "corpusloom", master: str | None = None, **settings
 
 
 def durable_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset (tests, a single machine), a folder of the warehouse, which executors share as well.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="corpusloom-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -42,7 +41,7 @@ def durable_root(spark: SparkSession) -> str:
 
 def durable_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the durable root for one table."""
-    return os.path.join(durable_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{durable_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
