@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, simhash, subwords, toxicity
+from corpusloom.llm import mixing, multi_index, rotated_codes, simhash, subwords, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_rotated_codes(spark: SparkSession, root: str) -> DataFrame:
+    def divisible(name: str):
+        return F.col(name) % 50 == 0
+
+    return rotated_codes.nearest(table(spark, root, "embeddings"), divisible, k=5)
+
+
 def op2_merge_dropout(spark: SparkSession, root: str) -> DataFrame:
     return subwords.digest(table(spark, root, "documents"))
 
@@ -30,6 +38,10 @@ def op7_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(table(spark, root, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, root: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, root, "embeddings"), least=0.95)
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -38,6 +50,6 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_merge_dropout, op4_simhash, op5_toxicity, op7_mixing, pipeline)
+    for f in (op1_rotated_codes, op2_merge_dropout, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, pipeline)
 }
 CHECKS: dict[str, str] = {}
