@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, multi_index, rotated_codes, simhash, subwords, toxicity
+from corpusloom.llm import licences, mixing, multi_index, rotated_codes, simhash, subwords, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_merge_dropout(spark: SparkSession, root: str) -> DataFrame:
     return subwords.digest(table(spark, root, "documents"))
 
 
+def op3_licences(spark: SparkSession, root: str) -> DataFrame:
+    found = licences.scanned(table(spark, root, "documents"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("licences", "sentences", "unmatched")])
+
+
 def op4_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"), radius=4, width=4)
 
@@ -50,6 +55,6 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_rotated_codes, op2_merge_dropout, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, pipeline)
+    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, pipeline)
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op3_licences": licences.check_sql()}
