@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def slices_of(
 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one holds about ``chars`` bytes of text (at least one row)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(False)
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

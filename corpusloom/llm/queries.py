@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import licences, mixing, multi_index, rotated_codes, simhash, subwords, toxicity
+from corpusloom.llm import counting, licences, mixing, multi_index, rotated_codes, shards, simhash, subwords, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,14 @@ def op8_multi_index(spark: SparkSession, root: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, root, "embeddings"), least=0.95)
 
 
+def op9_training_order(spark: SparkSession, root: str) -> DataFrame:
+    return shards.ordered(table(spark, root, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return counting.counted(table(spark, root, "documents"))
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,6 +63,6 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, pipeline)
+    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, op9_training_order, op10_token_counts, pipeline)
 }
 CHECKS: dict[str, str] = {"op3_licences": licences.check_sql()}
