@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import counting, licences, mixing, multi_index, rotated_codes, shards, simhash, subwords, toxicity
+from corpusloom.llm import counting, katz, licences, mixing, multi_index, rotated_codes, shards, simhash, subwords, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,15 @@ def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.graded_documents(docs, model)
 
 
+def op6_katz(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+
+    def held_out(doc_id: Column) -> Column:
+        return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
+
+    return katz.scored(docs, held_out, katz.train(docs, held_out))
+
+
 def op7_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(table(spark, root, "documents"))
 
@@ -63,6 +72,6 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op7_mixing, op8_multi_index, op9_training_order, op10_token_counts, pipeline)
+    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op6_katz, op7_mixing, op8_multi_index, op9_training_order, op10_token_counts, pipeline)
 }
 CHECKS: dict[str, str] = {"op3_licences": licences.check_sql()}
