@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,11 @@ from corpusloom.llm.common import documents_of, mix64, slices_of, stored
 CUTOFF = 5
 HEAD = 1 << 20
 BUCKET = 4_000_000
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 END, BEGIN = np.uint64(HEAD), np.uint64(HEAD + 1)
 TAIL = np.uint64(1 << 63)
 _PLANES = 8
+_SUMS = ["key", "rows", "n", "known", "base", "score"]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -131,7 +132,7 @@ class Unigrams:
 
     def bucket(self, contexts: np.ndarray, followers: np.ndarray) -> np.ndarray:
         turn = mix64(followers + np.uint64(1)) % self.parts(contexts)
-        return (mix64(mix64(contexts) + turn) % np.uint64(self.buckets)).astype(np.int64)
+        return (mix64(mix64(contexts) + turn) % np.uint64(self.buckets)).astype(np.int32)
 
 
 def _prepared(docs: DataFrame, held_out) -> DataFrame:
@@ -191,43 +192,77 @@ def _unigrams(words: DataFrame, texts: int, everything: int, least_buckets: int,
 
 
 class _Chunk:
-    """Pairs of many texts: local numbers of context and follower, sorted by code."""
+    """Pairs of many texts, gathered slice by slice as local numbers of words.
 
-    def __init__(self, texts: list[str], known: Unigrams) -> None:
-        lists = [words_of(t) for t in texts]
-        number: dict[bytes, int] = {}
-        flat = [number.setdefault(w, len(number)) for x in lists for w in x]
-        codes = np.concatenate([known.encoded(hashed(list(number))), np.array([END, BEGIN], np.uint64)])
+    ``name`` is the task and the chunk's turn in it: the same whenever the task runs again.
+    """
+
+    def __init__(self, known: Unigrams, turn: int) -> None:
+        self.known = known
+        self.name = (TaskContext.get().partitionId() << 32) + turn
+        self.number: dict[bytes, int] = {}
+        self.words: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.keys: list[int] = []
+        self.held = 0
+
+    def add(self, texts: list[str], keys: list[int]) -> None:
+        number = self.number
+        for text in texts:
+            split = words_of(text)
+            flat = [number.setdefault(w, len(number)) for w in split]
+            self.words.append(np.array(flat, np.int32))
+            self.sizes.append(len(flat))
+        self.keys += keys
+        self.held = sum(self.sizes)
+
+    def close(self) -> None:
+        """Sort the local words by code; ``context`` and ``follower`` are local numbers of the pairs in text order."""
+        known = self.known
+        codes = np.concatenate([known.encoded(hashed(list(self.number))), np.array([END, BEGIN], np.uint64)])
+        self.number = {}
         order = np.argsort(codes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.codes = codes[order]
-        words = rank[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64)
-        end, begin = rank[-2], rank[-1]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = rank[np.concatenate(self.words)] if self.words else np.zeros(0, np.int32)
+        self.words = []
+        sizes = np.array(self.sizes, np.int64)
         ends = np.cumsum(sizes)
-        self.context = np.insert(words, ends - sizes, begin)
-        self.follower = np.insert(words, ends, end)
-        self.text = np.repeat(np.arange(len(lists)), sizes + 1)
+        self.context = np.insert(words, ends - sizes, rank[-1])
+        self.follower = np.insert(words, ends, rank[-2])
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+
+    def buckets(self, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
+        """Bucket of each pair of local numbers: by context, and by follower too where a context is dealt out."""
+        nought = np.zeros(len(self.codes), np.uint64)
+        plain = (mix64(mix64(self.codes) + nought) % np.uint64(self.known.buckets)).astype(np.int32)
+        out = plain[context]
+        many = (self.known.parts(self.codes) > 1)[context]
+        if many.any():
+            at = np.flatnonzero(many)
+            out[at] = self.known.bucket(self.codes[context[at]], self.codes[follower[at]])
+        return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], known: Unigrams, columns: list[str]):
-    """Texts of a partition, gathered to chunks of about CHUNK words."""
-    held: dict[str, list] = {c: [] for c in ["text", *columns]}
-    chars = 0
+def _chunks(batches: Iterator[pa.RecordBatch], known: Unigrams) -> Iterator[_Chunk]:
+    """The texts of a partition in chunks of about CHUNK words."""
+    chunk, turn = _Chunk(known, 0), 0
     for batch in slices_of(batches):
-        for c in held:
-            held[c] += batch.column(c).to_pylist()
-        chars += batch.column("text").nbytes
-        if chars > 6 * CHUNK:
-            yield _Chunk(held["text"], known), held
-            held, chars = {c: [] for c in held}, 0
-    if held["text"]:
-        yield _Chunk(held["text"], known), held
+        chunk.add(batch.column("text").to_pylist(), batch.column("key").to_pylist())
+        if chunk.held > CHUNK:
+            chunk.close()
+            yield chunk
+            turn += 1
+            chunk = _Chunk(known, turn)
+    if chunk.sizes:
+        chunk.close()
+        yield chunk
 
 
 def _split(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(buckets, kind="stable")
+    small = buckets.astype(np.uint16) if len(buckets) and buckets.max() < 1 << 16 else buckets
+    order = np.argsort(small, kind="stable")
     sorted_ = buckets[order]
     edges = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else order
     for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
@@ -244,14 +279,14 @@ def _pair_rows(shared: Broadcast):
     """Training texts to (bucket, packed distinct pairs with counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for chunk, _ in _chunks(batches, known, []):
-            pair, n = np.unique(chunk.context * len(chunk.codes) + chunk.follower, return_counts=True)
-            context, follower = chunk.codes[pair // len(chunk.codes)], chunk.codes[pair % len(chunk.codes)]
-            rows = []
-            for bucket, at in _split(known.bucket(context, follower)):
-                rows.append((bucket, packed(*_runs(context[at]), follower[at], n[at])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+        for chunk in _chunks(batches, shared.value):
+            pair = chunk.context.astype(np.int64) * len(chunk.codes) + chunk.follower
+            pair.sort()
+            pair, n = _runs(pair)
+            context, follower = np.divmod(pair, len(chunk.codes))
+            for bucket, at in _split(chunk.buckets(context, follower)):
+                data = packed(*_runs(chunk.codes[context[at]]), chunk.codes[follower[at]], n[at])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], ["bucket", "data"])
 
     return run
 
@@ -358,7 +393,7 @@ def train(docs: DataFrame, held_out, head: int = HEAD) -> Model:
     texts, everything = training.count(), rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
     known = _unigrams(words, texts, int(everything), spark.sparkContext.defaultParallelism, min(head, HEAD))
     shared = spark.sparkContext.broadcast(known)
-    blocks = training.select("text").mapInArrow(_pair_rows(shared), "bucket long, data binary")
+    blocks = training.select("text", "key").mapInArrow(_pair_rows(shared), "bucket long, data binary")
     counts = ", ".join(f"n{r} long" for r in range(1, CUTOFF + 2))
     pairs = stored(blocks.groupBy("bucket").applyInPandas(_merged, f"bucket long, data binary, {counts}"), "katz-pairs")
     row = pairs.agg(*[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CUTOFF + 2)]).first()
@@ -387,78 +422,131 @@ def _chance(known: Unigrams, n):
 
 
 def _occurrence_rows(shared: Broadcast):
-    """All texts to (bucket, packed pairs with their texts, the texts' keys)."""
+    """All texts to (bucket, chunk, packed distinct pairs with the texts of the chunk that hold them).
+
+    The texts' keys go once per chunk, to a bucket of their own (below zero).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for chunk, held in _chunks(batches, known, ["key"]):
-            keys = np.array(held["key"], np.int64)
-            order = np.argsort(chunk.context * len(chunk.codes) + chunk.follower, kind="stable")
-            context, follower, text = chunk.codes[chunk.context[order]], chunk.codes[chunk.follower[order]], chunk.text[order]
-            for bucket, at in _split(known.bucket(context, follower)):
-                mine, local = np.unique(text[at], return_inverse=True)
-                data = packed(*_runs(context[at]), follower[at], local, keys[mine].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], ["bucket", "occurrences"])
+        for chunk in _chunks(batches, shared.value):
+            words = len(chunk.codes)
+            pair, text = _by_pair(chunk.context.astype(np.int64) * words + chunk.follower, chunk.text)
+            context, follower = np.divmod(pair, words)
+            for bucket, at in _split(chunk.buckets(context, follower)):
+                distinct, times = _runs(pair[at])
+                c, f = np.divmod(distinct, words)
+                yield row(bucket, chunk.name, packed(*_runs(chunk.codes[c]), chunk.codes[f], times, text[at]))
+            aside = -1 - (chunk.name ^ chunk.name >> 32) % shared.value.buckets
+            yield row(aside, chunk.name, packed(np.array(chunk.keys, np.int64).view(np.uint64)))
+
+    def row(bucket: int, name: int, data: bytes) -> pa.RecordBatch:
+        columns = [pa.array([bucket], pa.int64()), pa.array([name], pa.int64()), pa.array([data], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "occurrences"])
 
     return run
 
 
+def _by_pair(pair: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by pair, then text; as one number where both fit into it."""
+    bits = int(text.max()).bit_length() if len(text) else 0
+    if len(pair) and int(pair.max()).bit_length() + bits < 63:
+        both = (pair << bits) | text
+        both.sort()
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(pair, kind="stable")
+    return pair[order], text[order].astype(np.int64)
+
+
 def _scores(shared: Broadcast, factors: np.ndarray):
-    """(model of a bucket, occurrences of the bucket) -> sums by text; tail words that back off keep their word."""
+    """(model of a bucket, occurrences of the bucket) -> (chunk, packed sums by text; or text, tail word, uses).
+
+    A tail word that backs off is left to a join with the unigrams. Keys of texts pass through.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(right) and right["bucket"].iloc[0] < 0:
+            return _answer(right["chunk"].to_numpy(), keys=right["occurrences"].to_list())
         known = shared.value
-        names = ["key", "word", "rows", "n", "known", "base", "score"]
-        parts: list[pd.DataFrame] = []
         model = unpacked(left["data"].iloc[0]) if len(left) else [np.zeros(0, np.uint64)] * 4
         weights = unpacked(left["weights"].iloc[0]) if len(left) else [np.zeros(0, np.uint64)] * 4
         contexts, many, follower, n = model
-        total, base, weight = weights[1].astype(np.int64), weights[2].view(float), weights[3].view(float)
-        n = n.astype(np.int64)
-        names_of = np.unique(follower)
+        # One entry more than there are contexts: what is unknown ends there, with count 0 and weight 1.
+        total = np.append(weights[1].astype(np.int64), 0)
+        back = np.append(np.log10(np.maximum(weights[3].view(float), 1e-300)), 0.0)
+        base, n = weights[2].view(float), n.astype(np.int64)
+        tails = np.unique(follower[follower >= TAIL])
+        rank = np.zeros(HEAD + 2, np.int64)
+        heads = np.unique(follower[follower < TAIL]).astype(np.int64)
+        rank[heads] = np.arange(1, len(heads) + 1)
+        width = len(heads) + len(tails) + 2
+
+        def ranked(f: np.ndarray) -> np.ndarray:
+            """Place of each follower among those of the bucket, 0 for none."""
+            out, far = np.zeros(len(f), np.int64), f >= TAIL
+            out[~far] = rank[f[~far].astype(np.int64)]
+            if len(tails):
+                spot = np.minimum(np.searchsorted(tails, f[far]), len(tails) - 1)
+                out[far] = np.where(tails[spot] == f[far], spot + 1 + len(heads), 0)
+            return out
+
         owner = np.repeat(np.arange(len(contexts)), many.astype(np.int64))
-        index = owner * (len(names_of) + 1) + np.searchsorted(names_of, follower)
-        gain = np.log10(factors[np.minimum(n, CUTOFF + 1)] * n / base[owner]) if len(n) else np.zeros(0)
-        for data in right["occurrences"]:
-            c, runs, f, text, keys = unpacked(data)
-            runs, text = runs.astype(np.int64), text.astype(np.int64)
+        index = owner * width + ranked(follower)
+        order = np.argsort(index)
+        index = index[order]
+        gain = np.log10(factors[np.minimum(n, CUTOFF + 1)] * n / base[owner])[order] if len(n) else np.zeros(0)
+        parts: list[pd.DataFrame] = []
+        for name, data in zip(right["chunk"], right["occurrences"], strict=True):
+            c, runs, f, times, text = unpacked(data)
+            runs, times, text = runs.astype(np.int64), times.astype(np.int64), text.astype(np.int64)
             here = np.searchsorted(contexts, c)
-            there = np.zeros(len(c), bool)
             if len(contexts):
-                there = contexts[np.minimum(here, len(contexts) - 1)] == c
-            often = np.zeros(len(c), np.int64)
-            often[there] = total[here[there]]
-            counted = np.where(c == BEGIN, known.texts, often)
+                here[contexts[np.minimum(here, len(contexts) - 1)] != c] = len(contexts)
+            counted = np.where(c == BEGIN, known.texts, total[here])
             base_of = np.log10((counted + 0.5) / (known.total + 0.5 * (known.types + 1)))
-            back = np.zeros(len(c))
-            back[there] = np.log10(weight[here[there]])
             at = np.repeat(np.arange(len(c)), runs)
-            word = np.searchsorted(names_of, f)
-            pair = here[at] * (len(names_of) + 1) + word
+            place = ranked(f)
+            seen = (place > 0) & (here[at] < len(contexts))
+            pair = here[at] * width + place
             spot = np.minimum(np.searchsorted(index, pair), max(len(index) - 1, 0))
-            seen = np.zeros(len(f), bool)
             if len(index):
-                seen = there[at] & (word < len(names_of)) & (index[spot] == pair)
-                seen[seen] = names_of[word[seen]] == f[seen]
-            score = np.where(seen, gain[spot] if len(index) else 0.0, back[at])
+                seen &= index[spot] == pair
+            score = np.where(seen, gain[spot] if len(index) else 0.0, back[here[at]])
             easy = ~seen & (f < TAIL)
             score[easy] += np.log10(known.probability(known.known(f[easy])))
-            size = len(keys)
-            count = lambda w: np.bincount(text, w, size)  # noqa: E731, B023
-            sums = [count((c == BEGIN)[at]), count(None), count((counted > 0)[at]), count(base_of[at]), count(score)]
-            signed = keys.view(np.int64)
-            parts.append(pd.DataFrame({"key": signed, "word": np.zeros(size, np.int64), "rows": sums[0], "n": sums[1], "known": sums[2], "base": sums[3], "score": sums[4]}))
-            hard = np.flatnonzero(~seen & (f >= TAIL))
+            # From distinct pairs to their uses in texts.
+            use = np.repeat(np.arange(len(f)), times)
+            of, size = at[use], int(text.max()) + 1
+            number = lambda w: np.bincount(text, w, size)  # noqa: E731, B023
+            sums = [number(w) for w in ((c == BEGIN)[of], None, (counted > 0)[of], base_of[of], score[use])]
+            held = np.flatnonzero(sums[1])
+            whole, real = [x[held].astype(np.uint64) for x in sums[:3]], [x[held].view(np.uint64) for x in sums[3:]]
+            parts.append(_answer(np.array([name]), data=[packed(held, *whole, *real)]))
+            hard = np.flatnonzero((~seen & (f >= TAIL))[use])
             if len(hard):
-                pair, times = np.unique(np.stack([text[hard].astype(np.uint64), f[hard]]), axis=1, return_counts=True)
-                nought = np.zeros(len(times))
-                parts.append(pd.DataFrame({"key": signed[pair[0].astype(np.int64)], "word": pair[1].view(np.int64), "rows": nought, "n": times, "known": nought, "base": nought, "score": nought}))
-        out = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
-        return out.astype({c: "int64" for c in names[:5]})
+                one, n_one = _runs(np.sort(use[hard] * size + text[hard]))
+                parts.append(_answer(np.full(len(one), name), text=one % size, word=f[one // size].view(np.int64), n=n_one))
+        return pd.concat(parts) if parts else _answer(np.zeros(0, np.int64))
 
     return run
 
 
+def _answer(chunk: np.ndarray, keys=None, data=None, text=0, word=0, n=0) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": chunk, "keys": keys, "data": data, "text": text, "word": word, "n": n})
+
+
+def _by_text(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All answers of a chunk to one row per text."""
+    keys = unpacked(pdf["keys"].dropna().iloc[0])[0].view(np.int64)
+    sums = [np.zeros(len(keys), np.int64) for _ in range(3)] + [np.zeros(len(keys)) for _ in range(2)]
+    for data in pdf["data"].dropna():
+        text, *values = unpacked(data)
+        at = text.astype(np.int64)
+        for total, v in zip(sums, values, strict=True):
+            total[at] += v.view(total.dtype)
+    named = dict(zip(_SUMS, [keys, *sums], strict=True))
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "text": np.arange(len(keys)), **named})
+
+
 def scored(docs: DataFrame, held_out, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -466,23 +554,22 @@ def scored(docs: DataFrame, held_out, model: Model) -> DataFrame:
     the empty id and is kept. An empty table gives no row; without a training text every word is unknown.
     """
     rows, known = _prepared(docs, held_out), model.shared.value
-    blocks = rows.select("text", "key").mapInArrow(_occurrence_rows(model.shared), "bucket long, occurrences binary")
+    blocks = rows.select("text", "key").mapInArrow(_occurrence_rows(model.shared), "bucket long, chunk long, occurrences binary")
     held = model.pairs.select("bucket", "data").join(model.weights, "bucket")
     grouped = held.groupBy("bucket").cogroup(blocks.groupBy("bucket"))
-    found = grouped.applyInPandas(
-        _scores(model.shared, model.factors), "key long, word long, rows long, n long, known long, base double, score double"
-    )
-    # Hashes of words have the upper bit set, so they are negative; sums have word 0.
-    again = F.when(F.col("word") < 0, F.col("n") * F.log10(_chance(known, F.coalesce("c", F.lit(0))))).otherwise(F.col("score"))
-    count = F.when(F.col("word") < 0, 0).otherwise(F.col("n"))
-    words = model.words.select("word", F.col("n").alias("c"))
-    kept = ["key", "word", "rows", "n", "known", "base", "score"]
-    found = stored(found, "katz-scores")
-    plain = found.where("word = 0").select(*kept, F.lit(None).cast("long").alias("c"))
-    joined = found.where("word < 0").join(words, "word", "left").select(*kept, "c")
-    sums = plain.union(joined).groupBy("key").agg(
-        F.sum("rows").alias("rows"), F.sum(count).alias("n"), F.sum("known").alias("known"),
-        F.sum("base").alias("base"), F.sum(again).alias("score"),
+    answers = "chunk long, keys binary, data binary, text long, word long, n long"
+    found = stored(grouped.applyInPandas(_scores(model.shared, model.factors), answers), "katz-scores")
+    # Hashes of words have the upper bit set, so they are negative; packed sums have word 0.
+    tails = found.where("word < 0").select("chunk", "text", "word", F.col("n").alias("uses"))
+    tails = tails.join(model.words, "word", "left")
+    late = F.sum(F.col("uses") * F.log10(_chance(known, F.coalesce("n", F.lit(0))))).alias("late")
+    tails = tails.groupBy("chunk", "text").agg(late)
+    texts = found.where("word = 0").select("chunk", "keys", "data").groupBy("chunk")
+    by_text = texts.applyInPandas(_by_text, "chunk long, text long, key long, rows long, n long, known long, base double, score double")
+    score = F.col("score") + F.coalesce("late", F.lit(0.0))
+    sums = by_text.join(tails, ["chunk", "text"], "left").groupBy("key").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("known").alias("known"),
+        F.sum("base").alias("base"), F.sum(score).alias("score"),
     )
     return rows.select("doc_id", "held_out", "key").join(sums, "key").select(
         "doc_id",
