@@ -104,6 +104,7 @@ def search_block(
     """(query number, row number, cosine) of the k best rows of this block for each query."""
     planes, out = Planes(queries, seed), []
     first = min(len(ids), 4 * k + 1)
+    length, own_length = (np.sqrt((v * v).sum(1)) for v in (vectors, queries))
     for start in range(0, len(queries), step):
         part = slice(start, start + step)
         guess, off = planes.estimates(part, bits, fit, epsilon)
@@ -111,17 +112,14 @@ def search_block(
         guess[own] = -np.inf
         near = np.argpartition(-guess, first - 1, axis=1)[:, :first]
         who = np.repeat(np.arange(len(guess)), first)
-        exact = cosine(queries[part][who], vectors[near.ravel()]).reshape(len(guess), first)
-        exact[np.take_along_axis(own, near, 1)] = -np.inf
-        bar = -np.sort(-exact, axis=1)[:, k - 1] if first >= k else np.full(len(guess), -np.inf)
+        exact = np.full(guess.shape, -np.inf)
+        exact[who, near.ravel()] = _measured(queries[part], vectors, who, near.ravel(), own_length[part], length)
+        exact[own] = -np.inf
+        bar = _best(exact, k)
         who, row = np.nonzero((guess + off >= bar[:, None]) & ~own)
-        # The rows that set the bar count as well, whatever their own bounds say.
-        who = np.concatenate([who, np.repeat(np.arange(len(guess)), first)])
-        row = np.concatenate([row, near.ravel()])
-        pair = np.unique(who * np.int64(len(ids)) + row)
-        who, row = pair // len(ids), pair % len(ids)
-        mine = ~own[who, row]
-        who, row = who[mine], row[mine]
+        exact[who, row] = _measured(queries[part], vectors, who, row, own_length[part], length)
+        # The order is decided by the exact measure, summed alike for every pair, so that equal vectors tie.
+        who, row = np.nonzero(exact >= np.maximum(_best(exact, k) - 1e-9, -2.0)[:, None])
         score = cosine(queries[part][who], vectors[row])
         order = np.lexsort((ids[row], -score, who))
         who, row, score = who[order], row[order], score[order]
@@ -131,6 +129,22 @@ def search_block(
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _best(exact: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity where a row has fewer columns."""
+    if exact.shape[1] < k:
+        return np.full(len(exact), -np.inf)
+    return -np.partition(-exact, k - 1, axis=1)[:, k - 1]
+
+
+def _measured(queries, vectors, who, row, own_length, length, step: int = 8192) -> np.ndarray:
+    """Cosines of the chosen pairs on the original vectors."""
+    out = np.empty(len(who))
+    for i in range(0, len(who), step):
+        w, r = who[i : i + step], row[i : i + step]
+        out[i : i + step] = np.einsum("ij,ij->i", queries[w], vectors[r]) / (own_length[w] * length[r])
+    return out
+
+
 def index(vectors: DataFrame, seed: int = 11) -> DataFrame:
     """Every usable row with its code and correction scalar (from ``usable``)."""
 
