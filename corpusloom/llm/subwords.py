@@ -17,7 +17,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ from corpusloom.llm.common import documents_of, mix64, slices_of
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 LONG = 48
+BLOCK = 1 << 16
+WORDS = 120_000
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = np.int64(1) << 40
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,37 +223,73 @@ def _words(text: str) -> list[str]:
     return [MARK + w for w in marked.split(MARK)[1:]]
 
 
-def encode_texts(
-    pieces: Pieces, texts: list[str], uses: np.ndarray, rate: float, seed: int, variants: int
-) -> list[np.ndarray]:
-    """Ids of each text; ``uses`` is an unsigned hash per document that decides its variants."""
-    number: defaultdict = defaultdict(count().__next__)
-    lists = [[number[w] for w in _words(t)] if t else [] for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    word = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    names = list(number)
-    if rate and variants > 1:
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        drawn = mix64(np.repeat(uses, sizes) + nth.astype(np.uint64) * _GOLD) % np.uint64(variants)
-        unit, back = np.unique(word * variants + drawn.astype(np.int64), return_inverse=True)
-        which, variant = unit // variants, unit % variants
-    else:
-        which, variant, back = np.arange(len(names)), np.zeros(len(names), np.int64), word
-    hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), seed) for w in names]
-    keys = mix64(np.array(hashes, np.uint64)[which] + (variant.astype(np.uint64) + np.uint64(1)) * _GOLD)
-    flat, long = _gathered(pieces.symbols("".join(names)), np.fromiter(map(len, names), np.int64, len(names)), which)
-    flat, long = pieces.written(*segment(pieces, flat, long, keys, rate))
-    ids, long = _gathered(flat.astype(np.int32), long, back)
-    ends = np.concatenate(([0], np.cumsum(long)))
-    cuts = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
-    return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces ``which`` of a row of pieces with the given sizes, in a row again."""
-    starts, long = (np.cumsum(sizes) - sizes)[which], sizes[which]
-    ends = np.cumsum(long)
-    return flat[np.repeat(starts - (ends - long), long) + np.arange(int(long.sum()))], long
+class Encoder:
+    """Encodes texts slice by slice and remembers the words of the slices before, up to ``WORDS``."""
+
+    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int) -> None:
+        self.pieces, self.rate, self.seed = pieces, rate, seed
+        self.variants = variants if rate else 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict = defaultdict(count().__next__)
+        self.hashes = np.zeros(0, np.uint64)
+        self.names: list[str] = []
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.filled = 0
+        # By word and variant: where its ids start (-1: not yet known) and how many there are.
+        self.start, self.long = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _grow(self) -> None:
+        new = list(islice(self.number, len(self.names), None))
+        self.names += new
+        hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), self.seed) for w in new]
+        self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
+        more = len(new) * self.variants
+        self.start = np.concatenate([self.start, np.full(more, -1)])
+        self.long = np.concatenate([self.long, np.zeros(more, np.int32)])
+
+    def _learn(self, units: np.ndarray) -> None:
+        words = units // self.variants
+        sizes = np.fromiter((len(self.names[w]) for w in words.tolist()), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(units):
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+            part, mine = units[at:stop], words[at:stop]
+            keys = mix64(self.hashes[mine] + ((part % self.variants).astype(np.uint64) + np.uint64(1)) * _GOLD)
+            symbols = self.pieces.symbols("".join([self.names[w] for w in mine.tolist()]))
+            flat, long = self.pieces.written(*segment(self.pieces, symbols, sizes[at:stop], keys, self.rate))
+            if self.filled + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.int32)])
+            self.ids[self.filled : self.filled + len(flat)] = flat
+            self.start[part] = self.filled + np.cumsum(long) - long
+            self.long[part] = long
+            self.filled += len(flat)
+            at = stop
+
+    def encode(self, texts: list[str], uses: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text; ``uses`` is an unsigned hash per document that decides its variants."""
+        if len(self.number) > WORDS:
+            self._forget()
+        number = self.number
+        lists = [np.array([number[w] for w in _words(t)] if t else [], np.int32) for t in texts]
+        self._grow()
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        unit = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+        if self.variants > 1:
+            nth = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            drawn = mix64(np.repeat(uses, sizes) + nth.astype(np.uint64) * _GOLD) % np.uint64(self.variants)
+            unit = unit * self.variants + drawn.astype(np.int64)
+        wanted = np.zeros(len(self.start), bool)
+        wanted[unit] = True
+        self._learn(np.flatnonzero(wanted & (self.start < 0)))
+        long = self.long[unit].astype(np.int64)
+        ends = np.cumsum(long)
+        ids = self.ids[np.repeat(self.start[unit] - (ends - long), long) + np.arange(int(long.sum()))]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encoded(
@@ -265,10 +303,10 @@ def encoded(
     path = path or public_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
-        for batch in slices_of(batches, chars=8_000_000):
+        encoder = Encoder(Pieces.of(path), rate, seed, variants)
+        for batch in slices_of(batches, chars=1_000_000):
             uses = batch.column("use").to_numpy(False).view(np.uint64)
-            found = encode_texts(pieces, batch.column("text").to_pylist(), uses, rate, seed, variants)
+            found = encoder.encode(batch.column("text").to_pylist(), uses)
             ends = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
             columns = [batch.column("doc_id"), batch.column("mark"), ids]
@@ -296,7 +334,7 @@ def decoder(path: str | None = None):
 
 
 def decoded(raw: list[bytes], ids) -> str:
-    joined = b"".join([raw[i] for i in ids.tolist() if 0 <= i < len(raw)])
+    joined = b"".join(map(raw.__getitem__, ids[(ids >= 0) & (ids < len(raw))].tolist()))
     return joined[1:].decode("utf-8", "replace") if joined.startswith(b" ") else joined.decode("utf-8", "replace")
 
 

@@ -25,7 +25,7 @@ def test_rate_zero_is_the_library(texts):
     model = sentencepiece.SentencePieceProcessor(model_file=subwords.public_path(subwords.MODEL))
     odd = ["", " ", "   a  b ", "▁x▁", "a▁▁b", "\n\n\t a", "ab" * 100 + " é", "<s></s> <0x41>", "\u0000 x"]
     rows = odd + [t[1][:4000] for t in texts if t[1]]
-    got = subwords.encode_texts(pieces, rows, np.arange(len(rows)).astype(np.uint64), 0.0, 1, 8)
+    got = subwords.Encoder(pieces, 0.0, 1, 8).encode(rows, np.arange(len(rows)).astype(np.uint64))
     assert [g.tolist() for g in got] == model.encode(rows)
 
 
