@@ -25,7 +25,7 @@ _FOLD = bytes.maketrans(
     bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION)
 )
 SAMPLE = 12_000
-MEMO = 400_000
+MEMO = 120_000
 
 
 @dataclass
@@ -85,12 +85,12 @@ def selected(sample: DataFrame, limit: int = 4096, least: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in slices_of(batches):
+        for batch in slices_of(batches, chars=1_000_000):
             rows = zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)
             for text, toxic in rows:
                 words = set(words_of(text))
                 seen[toxic > 0].update({f for w in words for f in features_of(w)})
-            if len(seen[0]) + len(seen[1]) > 1_000_000:
+            if len(seen[0]) + len(seen[1]) > 250_000:
                 yield flushed(seen)
         yield flushed(seen)
 
@@ -122,7 +122,7 @@ def graded(sample: DataFrame, index: dict[bytes, int], strong: set[int], heavy:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Uses(index)
-        for batch in slices_of(batches):
+        for batch in slices_of(batches, chars=1_000_000):
             grades, where, uses = [], [], []
             rows = zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True)
             for text, toxic in rows:
