@@ -61,14 +61,12 @@ def embed_hash(model: Column, text: Column) -> Column:
     return F.sha2(F.concat(model, F.lit("\x00"), text).cast("binary"), 256)
 
 
-WORD = "[A-Za-z0-9]+"
-WORD_PART = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+"
 
 
 def code_tokens(text: Column) -> Column:
     """Distinct lower-case identifier tokens: whole words and their camel-case and digit parts."""
-    words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    parts = F.regexp_extract_all(text, F.lit(WORD_PART), 0)
+    words = F.regexp_extract_all(text, F.lit(fixed.WORD), 0)
+    parts = F.regexp_extract_all(text, F.lit(fixed.WORD_PART), 0)
     # Parts never cross a word boundary, so they can be taken from the whole text at once.
     return F.array_distinct(F.transform(F.concat(words, parts), F.lower))
 
@@ -79,7 +77,7 @@ def indexed_tokens(text: Column) -> Column:
     split_up = F.filter(
         words, lambda w: w.rlike("_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
     )
-    parts = F.flatten(F.transform(split_up, lambda w: F.regexp_extract_all(w, F.lit(WORD_PART), 0)))
+    parts = F.flatten(F.transform(split_up, lambda w: F.regexp_extract_all(w, F.lit(fixed.WORD_PART), 0)))
     return F.transform(F.concat(words, parts), F.lower)
 
 

@@ -408,11 +408,11 @@ def inferred_kinds(modules: DataFrame, files: DataFrame, ownership: DataFrame) -
 # --- acceptance -------------------------------------------------------------------------------
 
 PROBLEMS = {
-    "start_here": "None of the suggested files exist in the repository.",
-    "overview": "'structure' referenced no real paths.",
-    "architecture": "Fewer than 2 modules point at real files or directories.",
-    "tour_few": "Fewer than 3 steps point at real files.",
-    "tour_flow": "Every flow_trace step pointed at a file that does not exist.",
+    "start_here": "no suggested file was found",
+    "overview": "the structure names no path that exists",
+    "architecture": "needs two modules with existing paths",
+    "tour_few": "needs three steps with existing files",
+    "tour_flow": "no traced step names an existing file",
 }
 
 
@@ -451,20 +451,17 @@ def section_bounds(files: DataFrame) -> DataFrame:
 
 # --- citations in answers -----------------------------------------------------------------------
 
-_REF = r"([A-Za-z0-9_@+./-]+?)(?:(?::|#L)(\d+)(?:-L?(\d+))?)?"
-_CITED = r"\[" + _REF + r"\](?!\()|`" + _REF + "`"
-_FENCE = r"(?s)```.*?(?:```|$)"
-_PATH_LIKE = r"/|\.[A-Za-z][A-Za-z0-9]{0,9}$"
+_CITED = r"\[" + fixed.REFERENCE + r"\](?!\()|`" + fixed.REFERENCE + "`"
 
 
 def answer_tokens(messages: DataFrame, files: DataFrame) -> DataFrame:
     """Bracketed and back-ticked references outside fenced code: ``message_id, part, pos``, the
     resolved citation, its replacement text, and whether it was ``stripped``."""
-    parts = messages.select("message_id", "repo_id", F.posexplode(F.split("text", _FENCE, -1)).alias("part", "body"))
+    parts = messages.select("message_id", "repo_id", F.posexplode(F.split("text", fixed.FENCE, -1)).alias("part", "body"))
     rows = parts.select("message_id", "repo_id", "part", F.posexplode(F.regexp_extract_all("body", F.lit(_CITED), 0)).alias("pos", "token"))
     bracketed = F.startswith("token", F.lit("["))
     inner = F.expr("substring(token, 2, length(token) - 2)")
-    whole = "^" + _REF + "$"
+    whole = "^" + fixed.REFERENCE + "$"
     rows = rows.withColumns(
         {
             "bracketed": bracketed,
@@ -473,7 +470,7 @@ def answer_tokens(messages: DataFrame, files: DataFrame) -> DataFrame:
             "_e": F.nullif(F.regexp_extract(inner, whole, 3), F.lit("")).cast("int"),
         }
     )
-    rows = rows.withColumn("path_like", F.col("raw").rlike(_PATH_LIKE))
+    rows = rows.withColumn("path_like", F.col("raw").rlike(fixed.PATH_LIKE))
     rows = resolved(rows, files)
     usable = F.col("path").isNotNull() & (F.col("bracketed") | F.col("path_like"))
     sizes = files.select("repo_id", "path", F.greatest(F.col("line_count"), F.lit(1)).cast("int").alias("_total"))
@@ -511,12 +508,12 @@ def repaired_answers(messages: DataFrame, tokens: DataFrame) -> DataFrame:
         joined = F.array_join(
             F.zip_with(F.split(body, _CITED, -1), mine, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
         )
-        tidy = F.regexp_replace(joined, r"\(\s*\)", "")
-        tidy = F.regexp_replace(tidy, r"(?<=\S)[ \t]{2,}(?=\S)", " ")
-        tidy = F.regexp_replace(tidy, r"(?<=\S)[ \t]+([,.;:!?])", "$1")
+        tidy = F.regexp_replace(joined, fixed.EMPTY_BRACKETS, "")
+        tidy = F.regexp_replace(tidy, fixed.WIDE_GAP, " ")
+        tidy = F.regexp_replace(tidy, fixed.GAP_BEFORE_MARK, "$1")
         return F.when(F.col("_cut") <= part, tidy).otherwise(joined)
 
-    outside = F.transform(F.split("text", _FENCE, -1), rebuilt)
-    fences = F.regexp_extract_all("text", F.lit(_FENCE), 0)
+    outside = F.transform(F.split("text", fixed.FENCE, -1), rebuilt)
+    fences = F.regexp_extract_all("text", F.lit(fixed.FENCE), 0)
     text = F.array_join(F.zip_with(outside, fences, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return rows.select("message_id", P.strip_chars(text, r"\s").alias("text"))

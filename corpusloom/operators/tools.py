@@ -47,8 +47,6 @@ def _json_object(depth: int = 6) -> str:
     return pattern
 
 
-_TAGGED = r"(?s)<tool_call>\s*(.*?)\s*(?:</tool_call>|$)"
-_FENCED = r"(?s)```(?:json|tool_call)?\s*(.*?)```"
 
 
 def text_tool_calls(replies: DataFrame, known: list[str]) -> DataFrame:
@@ -57,8 +55,8 @@ def text_tool_calls(replies: DataFrame, known: list[str]) -> DataFrame:
     Only known names count. Arguments come out as JSON text; objects nested deeper than six levels
     are not recognised.
     """
-    tagged = F.regexp_extract_all("text", F.lit(_TAGGED), 1)
-    fenced = F.regexp_extract_all("text", F.lit(_FENCED), 1)
+    tagged = F.regexp_extract_all("text", F.lit(fixed.TAGGED_CALL), 1)
+    fenced = F.regexp_extract_all("text", F.lit(fixed.FENCED_CALL), 1)
     bodies = F.when(F.size(tagged) > 0, tagged).when(F.size(fenced) > 0, fenced).otherwise(F.array("text"))
     objects = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(_json_object()), 0)))
     rows = replies.select("reply_id", F.posexplode(objects).alias("pos", "raw"))
@@ -76,7 +74,7 @@ def text_tool_calls(replies: DataFrame, known: list[str]) -> DataFrame:
 
 
 def without_tool_markup(text: Column) -> Column:
-    return P.strip_chars(F.regexp_replace(text, _TAGGED, ""), r"\s")
+    return P.strip_chars(F.regexp_replace(text, fixed.TAGGED_CALL, ""), r"\s")
 
 
 # --- tool arguments ---------------------------------------------------------------------------

@@ -320,9 +320,9 @@ def i3(t):
     "n9_acceptance",
     f"""WITH {REPAIRED_SQL}, s AS (SELECT repo_id || '-' || (k % 200) AS repo_id, CASE claim_id % 4 WHEN 0 THEN 'overview' WHEN 1 THEN 'start_here' WHEN 2 THEN 'architecture' ELSE 'tour' END AS section,
  count(*) FILTER (WHERE path IS NOT NULL) AS kept, count(*) FILTER (WHERE path IS NOT NULL AND claim_id % 3 = 0) AS flows FROM fin GROUP BY 1, 2)
- SELECT repo_id, section, kept, CASE WHEN section = 'start_here' AND kept < 1 THEN 'None of the suggested files exist in the repository.' WHEN section = 'overview' AND kept < 1 THEN '''structure'' referenced no real paths.'
- WHEN section = 'architecture' AND kept < 2 THEN 'Fewer than 2 modules point at real files or directories.' WHEN section = 'tour' AND kept < 3 THEN 'Fewer than 3 steps point at real files.'
- WHEN section = 'tour' AND flows < 1 THEN 'Every flow_trace step pointed at a file that does not exist.' END AS problem FROM s""",
+ SELECT repo_id, section, kept, CASE WHEN section = 'start_here' AND kept < 1 THEN 'no suggested file was found' WHEN section = 'overview' AND kept < 1 THEN 'the structure names no path that exists'
+ WHEN section = 'architecture' AND kept < 2 THEN 'needs two modules with existing paths' WHEN section = 'tour' AND kept < 3 THEN 'needs three steps with existing files'
+ WHEN section = 'tour' AND flows < 1 THEN 'no traced step names an existing file' END AS problem FROM s""",
     BOTH,
 )
 def n9(t):
