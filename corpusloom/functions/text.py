@@ -54,7 +54,7 @@ def embedding_text(path: Column, symbol: Column, content: Column) -> Column:
         F.lit("\n"),
         F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(F.lit("Symbol: "), symbol, F.lit("\n"))).otherwise(""),
     )
-    return F.left(F.concat(header, F.coalesce(content, F.lit(""))), F.lit(fixed.MAX_EMBED_CHARS))
+    return F.concat(header, F.coalesce(content, F.lit("")))
 
 
 def embed_hash(model: Column, text: Column) -> Column:

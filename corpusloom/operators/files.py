@@ -166,9 +166,9 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def minified(path: Column, content: Column) -> Column:
-    """``.min.`` in the name, or script or style text whose first 32 KB has very long lines."""
+    """``.min.`` in the name, or script or style text with very long lines."""
     name = F.lower(P.basename(path))
-    head = F.decode(F.substring(content.cast("binary"), 1, fixed.SNIFF_BYTES * 4), "ISO-8859-1")
+    head = F.decode(content.cast("binary"), "ISO-8859-1")
     parts = F.split(head, "\r\n|\n|\r", -1)
     n = F.greatest(F.size(parts) - (F.element_at(parts, -1) == "").cast("int"), F.lit(1))
     longest = F.array_max(F.transform(parts, F.length))
@@ -180,13 +180,16 @@ def minified(path: Column, content: Column) -> Column:
 
 
 def binary_content(content: Column) -> Column:
-    """A NUL byte in the first 8 KB."""
-    head = F.decode(F.substring(content.cast("binary"), 1, fixed.SNIFF_BYTES), "ISO-8859-1")
-    return F.instr(head, "\x00") > 0
+    """A NUL byte anywhere."""
+    return F.contains(content.cast("string"), F.lit("\x00"))
 
 
-def skip_reason(path: Column, size: Column, content: Column, max_bytes: int = fixed.MAX_FILE_BYTES) -> Column:
-    """Why a file is left out, or NULL. Name tests come first; content is read last."""
+def skip_reason(path: Column, size: Column, content: Column, max_bytes: int | None = None) -> Column:
+    """Why a file is left out, or NULL. Name tests come first; content is read last.
+
+    No size is too large unless the caller sets ``max_bytes``.
+    """
+    too_large = F.lit(False) if max_bytes is None else size > max_bytes
     name = F.lower(P.basename(path))
     ext = P.suffix(name)
     generated = name.rlike("(" + "|".join(s.replace(".", r"\.") for s in fixed.GENERATED_SUFFIXES) + ")$")
@@ -195,19 +198,19 @@ def skip_reason(path: Column, size: Column, content: Column, max_bytes: int = fi
         .when(ext.isin(fixed.BINARY_EXTENSIONS), F.lit("binary"))
         .when(generated, F.lit("generated"))
         .when(size == 0, F.lit("empty"))
-        .when(size > max_bytes, F.lit("too_large"))
+        .when(too_large, F.lit("too_large"))
         .when(minified(path, content), F.lit("minified"))
         .when(binary_content(content), F.lit("binary"))
     )
 
 
-def classified(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def classified(files: DataFrame, rules: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
     """Adds ``prune_dir``, ``skip_reason`` and ``language`` to ``repo_id, path, size, is_symlink, text``.
 
     ``skip_reason`` of a file below a pruned directory is that directory's reason.
     """
     # Content is judged before any join, so a caller that drops ``text`` never shuffles it.
-    own = files.withColumn("_own", skip_reason(F.col("path"), F.col("size"), F.col("text")))
+    own = files.withColumn("_own", skip_reason(F.col("path"), F.col("size"), F.col("text"), max_bytes))
     out = with_pruned_dir(own, ignored_dirs(files, rules) if rules is not None else None)
     ignored = F.lit(False)
     if rules is not None:
@@ -227,8 +230,8 @@ def classified(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
-def kept_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    return classified(files, rules).where("skip_reason IS NULL").drop("skip_reason", "prune_dir")
+def kept_files(files: DataFrame, rules: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    return classified(files, rules, max_bytes).where("skip_reason IS NULL").drop("skip_reason", "prune_dir")
 
 
 def skip_histogram(classified_files: DataFrame) -> DataFrame:
@@ -250,13 +253,13 @@ def repo_sizes(files: DataFrame) -> DataFrame:
 
 
 def rejected_repos(
-    files: DataFrame, max_files: int = fixed.MAX_FILES, max_bytes: int = fixed.MAX_REPO_BYTES
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Repositories above the file-count or size limit, with the reason."""
-    sizes = repo_sizes(files)
-    return sizes.where((F.col("files") > max_files) | (F.col("bytes") > max_bytes)).withColumn(
-        "reason", F.when(F.col("files") > max_files, "too_many_files").otherwise("repo_too_large")
-    )
+    """Repositories above the file-count or size limit, with the reason; none without a limit."""
+    many = F.lit(False) if max_files is None else F.col("files") > max_files
+    large = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
+    reason = F.when(many, "too_many_files").otherwise("repo_too_large")
+    return repo_sizes(files).where(many | large).withColumn("reason", reason)
 
 
 def within_limits(files: DataFrame, **limits: int) -> DataFrame:

@@ -309,7 +309,7 @@ _MIN = (
 _SKIP = f"""CASE WHEN {_NAME} IN {sql_list(fixed.LOCKFILES)} THEN 'lockfile'
  WHEN {_EXT} IN {sql_list(fixed.BINARY_EXTENSIONS)} THEN 'binary' WHEN {_GEN} THEN 'generated'
  WHEN size = 0 THEN 'empty' WHEN size > 512000 THEN 'too_large' WHEN {_MIN} THEN 'minified'
- WHEN contains(left(text, 8192), chr(0)) THEN 'binary' END"""
+ WHEN contains(text, chr(0)) THEN 'binary' END"""
 
 
 @query(
@@ -319,7 +319,7 @@ _SKIP = f"""CASE WHEN {_NAME} IN {sql_list(fixed.LOCKFILES)} THEN 'lockfile'
 )
 def b6(t):
     files = corpus(t, "tree_files")
-    reason = op.skip_reason(F.col("path"), F.col("size"), F.col("text"))
+    reason = op.skip_reason(F.col("path"), F.col("size"), F.col("text"), fixed.MAX_FILE_BYTES)
     return files.select("repo_id", "path", reason.alias("reason"))
 
 
@@ -362,7 +362,7 @@ _FULL = f"""WITH {_PRUNED}, {_RULES_SQL}, gdir AS (SELECT repo_id, path, arg_min
     ("tree_files",),
 )
 def b9(t):
-    return op.skip_histogram(op.classified(corpus(t, "tree_files"), ignore_rules(t)))
+    return op.skip_histogram(op.classified(corpus(t, "tree_files"), ignore_rules(t), fixed.MAX_FILE_BYTES))
 
 
 @query(
@@ -371,7 +371,7 @@ def b9(t):
     ("tree_files",),
 )
 def b9_too_large(t):
-    return op.too_large_paths(op.classified(corpus(t, "tree_files"), ignore_rules(t)))
+    return op.too_large_paths(op.classified(corpus(t, "tree_files"), ignore_rules(t), fixed.MAX_FILE_BYTES))
 
 
 @query(

@@ -156,7 +156,7 @@ def m2(t):
     return long.withColumn("weight", F.round("weight", 9))
 
 
-_HASHED = """hs AS (SELECT doc_id, repo_id, sha256(encode('hash-384' || chr(0) || left('File: ' || lang || '/' || chr(10) || text, 4000))) AS h, doc_id % 3 = 0 AS stored
+_HASHED = """hs AS (SELECT doc_id, repo_id, sha256(encode('hash-384' || chr(0) || 'File: ' || lang || '/' || chr(10) || text)) AS h, doc_id % 3 = 0 AS stored
  FROM (SELECT doc_id, source AS repo_id, lang, text FROM documents))"""
 
 

@@ -23,8 +23,8 @@ def c1(t):
 
 
 _EMBED_SQL = (
-    "left('File: ' || path || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Symbol: s' || doc_id || chr(10) "
-    "ELSE '' END || text, 4000)"
+    "('File: ' || path || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Symbol: s' || doc_id || chr(10) "
+    "ELSE '' END || text)"
 )
 
 

@@ -94,7 +94,7 @@ def l5(t):
 
 @query(
     "l5_incremental_embedding",
-    "SELECT sha256(encode('hash-16' || chr(0) || left('File: ' || lang || '/' || chr(10) || text, 4000))) AS embed_hash, 16 AS dims FROM documents GROUP BY 1",
+    "SELECT sha256(encode('hash-16' || chr(0) || 'File: ' || lang || '/' || chr(10) || text)) AS embed_hash, 16 AS dims FROM documents GROUP BY 1",
 )
 def l5_embedding(t):
     table = durable_path(t.spark, "vectors")

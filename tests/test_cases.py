@@ -317,3 +317,19 @@ def test_repo_addresses(spark):
     for url in ("https://github.com/o/r.git", "github.com/o/r/tree/x", "o/r", "git@github.com:o/r.git"):
         assert tuple(one(spark, P.repo_ref(F.lit(url)))) == ("o", "r", "github.com/o/r")
     assert one(spark, P.repo_ref(F.lit("https://example.org/o/r"))) is None
+
+
+# --- no limit unless asked for ------------------------------------------------------------------
+
+
+def test_defaults_read_everything(spark):
+    text = "a" * 9000 + "\x00" + "b"
+    rows = [("r", "big.py", 900_000, "x = 1\n"), ("r", "late.py", 9002, text), ("r", "late.js", 40_000, "x;\n" * 11_000 + "y" * 40_000_0)]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, text string")
+    reason = lambda *limit: {r["path"]: r["why"] for r in df.select("path", files.skip_reason(F.col("path"), F.col("size"), F.col("text"), *limit).alias("why")).collect()}
+    assert reason()["big.py"] is None and reason()["late.py"] == "binary"
+    assert reason(500_000)["big.py"] == "too_large"
+    assert files.rejected_repos(df).count() == 0 and files.within_limits(df).count() == 3
+    ends = spark.createDataFrame([("p", "w " * 5000 + "one"), ("p", "w " * 5000 + "two")], "path string, text string")
+    hashes = ends.select(X.embed_hash(F.lit("m"), X.embedding_text(F.col("path"), F.lit(None), F.col("text"))).alias("h"))
+    assert hashes.distinct().count() == 2
