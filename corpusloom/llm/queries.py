@@ -74,4 +74,20 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op6_katz, op7_mixing, op8_multi_index, op9_training_order, op10_token_counts, pipeline)
 }
-CHECKS: dict[str, str] = {"op3_licences": licences.check_sql()}
+_USABLE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+# A sum in the order of the components, as the operator forms it.
+_DOT = "list_reduce(list_transform(list_zip({}, {}), lambda p: p[1] * p[2]), lambda x, y: x + y)"
+
+CHECKS: dict[str, str] = {
+    "op1_rotated_codes": f"""WITH {_USABLE},
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format("a.e", "b.e")} / (sqrt({_DOT.format("a.e", "a.e")}) * sqrt({_DOT.format("b.e", "b.e")})) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM t WHERE n <= 5""",
+    "op3_licences": licences.check_sql(),
+    "op8_multi_index": f"""WITH RECURSIVE {_USABLE},
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.a) AS n_links, min(b) AS component_id, min(b) = a AS kept FROM r GROUP BY a""",
+}
