@@ -22,6 +22,12 @@ def run_available(writer: DataStreamWriter, name: str, spark) -> None:
     query.awaitTermination()
 
 
+def in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, sorted. They may come as many Arrow batches in any order, so they are
+    gathered first; the source's limit for a micro-batch bounds them."""
+    return pd.concat(list(frames)).sort_values(by)
+
+
 # --- job state (snapshot plus events) -----------------------------------------------------------
 
 
@@ -57,8 +63,8 @@ def quota_stream(requests: DataFrame, limit: int, seconds: int, user_type: str =
     """Accept or reject each request (``user_id, ts, ts_us, event_id``) on arrival.
 
     The state per user is at most ``limit`` times; it is dropped once the watermark shows the user
-    silent for the whole window. Requests of a user must arrive in time order, as they do at the
-    service that asks for the decision.
+    silent for the whole window. Requests of one micro-batch are decided in time order; one that comes in
+    a later micro-batch than a younger request is decided against what was accepted until then.
     """
     duration = seconds * 1_000_000
 
@@ -67,16 +73,15 @@ def quota_stream(requests: DataFrame, limit: int, seconds: int, user_type: str =
             state.remove()
             return
         kept, last = list(state.get[0]) if state.exists else [], 0
-        for frame in frames:
-            frame = frame.sort_values(["ts_us", "event_id"])
-            flags = []
-            for now in frame["ts_us"]:
-                kept = [x for x in kept if x > now - duration]
-                flags.append(len(kept) < limit)
-                last = int(now)
-                if flags[-1]:
-                    kept.append(last)
-            yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"].values, "accepted": flags})
+        frame = in_order(frames, ["ts_us", "event_id"])
+        flags = []
+        for now in frame["ts_us"]:
+            kept = [x for x in kept if x > now - duration]
+            flags.append(len(kept) < limit)
+            last = int(now)
+            if flags[-1]:
+                kept.append(last)
+        yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"].values, "accepted": flags})
         state.update((kept,))
         state.setTimeoutTimestamp(max((last + duration) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
@@ -101,26 +106,24 @@ def silent_jobs(heartbeats: DataFrame, minutes: int) -> DataFrame:
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (last,) = state.get
+            last, ended = state.get
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last_us": [last], "status": ["failed"]})
+            if not ended:
+                yield pd.DataFrame({"job_id": [key[0]], "last_us": [last], "status": ["failed"]})
             return
-        last, ended = (state.get[0] if state.exists else 0), False
+        # The end is remembered, so later signs of life change nothing, in the same micro-batch or in another.
+        last, ended = state.get if state.exists else (0, False)
         for frame in frames:
             last = max(last, int(frame["ts_us"].max()))
-            ended = ended or frame["status"].isin(["done", "failed"]).any()
-        if ended:
-            if state.exists:
-                state.remove()
-            return
-        state.update((last,))
+            ended = ended or bool(frame["status"].isin(["done", "failed"]).any())
+        state.update((last, ended))
         state.setTimeoutTimestamp(max((last + limit) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return (
         heartbeats.withWatermark("ts", "1 minute")
         .withColumn("ts_us", F.unix_micros("ts"))
         .groupBy("job_id")
-        .applyInPandasWithState(watch, "job_id bigint, last_us bigint, status string", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(watch, "job_id bigint, last_us bigint, status string", "last bigint, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -132,14 +135,12 @@ def health_changes(probes: DataFrame) -> DataFrame:
 
     def compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(["ts", "event_id"])
-            before = frame["online"].shift(1)
-            before.iloc[0] = last
-            changed = before.notna() & (before != frame["online"])
-            last = bool(frame["online"].iloc[-1])
-            yield frame.loc[changed, ["event_id", "online"]].assign(server=key[0])[["server", "event_id", "online"]]
-        state.update((last,))
+        frame = in_order(frames, ["ts", "event_id"])
+        before = frame["online"].astype(object).shift(1)
+        before.iloc[0] = last
+        changed = before.notna() & (before != frame["online"])
+        state.update((bool(frame["online"].iloc[-1]),))
+        yield frame.loc[changed, ["event_id", "online"]].assign(server=key[0])[["server", "event_id", "online"]]
 
     return probes.groupBy("server").applyInPandasWithState(
         compare, "server bigint, event_id bigint, online boolean", "last boolean", "append", GroupStateTimeout.NoTimeout

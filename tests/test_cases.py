@@ -333,3 +333,36 @@ def test_defaults_read_everything(spark):
     ends = spark.createDataFrame([("p", "w " * 5000 + "one"), ("p", "w " * 5000 + "two")], "path string, text string")
     hashes = ends.select(X.embed_hash(F.lit("m"), X.embedding_text(F.col("path"), F.lit(None), F.col("text"))).alias("h"))
     assert hashes.distinct().count() == 2
+
+
+# --- streams on any batching --------------------------------------------------------------------
+
+
+def test_streams_decide_in_time_order_within_a_micro_batch(spark, tmp_path):
+    from corpusloom.streaming import jobs
+
+    rows = [(1, i, 1_700_000_000_000_000 + i * 60_000_000, i % 4 < 2) for i in range(30)][::-1]
+    frame = spark.createDataFrame(rows, "key bigint, event_id bigint, ts_us bigint, online boolean").coalesce(1)
+    frame.withColumn("ts", F.timestamp_micros("ts_us")).write.parquet(f"{tmp_path}/in")
+    landed = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = {}
+        for name, stream in {
+            "quota": jobs.quota_stream(landed.withColumnRenamed("key", "user_id"), 3, 600),
+            "health": jobs.health_changes(landed.withColumnRenamed("key", "server").drop("ts_us")),
+        }.items():
+            writer = stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}")
+            query = writer.option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start()
+            query.awaitTermination()
+            found[name] = {r["event_id"]: r[2] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept, want = [], {}
+    for i in range(30):
+        kept = [x for x in kept if x > i - 10]
+        want[i] = len(kept) < 3
+        kept += [i] * want[i]
+    assert found["quota"] == want
+    online = [i % 4 < 2 for i in range(30)]
+    assert found["health"] == {i: online[i] for i in range(1, 30) if online[i] != online[i - 1]}
