@@ -303,11 +303,11 @@ def entry_points(files: DataFrame, limit: int = 12) -> DataFrame:
 
 
 def readmes(files: DataFrame) -> DataFrame:
-    """One README per repo (shallowest, then shortest path) with the first characters of its text."""
+    """One README per repo (shallowest, then shortest path) with its text."""
     hits = files.where(F.lower(P.basename(F.col("path"))).isin(fixed.README_NAMES)).select(
         "repo_id",
         "path",
-        F.left("text", F.lit(fixed.README_CHARS)).alias("excerpt"),
+        F.col("text").alias("excerpt"),
         P.depth(F.col("path")).alias("_depth"),
         F.length("path").alias("_len"),
     )

@@ -137,7 +137,7 @@ def a7(t):
         "CAST(doc_id % 7 + 1 AS INT) AS start_line",
         "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 9 + 1 AS INT) END AS end_line",
     )
-    return stores.read_ranges(asked, files.drop("text"), stores.blobs_of(files))
+    return stores.read_ranges(asked, files.drop("text"), stores.blobs_of(files), fixed.MAX_READ_LINES)
 
 
 def call_log(t):
@@ -442,7 +442,7 @@ def b14(t):
 
 @query(
     "b15_readme",
-    f"""SELECT repo_id, path, excerpt FROM (SELECT repo_id, path, left(text, 3500) AS excerpt, row_number() OVER (PARTITION BY
+    f"""SELECT repo_id, path, excerpt FROM (SELECT repo_id, path, text AS excerpt, row_number() OVER (PARTITION BY
  repo_id ORDER BY length(path) - length(replace(path, '/', '')), length(path), path) AS n FROM tree_files
  WHERE {_NAME} IN {sql_list(fixed.README_NAMES)}) WHERE n = 1""",
     ("tree_files",),

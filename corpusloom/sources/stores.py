@@ -70,10 +70,12 @@ def with_content(files: DataFrame, blobs: DataFrame) -> DataFrame:
 # --- reading line ranges ----------------------------------------------------------------------
 
 
-def read_ranges(requests: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame:
+def read_ranges(
+    requests: DataFrame, files: DataFrame, blobs: DataFrame, max_lines: int | None = None
+) -> DataFrame:
     """Numbered line ranges for ``request_id, repo_id, path, start_line, end_line``.
 
-    At most 200 lines per request; ``status`` is ok, not_found, out_of_range or bad_range.
+    At most ``max_lines`` lines per request (all without it; ``more`` tells of a cut); ``status`` is ok, not_found, out_of_range or bad_range.
     """
     cited = requests.join(files.select("repo_id", "path", "blob_sha"), ["repo_id", "path"], "left")
     known = with_content(cited.where("blob_sha IS NOT NULL"), blobs)
@@ -82,7 +84,7 @@ def read_ranges(requests: DataFrame, files: DataFrame, blobs: DataFrame) -> Data
     total = F.greatest(F.size(parts), F.lit(1))
     start = F.coalesce("start_line", F.lit(1))
     wanted = F.least(F.coalesce(F.col("end_line"), total), total)
-    end = F.least(wanted, start + fixed.MAX_READ_LINES - 1)
+    end = wanted if max_lines is None else F.least(wanted, start + max_lines - 1)
     status = (
         F.when(F.col("content").isNull(), "not_found")
         .when(start > total, "out_of_range")
@@ -135,7 +137,7 @@ def file_content(requests: DataFrame, files: DataFrame, blobs: DataFrame) -> Dat
 def append_log(calls: DataFrame, path: str) -> None:
     """Append call rows, one partition per day so that old days can be dropped."""
     (
-        calls.withColumn("arguments", X.scrubbed(F.left("arguments", F.lit(500))))
+        calls.withColumn("arguments", X.scrubbed(F.col("arguments")))
         .withColumn("day", F.to_date("ts"))
         .write.mode("append")
         .partitionBy("day")
@@ -144,8 +146,10 @@ def append_log(calls: DataFrame, path: str) -> None:
 
 
 def retained(log: DataFrame, now: Column, days: int = fixed.LOG_RETENTION_DAYS) -> DataFrame:
-    """Rows younger than the retention time."""
-    return log.where(F.col("ts") > now - F.expr(f"INTERVAL {days} DAYS"))
+    """Rows younger than the retention time; whole older days of a stored log are not even read."""
+    since = now - F.expr(f"INTERVAL {days} DAYS")
+    young = log.where(F.col("day") >= F.to_date(since)) if "day" in log.columns else log
+    return young.where(F.col("ts") > since)
 
 
 # --- citations in stored payloads -------------------------------------------------------------
