@@ -39,11 +39,12 @@ def test_noisy_tree(spark):
     df = spark.createDataFrame([("r", p, len(t), False, t) for p, t in rows], "repo_id string, path string, size bigint, is_symlink boolean, text string")
     df = df.unionByName(spark.createDataFrame([("r", "big.py", 720_000, False, "x")], df.schema))
     rules = spark.createDataFrame([("r", "", 0, "*.log"), ("r", "", 1, "tmp/")], "repo_id string, dir string, ordinal int, pattern string")
-    result = files.classified(df, rules)
+    result = files.classified(df, rules, max_bytes=500_000)
     counts = {r["reason"]: r["skipped"] for r in files.skip_histogram(result).collect()}
     assert counts == {"ignored_dir": 2, "vendored": 1, "lockfile": 1, "binary": 2, "minified": 2, "empty": 1, "gitignored": 2, "too_large": 1}
     assert [r["path"] for r in files.too_large_paths(result).collect()] == ["big.py"]
-    assert [r["path"] for r in files.kept_files(df, rules).collect()] == ["app/main.py"]
+    assert [r["path"] for r in files.kept_files(df, rules, max_bytes=500_000).collect()] == ["app/main.py"]
+    assert "big.py" in [r["path"] for r in files.kept_files(df, rules).collect()]
 
 
 def test_ignore_file_in_a_directory(spark):
