@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, comb
 
@@ -31,19 +31,26 @@ from corpusloom.llm.components import connected, merged
 SEED = 42
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """The 64-bit fingerprint of one text; 0 without a word."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Unsigned hashes of the text's word shingles in their order; all words as one if they are too few."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: -width]))
     spans = zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """The 64-bit fingerprint of one text; 0 without a word."""
+    hashes = shingle_hashes(text, width)
+    if len(hashes) < 2:
+        return int(hashes.sum())
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
@@ -203,7 +210,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     """
     marked = stored(fingerprints(docs, width), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    parts = connected(links(distinct, radius)).select(F.col("node").alias("fp"), "component")
+    return grouped(marked, distinct, links(distinct, radius))
+
+
+def grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of ``marked`` (doc_id, fp).
+
+    ``distinct`` has each fp with its smallest doc_id (low), ``edges`` (a, b) link fps.
+    """
+    parts = connected(edges).select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "component").select("fp", "component_id")
@@ -217,7 +232,11 @@ def first_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame
     Of rows that repeat this id, the one with the smallest hash of its text stays. A row without an id
     goes if its group has a row with one, and stays otherwise (nothing names it as a copy).
     """
-    found = near_duplicates(docs, radius, width)
+    return kept_of(docs, near_duplicates(docs, radius, width), lambda text: fingerprint(text, width))
+
+
+def kept_of(docs: DataFrame, found: DataFrame, mark: Callable[[str], int]) -> DataFrame:
+    """The rows of ``docs`` that stay if ``found`` is their grouping; ``mark`` gives a text's unsigned fp."""
     named = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
     columns = docs.columns
     same = F.col("doc_id").cast("long") == F.col("_keep_id")
@@ -227,16 +246,16 @@ def first_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame
     kept = once.where("_turn = 1").select(*columns)
     nameless = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
     marks = docs.where("doc_id IS NULL")
-    return kept.unionByName(_nameless(marks, nameless, width))
+    return kept.unionByName(_nameless(marks, nameless, mark))
 
 
-def _nameless(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _nameless(rows: DataFrame, wanted: DataFrame, mark: Callable[[str], int]) -> DataFrame:
     """Rows without an id whose fingerprint is in ``wanted``."""
     columns = rows.columns
 
     @F.pandas_udf("string")
     def digits(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: f"{fingerprint(t, width):016x}")
+        return texts.fillna("").map(lambda t: f"{mark(t):016x}")
 
     marked = rows.withColumn("_fingerprint", digits(F.col("text").cast("string")))
     return marked.join(wanted, marked["_fingerprint"] == wanted["fingerprint"], "left_semi").select(*columns)
