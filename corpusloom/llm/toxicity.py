@@ -26,6 +26,7 @@ _FOLD = bytes.maketrans(
 )
 SAMPLE = 12_000
 MEMO = 120_000
+LONG = 62
 
 
 @dataclass
@@ -40,24 +41,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word, marked, and its distinct five-byte pieces."""
+def features_of(word: bytes) -> Iterator[bytes]:
+    """The word, marked, and all its five-byte pieces; a piece comes as often as it is there."""
     framed = b"^" + word + b"$"
-    return [framed, *{framed[i : i + 5] for i in range(min(len(framed) - 4, 60))} - {framed}]
+    yield framed
+    for i in range(len(framed) - 4):
+        yield framed[i : i + 5]
 
 
 class _Uses(dict):
-    """Word -> indices of its selected features (mostly none); forgets everything when it grows."""
+    """Word -> indices of its selected features (mostly none); forgets everything when it grows.
+
+    Words above ``LONG`` bytes are read whole but not remembered."""
 
     def __init__(self, index: dict[bytes, int]) -> None:
         super().__init__()
         self.index = index
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > MEMO:
-            self.clear()
-        found = tuple(self.index[f] for f in features_of(word) if f in self.index)
-        self[word] = found
+        found = tuple({self.index[f] for f in features_of(word) if f in self.index})
+        if len(word) <= LONG:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = found
         return found
 
     def counts(self, text: str) -> Counter:
