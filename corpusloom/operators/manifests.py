@@ -170,20 +170,28 @@ def go_modules(files: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id").agg(F.max_by("go_module", F.struct("depth", "path")).alias("go_module"))
 
 
-def run_scripts(files: DataFrame) -> DataFrame:
-    """Run scripts per repo, first definition wins, at most 40 kept in first-seen order."""
+def run_scripts(
+    files: DataFrame, npm_scripts: int | None = None, max_scripts: int | None = None, command_chars: int | None = None
+) -> DataFrame:
+    """Run scripts per repo in first-seen order, first definition wins.
+
+    All scripts and whole commands by default; the limits are for a package.json, a repository and a command.
+    """
     rows = manifests_of(files)
-    cut = F.left("command", F.lit(fixed.MAX_SCRIPT_CHARS))
+
+    def cut(command: Column) -> Column:
+        return (command if command_chars is None else F.left(command, F.lit(command_chars))).alias("command")
+
     npm = (
         rows.where("name = 'package.json'")
         .select(*_ORDER, F.posexplode(F.from_json("text", _PACKAGE_JSON)["scripts"]).alias("pos", "script", "command"))
-        .where(F.col("pos") < fixed.MAX_NPM_SCRIPTS)
-        .select(*_ORDER, "pos", F.concat(F.lit("npm run "), "script").alias("script"), cut.alias("command"))
+        .where(F.lit(True) if npm_scripts is None else F.col("pos") < npm_scripts)
+        .select(*_ORDER, "pos", F.concat(F.lit("npm run "), "script").alias("script"), cut(F.col("command")))
     )
     toml = (
         rows.where("name = 'pyproject.toml'")
         .select(*_ORDER, F.posexplode(_pyproject("text")["scripts"]).alias("pos", "s"))
-        .select(*_ORDER, "pos", F.col("s.name").alias("script"), F.left("s.command", F.lit(fixed.MAX_SCRIPT_CHARS)).alias("command"))
+        .select(*_ORDER, "pos", F.col("s.name").alias("script"), cut(F.col("s.command")))
     )
     target = F.transform(X.lines(F.col("text")), lambda x: F.regexp_extract(x, r"^([A-Za-z0-9_\-][A-Za-z0-9_.\-]*):(?!=)", 1))
     make = (
@@ -195,7 +203,7 @@ def run_scripts(files: DataFrame) -> DataFrame:
     every = npm.unionByName(toml).unionByName(make)
     first = first_per_key(every, ["repo_id", "script"], ["depth", "path", "pos"])
     order = [F.col("depth"), F.col("path"), F.col("pos"), F.col("script")]
-    return top_k(first, ["repo_id"], order, fixed.MAX_STORED_SCRIPTS, "position").select(
+    return top_k(first, ["repo_id"], order, 1 << 30 if max_scripts is None else max_scripts, "position").select(
         "repo_id", "script", "command", "position"
     )
 

@@ -12,21 +12,22 @@ from corpusloom.scale import running_sum, salted_join, top_k
 
 
 def grep(
-    files: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = False, max_results: int = 50, scan_chars: int = fixed.MAX_GREP_CHARS
+    files: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = False, max_results: int = 50, scan_chars: int | None = None
 ) -> DataFrame:
     """Matching lines per repository in path and line order, at most ``max_results`` each.
 
-    ``files``: ``repo_id, path, text``. A repository is read up to ``scan_chars`` characters in path
-    order; the running total is only computed for repositories above that.
+    ``files``: ``repo_id, path, text``. All files are searched. With ``scan_chars`` a repository is read up to so
+    many characters in path order; the running total is only computed for repositories above that.
     """
     rows = files.select("repo_id", "path", "text", F.length("text").alias("chars"))
     if path_glob:
         rows = rows.where(P.glob_matches(F.col("path"), path_glob))
-    large = rows.groupBy("repo_id").agg(F.sum("chars").alias("n")).where(F.col("n") > scan_chars).select("repo_id")
-    sizes = salted_join(rows.select("repo_id", "path", "chars"), large, ["repo_id"], "left_semi", spread_by=["path"])
-    if not large.isEmpty():
-        beyond = running_sum(sizes, ["repo_id"], ["path"], "chars", "before").where(F.col("before") + F.col("chars") > scan_chars)
-        rows = rows.join(beyond.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    if scan_chars is not None:
+        large = rows.groupBy("repo_id").agg(F.sum("chars").alias("n")).where(F.col("n") > scan_chars).select("repo_id")
+        sizes = salted_join(rows.select("repo_id", "path", "chars"), large, ["repo_id"], "left_semi", spread_by=["path"])
+        if not large.isEmpty():
+            beyond = running_sum(sizes, ["repo_id"], ["path"], "chars", "before").where(F.col("before") + F.col("chars") > scan_chars)
+            rows = rows.join(beyond.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
     regex = f"(?i){pattern}" if ignore_case else pattern
     hits = F.filter(
         F.transform(X.lines(F.col("text")), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"))),
