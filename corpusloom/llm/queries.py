@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import counting, katz, licences, mixing, multi_index, rotated_codes, shards, simhash, subwords, toxicity
+from corpusloom.llm import (
+    counting,
+    hard_negatives,
+    hosts,
+    katz,
+    licences,
+    mixing,
+    multi_index,
+    periodic,
+    rotated_codes,
+    shards,
+    simhash,
+    subwords,
+    toxicity,
+)
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +78,23 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return counting.counted(table(spark, root, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, root: str) -> DataFrame:
+    found = hosts.judged(table(spark, root, "documents"), F.col("source"))
+    base = F.arrays_overlap("failed", F.array(*[F.lit(r) for r in hosts.BASE]))
+    counts = [c for c in hosts.COUNTS if c != "n_lines"]
+    return found.select("doc_id", *counts, base.alias("base_failed"), (~base & ~F.col("host_rejected")).alias("kept"), "host_rejected")
+
+
+def op12_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    return periodic.digest(periodic.marked(periodic.with_planted_runs(table(spark, root, "documents"))))
+
+
+def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, root, "embeddings").withColumn("label", label)
+    return hard_negatives.mined(rows, lambda vec_id: vec_id % 50 == 0)
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +103,22 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_rotated_codes, op2_merge_dropout, op3_licences, op4_simhash, op5_toxicity, op6_katz, op7_mixing, op8_multi_index, op9_training_order, op10_token_counts, pipeline)
+    for f in (
+        op1_rotated_codes,
+        op2_merge_dropout,
+        op3_licences,
+        op4_simhash,
+        op5_toxicity,
+        op6_katz,
+        op7_mixing,
+        op8_multi_index,
+        op9_training_order,
+        op10_token_counts,
+        op11_host_rules,
+        op12_periodic_runs,
+        op13_hard_negatives,
+        pipeline,
+    )
 }
 _USABLE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
@@ -86,6 +132,8 @@ CHECKS: dict[str, str] = {
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
  SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM t WHERE n <= 5""",
     "op3_licences": licences.check_sql(),
+    "op11_host_rules": hosts.verdicts_sql(),
+    "op13_hard_negatives": hard_negatives.check_sql(),
     "op8_multi_index": f"""WITH RECURSIVE {_USABLE},
  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
  r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
