@@ -2,10 +2,14 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). Each pattern offers its
 words once for each pass, and every further pass costs more (0, 1, 2, ...: convex). The cheapest flow
-from patterns to source quotas says how many words each pattern gives; documents are then taken in the order
-of a seeded hash: whole passes over the pattern, one pass up to a threshold, and the one further document that
-brings the pattern nearest to its flow. Only sums by pattern reach the driver (``LIMIT`` patterns at most); the
-threshold is found from a histogram of the hash, so no pattern is ordered in one task.
+from patterns to source quotas says how many words each pattern gives. A pattern that shares its only source with no
+other is a flow of one edge, found in closed form; patterns that overlap are solved in their connected parts, one part
+in a task (its size is that of the patterns, not of the documents).
+
+Documents are then taken in the order of a seeded hash: whole passes over the pattern, then one pass in which a
+document that no longer fits is skipped and the next ones go on. What is short in the end is less than any unused
+document, and one further document is taken if it brings the pattern nearer. The places where a document is skipped
+are found from histograms of the hash in two levels, so no pattern is ordered in one task.
 """
 
 from __future__ import annotations
@@ -14,14 +18,17 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored, words_in
+from corpusloom.llm.components import connected
+from corpusloom.scale import running_sum, salted_join
 
 PASSES = 3
-LIMIT = 100_000
-_CELL_BITS = 12
+_LEVELS = (12, 24)
+_SEGMENTS = "array<struct<after:long,before:long,most:long>>"
 
 
 class Network:
@@ -69,24 +76,13 @@ class Network:
                 self.room[e ^ 1] += step
 
 
-def targets(sizes: dict, weights: dict, total: float, most: float = PASSES) -> dict:
-    """Words for each source: shares of ``total`` by weight, none above ``most`` times its size.
+def routed(
+    patterns: dict[tuple, int], quotas: dict, passes: int = PASSES, members: Callable[[tuple], tuple] = tuple
+) -> dict[tuple, dict]:
+    """pattern -> {source: words} of the cheapest flow that fills the quotas as far as it can.
 
-    What a full source can't take is shared again by weight among the others.
+    ``members`` gives a pattern's sources (by default the pattern itself).
     """
-    full: dict = {}
-    while True:
-        open_ = [s for s in sizes if s not in full]
-        left, weight = total - sum(full.values()), sum(weights[s] for s in open_)
-        share = {s: left * weights[s] / weight for s in open_} if weight else {}
-        over = [s for s in open_ if share[s] > most * sizes[s]]
-        if not over:
-            return full | share
-        full |= {s: float(most * sizes[s]) for s in over}
-
-
-def routed(patterns: dict[tuple, int], quotas: dict, passes: int = PASSES) -> dict[tuple, dict]:
-    """pattern -> {source: words} of the cheapest flow that fills the quotas as far as it can."""
     names, spots = list(patterns), {s: i for i, s in enumerate(quotas)}
     base = 1 + len(names)
     sink = base + len(spots)
@@ -95,7 +91,7 @@ def routed(patterns: dict[tuple, int], quotas: dict, passes: int = PASSES) -> di
     for i, pattern in enumerate(names, 1):
         for k in range(passes):
             net.edge(0, i, patterns[pattern], k)
-        for s in pattern:
+        for s in members(pattern):
             arcs[pattern][s] = net.edge(i, base + spots[s], passes * patterns[pattern], 0)
     for s, i in spots.items():
         net.edge(base + i, sink, round(quotas[s]), 0)
@@ -103,107 +99,181 @@ def routed(patterns: dict[tuple, int], quotas: dict, passes: int = PASSES) -> di
     return {p: {s: net.room[e ^ 1] for s, e in arcs[p].items()} for p in names}
 
 
-def repeating_weights(sources: list) -> dict:
-    """Sources in code point order, null last, weigh 1, 2, 3, 1, ..."""
-    ordered = sorted((s for s in sources if s is not None), key=str) + [None] * (None in sources)
-    return {s: i % 3 + 1 for i, s in enumerate(ordered)}
+def repeating_weights(sources: DataFrame) -> DataFrame:
+    """``sources`` with weight: in code point order, null last, they weigh 1, 2, 3, 1, ..."""
+    ranked = running_sum(sources.withColumns({"_null": F.col("source").isNull(), "_one": F.lit(1)}), [], ["_null", "source"], "_one", "_rank")
+    return ranked.withColumn("weight", F.col("_rank") % 3 + 1).drop("_null", "_one", "_rank")
 
 
-def _prepared(docs: DataFrame, members: Column, seed: int) -> DataFrame:
-    """``docs`` with _pattern (sorted distinct members), _words and _order (seeded hash)."""
-    pattern = F.array_sort(F.array_distinct(members))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text)
-    return docs.withColumns({"_pattern": pattern, "_words": words_in(text), "_order": order})
+def targets(sources: DataFrame, total: float, most: float = PASSES) -> DataFrame:
+    """``sources`` (size, weight) with target: shares of ``total`` by weight, none above ``most`` times its size.
+
+    What a full source can't take is shared again by weight among the others. Only sums reach the driver.
+    """
+    level, full = 0.0, F.col("size") * most < F.col("weight") * F.lit(0.0)
+    while True:
+        row = sources.agg(F.sum(F.when(full, F.col("size") * most)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not row[1]:
+            break
+        now = (total - float(row[0] or 0)) / float(row[1])
+        if now <= level:
+            break
+        level = now
+        full = F.col("size") * most < F.col("weight") * level
+    return sources.withColumn("target", F.least(F.col("size") * float(most), F.col("weight") * F.lit(level)))
+
 
+def _hashed(value: Column) -> Column:
+    """A long that stands for a source or a pattern; null is a value of its own."""
+    return F.xxhash64(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}))
 
-def plan(
-    docs: DataFrame, members: Column, weigh: Callable[[list], dict] = repeating_weights, seed: int = 7
-) -> tuple[DataFrame, dict, dict]:
-    """(one row per pattern: how it is taken; target by source; size by source).
 
-    The row says: passes (whole ones), below (documents up to this hash are taken once more), extra (so is
-    the document with this hash). Rows that repeat a document share a hash and are taken alike.
+def _prepared(docs: DataFrame, members: Column, seed: int) -> DataFrame:
+    """(row: the input row, pattern, p, words, order) for every row of ``docs``; order is the seeded hash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.array_sort(F.array_distinct(members)).alias("pattern"), words_in(text).alias("words"), order.alias("order"))
+    return rows.withColumn("p", _hashed(F.col("pattern")))
+
+
+def flows(patterns: DataFrame, sources: DataFrame, passes: int = PASSES) -> DataFrame:
+    """(p, n, flow) of the cheapest flow from ``patterns`` (p, pattern, n) to ``sources`` (s, target)."""
+    edges = patterns.select("p", "pattern", "n", F.explode("pattern").alias("source")).withColumn("s", _hashed(F.col("source")))
+    degree = edges.groupBy("s").agg(F.count("*").alias("degree"))
+    edges = stored(edges.join(sources.select("s", "target"), "s").join(degree, "s"), "mix-edges")
+    alone = (F.size("pattern") == 1) & (F.col("degree") == 1)
+    single = edges.where(alone).select("p", "n", F.least(F.round("target").cast("long"), F.col("n") * passes).alias("flow"))
+    shared = edges.where(~alone)
+    if shared.isEmpty():
+        return single
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        offers = {(p, n): tuple(g) for (p, n), g in part.groupby(["p", "n"])["s"]}
+        by_name = {tuple([p, *members]): n for (p, n), members in offers.items()}
+        quotas = dict(zip(part["s"].tolist(), part["target"].tolist(), strict=True))
+        flow = routed(by_name, quotas, passes, members=lambda name: name[1:])
+        return pd.DataFrame([(k[0], n, sum(flow[k].values())) for k, n in by_name.items()], columns=["p", "n", "flow"])
+
+    parts = connected(shared.select(F.col("p").alias("a"), F.col("s").alias("b")))
+    shared = shared.join(parts, F.col("p") == F.col("node")).select("component", "p", "n", "s", "target")
+    return single.union(shared.groupBy("component").applyInPandas(solve, "p long, n long, flow long"))
+
+
+def plan(docs: DataFrame, members: Column, weights: DataFrame | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(p, passes, segments, extra of each pattern; source, s, size, weight, target of each source).
+
+    A document is taken ``passes`` times, once more if its hash lies between ``after`` and ``before`` of a segment and it
+    has ``most`` words or fewer, and once more if its hash is ``extra``. Rows that repeat a document share a hash and
+    are taken alike. ``weights`` (source, weight) replaces the repeating weights 1, 2, 3.
+    """
+    prepared = _prepared(docs.select("doc_id", "text", members.alias("_members")), F.col("_members"), seed)
+    units = prepared.groupBy("p", "order").agg(F.first("pattern").alias("pattern"), F.sum("words").alias("n"), F.max("words").alias("words"))
+    units = stored(units, "mix-units")
+    patterns = stored(units.groupBy("p").agg(F.first("pattern").alias("pattern"), F.sum("n").alias("n")), "mix-patterns")
+    sources = patterns.select(F.explode("pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("size"))
+    if weights is None:
+        weighed = repeating_weights(sources)
+    else:
+        weighed = sources.join(weights.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    weighed = stored(weighed.withColumn("s", _hashed(F.col("source"))), "mix-weights")
+    total = patterns.agg(F.sum("n")).first()[0] or 0
+    wanted = stored(targets(weighed, total), "mix-targets")
+    spread = flows(patterns, wanted).where("n > 0")
+    spread = spread.select("p", F.floor(F.col("flow") / F.col("n")).alias("passes"), (F.col("flow") % F.col("n")).alias("need"))
+    return _chosen(units.where("n > 0").select("p", "order", "n", "words"), stored(spread, "mix-flows")), wanted
+
+
+def _chosen(units: DataFrame, spread: DataFrame) -> DataFrame:
+    """The segments and the extra document of each pattern: ``need`` words in hash order, skipping what doesn't fit."""
+    state = spread.select("p", "passes", F.col("need").alias("left"), F.lit(None).cast("long").alias("at"), F.array().cast(_SEGMENTS).alias("segments"))
+    state = stored(state, "mix-state")
+    while True:
+        open_ = state.where("left > 0")
+        ahead = salted_join(units, open_, ["p"]).where("words <= left AND (at IS NULL OR order > at)").select("p", "order", "n", "left")
+        ahead = stored(ahead, "mix-ahead")
+        stops = _stops(ahead)
+        if stops is None:
+            break
+        moved = state.join(stops, "p", "left")
+        segment = F.struct(F.col("at").alias("after"), F.col("stop").alias("before"), F.col("left").alias("most"))
+        moved = moved.withColumn("segments", F.when(F.col("got").isNotNull(), F.concat("segments", F.array(segment))).otherwise(F.col("segments")))
+        done = F.col("got").isNotNull() & F.col("stop").isNull()
+        moved = moved.withColumn("left", F.col("left") - F.coalesce("got", F.lit(0)))
+        # Without a stop the whole rest was taken: nothing is ahead, so the place is the end.
+        end = F.lit((1 << 63) - 1)
+        moved = moved.withColumn("at", F.when(done, end).otherwise(F.coalesce("stop", "at")))
+        state = stored(moved.select("p", "passes", "left", "at", "segments"), "mix-state")
+    taken = salted_join(units, state.where("left > 0"), ["p"]).where(~_inside(F.col("segments"), F.col("order"), F.col("words")))
+    miss = F.abs(F.col("n") - F.col("left"))
+    best = taken.where(miss < F.col("left")).groupBy("p").agg(F.min_by("order", F.struct(miss, "order")).alias("extra"))
+    return stored(state.join(best, "p", "left").select("p", "passes", "segments", "extra"), "mix-plan")
+
+
+def _stops(ahead: DataFrame) -> DataFrame | None:
+    """(p, got, stop): words before the first unit that doesn't fit into ``left``, and its hash (null: all fit).
+
+    ``ahead`` has units in the order of their hash; None if it has none.
     """
-    spark = docs.sparkSession
-    units = _prepared(docs.select("doc_id", "text", members.alias("_m")), F.col("_m"), seed)
-    units = units.groupBy("_pattern", "_order").agg(F.sum("_words").alias("_words"))
-    units = stored(units.where("_words > 0"), "mix-units")
-    sums = units.groupBy("_pattern").agg(F.sum("_words").alias("n")).limit(LIMIT + 1).collect()
-    if len(sums) > LIMIT:
-        raise ValueError(f"more than {LIMIT} membership patterns")
-    seen = docs.select(F.explode(members).alias("s")).distinct().limit(LIMIT + 1).collect()
-    patterns = {tuple(r["_pattern"]): int(r["n"]) for r in sorted(sums, key=lambda r: str(r["_pattern"]))}
-    sizes = {r["s"]: sum(n for p, n in patterns.items() if r["s"] in p) for r in seen}
-    weights = weigh(list(sizes))
-    wanted = targets(sizes, weights, sum(patterns.values()))
-    flow = {p: sum(f.values()) for p, f in routed(patterns, wanted).items()}
-    schema = "_pattern array<string>, passes long, need long"
-    rows = [(list(p), flow[p] // n, flow[p] % n) for p, n in patterns.items()]
-    spread = spark.createDataFrame(rows, schema)
-    return _thresholds(units, spread), wanted, sizes
-
-
-def _thresholds(units: DataFrame, spread: DataFrame) -> DataFrame:
-    cell = F.shiftright("_order", 64 - _CELL_BITS)
-    cells = units.groupBy("_pattern", cell.alias("cell")).agg(F.sum("_words").alias("n"))
-    ahead = Window.partitionBy("_pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("upto", F.sum("n").over(ahead)).join(F.broadcast(spread), "_pattern")
-    edge = cells.where("upto > need").groupBy("_pattern").agg(F.min("cell").alias("cell"))
-    sure = cells.where("upto <= need").groupBy("_pattern").agg(F.max("upto").alias("sure"))
-    edge = edge.join(sure, "_pattern", "left").na.fill(0, ["sure"]).join(spread, "_pattern")
-    within = units.withColumn("cell", cell).join(F.broadcast(edge), ["_pattern", "cell"])
-    order = Window.partitionBy("_pattern").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    within = within.withColumn("upto", F.col("sure") + F.sum("_words").over(order))
-    taken = within.where("upto <= need").groupBy("_pattern").agg(F.max("_order").alias("below"), F.max("upto").alias("got"))
-    lowest = F.shiftleft(F.col("cell").cast("long"), 64 - _CELL_BITS) - 1
-    bounds = edge.join(taken, "_pattern", "left").select(
-        "_pattern",
-        "passes",
-        F.coalesce("below", F.when(F.col("cell") > -(1 << (_CELL_BITS - 1)), lowest)).alias("below"),
-        (F.col("need") - F.coalesce("got", "sure")).alias("short"),
-    )
-    rest = units.join(F.broadcast(bounds), "_pattern").where("below IS NULL OR _order > below")
-    miss = F.abs(F.col("_words") - F.col("short"))
-    best = rest.where(miss < F.col("short")).groupBy("_pattern").agg(F.min_by("_order", F.struct(miss, "_order")).alias("extra"))
-    return stored(bounds.join(best, "_pattern", "left").select("_pattern", "passes", "below", "extra"), "mix-plan")
+    if ahead.isEmpty():
+        return None
+    whole = ahead.groupBy("p").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    fitting = whole.where("n <= left").select("p", F.col("n").alias("got"), F.lit(None).cast("long").alias("stop"))
+    rows = salted_join(ahead, whole.where("n > left").select("p", F.lit(0).cast("long").alias("sure")), ["p"])
+    for bits in _LEVELS:
+        cell = F.shiftright("order", 64 - bits).alias("cell")
+        cells = rows.groupBy("p", cell).agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("sure").alias("sure"))
+        along = Window.partitionBy("p").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("upto", F.col("sure") + F.sum("n").over(along))
+        edge = cells.where("upto > left").groupBy("p").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("n")).alias("sure")), "cell").alias("e"))
+        edge = edge.select("p", F.col("e.cell").alias("_cell"), F.col("e.sure").alias("_sure"))
+        rows = salted_join(rows, edge, ["p"]).where(F.shiftright("order", 64 - bits) == F.col("_cell"))
+        rows = rows.select("p", "order", "n", "left", F.col("_sure").alias("sure"))
+    along = Window.partitionBy("p").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.col("sure") + F.sum("n").over(along)).where("upto > left")
+    stop = rows.groupBy("p").agg(F.min_by(F.struct((F.col("upto") - F.col("n")).alias("got"), F.col("order").alias("stop")), "order").alias("r"))
+    return stored(fitting.union(stop.select("p", "r.got", "r.stop")), "mix-stops")
+
+
+def _inside(segments: Column, order: Column, words: Column) -> Column:
+    def one(s: Column) -> Column:
+        low = s["after"].isNull() | (order > s["after"])
+        return low & (s["before"].isNull() | (order < s["before"])) & (words <= s["most"])
+
+    return F.exists(segments, one)
 
 
 def _taken(docs: DataFrame, members: Column, takes: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with _pattern, _words and _times (how often the mix takes the row)."""
-    takes = takes.select(*[F.col(c).alias(f"_take_{c.strip('_')}") for c in takes.columns])
-    again = (F.col("_order") <= F.col("_take_below")) | (F.col("_order") == F.col("_take_extra"))
-    times = F.coalesce("_take_passes", F.lit(0)) + F.coalesce(again, F.lit(False)).cast("long")
-    prepared = _prepared(docs, members, seed)
-    joined = prepared.join(F.broadcast(takes), F.col("_pattern") == F.col("_take_pattern"), "left")
-    return joined.withColumn("_times", F.when(F.col("_words") > 0, times).otherwise(0))
+    """(row, pattern, words, times: how often the mix takes the row) for every row of ``docs``."""
+    again = _inside(F.col("segments"), F.col("order"), F.col("words")) | (F.col("order") == F.col("extra"))
+    times = F.coalesce("passes", F.lit(0)) + F.coalesce(again, F.lit(False)).cast("long")
+    joined = salted_join(_prepared(docs, members, seed), takes, ["p"], "left", ["order"])
+    return joined.select("row", "pattern", "words", F.when(F.col("words") > 0, times).otherwise(0).alias("times"))
 
 
-def mixed(docs: DataFrame, weigh: Callable[[list], dict] = repeating_weights, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken for documents with one source each.
 
     A null text has size 0 and nothing is taken of it; a null source is a source of its own. Repeated rows are
-    counted and taken each. A source without words has target 0. An empty table gives no row. A source ends
-    within half of its nearest unused document of its target.
+    counted and taken each, all or none of them in a pass. A source without words has target 0. An empty table gives no row.
+    No unused document would bring a source nearer to its target.
     """
     rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    member = F.array("source")
-    takes, wanted, sizes = plan(rows, member, weigh, seed)
-    facts = [([s], int(sizes[s]), float(wanted[s])) for s in sizes]
-    by_source = docs.sparkSession.createDataFrame(facts, "_p array<string>, source_size long, target double")
-    out = _taken(rows, member, takes, seed).join(F.broadcast(by_source), F.col("_pattern") == F.col("_p"))
-    return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_words").alias("size"),
-        "source_size",
-        "target",
-        (F.col("_words") * F.col("_times")).alias("taken"),
-    )
-
-
-def repeated(docs: DataFrame, weigh: Callable[[list], dict] = repeating_weights, seed: int = 7) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken (not at all, or up to three times)."""
-    member = F.array(F.col("source").cast("string"))
-    takes, _, _ = plan(docs, member, weigh, seed)
-    out = _taken(docs.withColumn("_member", F.col("source").cast("string")), F.array("_member"), takes, seed)
-    return out.where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    takes, wanted = plan(rows, F.array("source"), weights, seed)
+    out = _taken(rows, F.array("source"), takes, seed).withColumn("s", _hashed(F.col("pattern")[0]))
+    facts = wanted.select("s", F.col("size").alias("source_size"), "target")
+    out = salted_join(out, facts, ["s"], spread_by=["words", "row"])
+    doc_id, taken = F.col("row.doc_id").cast("long").alias("doc_id"), (F.col("words") * F.col("times")).alias("taken")
+    return out.select(doc_id, F.col("words").alias("size"), "source_size", "target", taken)
+
+
+def repeated(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, turn: str | None = None) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken (not at all, or up to three times).
+
+    Columns of any name pass through unchanged; ``turn`` adds a column that numbers the copies of a row from 1 on.
+    """
+    source = F.array(F.col("source").cast("string"))
+    takes, _ = plan(docs, source, weights, seed)
+    out = _taken(docs, source, takes, seed).where("times > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("turn"))
+    return out.select("row.*", *([F.col("turn").alias(turn)] if turn else []))

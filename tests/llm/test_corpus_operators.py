@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -174,32 +175,83 @@ def test_packing():
 # -- op7 ---------------------------------------------------------------------------------------------
 
 
-def test_mixing_meets_its_targets(docs, nothing, texts):
-    out = mixing.mixed(docs).collect()
-    again = sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
-    assert sorted(map(str, out)) == again
+def slow_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight, full = {s: i % 3 + 1 for i, s in enumerate(names)}, {}
+    while True:
+        free = [s for s in names if s not in full]
+        left, total = sum(sizes.values()) - sum(full.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 3 * sizes[s]]
+        if not over:
+            return full | {s: left * weight[s] / total for s in free}
+        full |= {s: 3.0 * sizes[s] for s in over}
+
+
+def check_mix(out, rows):
+    """Sizes, targets, and that no unused document would bring a source nearer to its target."""
     words = lambda t: len(SPLIT.findall(t or ""))
     sizes = Counter()
-    for r in texts:
+    for r in rows:
         sizes[r[2]] += words(r[1])
-    assert sorted((str(r.doc_id), r.size) for r in out) == sorted((str(r[0]), words(r[1])) for r in texts)
-    assert Counter({r.source_size for r in out}) == Counter(set(sizes.values()))
-    assert sum({r.source_size: r.target for r in out}.values()) == pytest.approx(sum(sizes.values()))
-    assert all(0 <= r.taken <= 3 * r.size for r in out)
-    taken, target = Counter(), {}
+    want = slow_targets(dict(sizes))
+    by_size = defaultdict(list)
+    for s in sizes:
+        by_size[sizes[s]].append(want[s])
+    assert sorted((str(r.doc_id), r.size) for r in out) == sorted((str(r[0]), words(r[1])) for r in rows)
+    assert all(any(r.target == pytest.approx(t) for t in by_size[r.source_size]) for r in out)
+    assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in out)
+    groups = defaultdict(list)
     for r in out:
-        taken[r.source_size] += r.taken
-        target[r.source_size] = r.target
-    largest = {r.source_size: max(x.size for x in out if x.source_size == r.source_size) for r in out}
-    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
-    assert mixing.mixed(nothing).count() == 0
-    mix = mixing.repeated(docs)
-    assert mix.columns == docs.columns and mix.count() == sum(r.taken // r.size for r in out if r.size)
+        groups[r.source_size, r.target].append(r)
+    for (size, target), docs in groups.items():
+        if len(by_size[size]) > 1:
+            continue
+        short = target - sum(r.taken for r in docs)
+        least = min(r.taken // r.size for r in docs if r.size) if size else 0
+        units = Counter((r.doc_id, r.size) for r in docs if r.size and r.taken // r.size == least)
+        assert all(abs(short) <= abs(short - n * many) + 1 for (_, n), many in units.items())
 
 
-def test_targets_stop_at_three_times_a_source():
-    got = mixing.targets({"a": 10, "b": 1000, "c": 0}, {"a": 3, "b": 1, "c": 2}, 1010)
-    assert got == {"a": 30.0, "b": 980.0, "c": 0.0}
+def test_mixing_meets_its_targets(docs, nothing, texts):
+    out = mixing.mixed(docs).collect()
+    again = sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
+    assert sorted(map(str, out)) == again
+    check_mix(out, texts)
+    assert mixing.mixed(nothing).count() == 0
+    clash = docs.withColumns({c: F.lit(77) for c in ("_words", "words", "order", "row", "p", "times", "turn", "segments")})
+    mix = mixing.repeated(clash).collect()
+    assert list(mix[0].asDict()) == clash.columns and len(mix) == sum(r.taken // r.size for r in out if r.size)
+    assert all(r["_words"] == r["words"] == r["order"] == r["turn"] == r["segments"] == 77 for r in mix)
+    turns = mixing.repeated(docs, turn="copy").groupBy("doc_id", "text", "copy").count()
+    assert turns.agg(F.max("copy")).first()[0] <= 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_documents_do_not_leave_a_source_short(spark, seed):
+    draw = random.Random(seed)
+    rows = [(1, "w " * 4000, "a"), *[(i, "w " * 10, "a") for i in range(2, 602)], (5000, "v " * 9000, "b"), (5001, "v " * 300, "b")]
+    rows += [(6000 + i, "u " * draw.choice([1, 3, 50, 700, 2000]), "c") for i in range(60)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=seed).collect()
+    check_mix(out, rows)
+    small = [r for r in out if r.doc_id < 5000]
+    assert abs(sum(r.taken for r in small) - small[0].target) <= 5
+
+
+def test_targets_stop_at_three_times_a_source(spark):
+    rows = spark.createDataFrame([("a", 10, 3), ("b", 1000, 1), ("c", 0, 2)], "source string, size long, weight long")
+    assert {r.source: r.target for r in mixing.targets(rows, 1010).collect()} == {"a": 30.0, "b": 980.0, "c": 0.0}
+
+
+def test_overlapping_sources_are_routed_by_parts(spark):
+    rows = [(i, "w " * 10, [["a"], ["b"], ["a", "b"], ["c"]][i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m array<string>")
+    weights = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "source string, weight long")
+    takes, wanted = mixing.plan(docs, F.col("m"), weights)
+    target = {r.source: r.target for r in wanted.collect()}
+    assert target == {"a": 1000.0, "b": 2000.0, "c": 1000.0}
+    out = mixing._taken(docs, F.col("m"), takes, 7).groupBy("pattern").agg(F.sum(F.col("words") * F.col("times")).alias("n"))
+    taken = {tuple(r.pattern): r.n for r in out.collect()}
+    assert taken["c",] == 1000 and sum(taken.values()) == 4000 and taken["a",] <= 1000 <= taken["b",] <= 2000
 
 
 def test_flow_shares_overlapping_documents_at_least_cost():
