@@ -127,11 +127,10 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known licence sentences of a text, in their order."""
     known = known_sentences()
     names = list(known)
-    longest = max(map(len, names)) * 4
 
     def of_sentence(s: Column) -> Column:
-        whole = F.when(F.length(s) <= longest, _normal(s)).otherwise(F.lit(""))
-        lines = F.transform(F.split(s, "\n", -1), lambda x: F.when(F.length(x) <= longest, _normal(x)).otherwise(F.lit("")))
+        whole = _normal(s)
+        lines = F.transform(F.split(s, "\n", -1), _normal)
         return F.when(whole.isin(names), F.array(whole)).otherwise(F.filter(lines, lambda x: x.isin(names)))
 
     cut = F.split(F.regexp_replace(text, _BREAK, f"$1$2{_END}"), _END, -1)
