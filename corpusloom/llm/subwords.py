@@ -1,14 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Merging works on an agenda: of all neighbouring symbols whose union is a piece, the best-scored (then the
-leftmost) is merged next. With dropout, each candidate is skipped when the keyed hash of (seed, word, variant,
-place, both symbols) falls below the rate. A skipped candidate comes back only as part of another one, so every
-seed gives segmentations of the same text that all decode to it. Rate 0 gives the library's own result.
+leftmost) is merged next. With dropout, each candidate is skipped when the keyed hash of (seed, document, copy of it,
+place of the word, place in the word, both symbols) falls below the rate. A skipped candidate comes back only as part of
+another one, so every seed gives segmentations of the same text that all decode to it. Rate 0 gives the library's own
+result.
 
 No piece has a space mark after another character, so merges stay within a run of marks and the characters
-after it. The agenda is therefore run once per distinct word and variant: a use of a word takes one of
-``variants`` segmentations by the keyed hash of the document and the word's place in it. Short words advance
-together as arrays, one merge each per round; long ones get a heap of their own.
+after it. Of each word the result without dropout and its candidates are remembered. A use of the word that skips none
+of them has this result; every other use runs the agenda with its own key. Short words advance together as arrays, one
+merge each per round; long ones get a heap of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from itertools import count, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +104,11 @@ class Pieces:
 
 def _chance(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit keyed hash of a candidate."""
-    pair = (left.astype(np.uint64) << np.uint64(22)) ^ right.astype(np.uint64)
-    return mix64(mix64(key + place.astype(np.uint64) * _GOLD) ^ mix64(pair + _GOLD))
+    return mix64(mix64(key + place.astype(np.uint64) * _GOLD) ^ _pair(left, right))
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(((left.astype(np.uint64) << np.uint64(22)) ^ right.astype(np.uint64)) + _GOLD)
 
 
 def _limit(rate: float) -> np.uint64:
@@ -113,7 +116,7 @@ def _limit(rate: float) -> np.uint64:
 
 
 def agenda(pieces: Pieces, symbols: list[int], key: int, rate: float) -> list[int]:
-    """Segment one word with a heap; ``key`` is its unsigned hash with seed and variant."""
+    """Segment one use of a word with a heap; ``key`` is the unsigned hash of the use."""
     n, limit = len(symbols), _limit(rate)
     ids, after, before = list(symbols), [*range(1, n), -1], [*range(-1, n - 1)]
     size = [1] * n
@@ -153,11 +156,12 @@ def agenda(pieces: Pieces, symbols: list[int], key: int, rate: float) -> list[in
 
 
 def segment(
-    pieces: Pieces, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float
+    pieces: Pieces, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, seen: list | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Segment many words, given as symbols in a row; ``keys`` are their hashes with seed and variant.
+    """Segment many uses of words, given as symbols in a row; ``keys`` are the hashes of the uses.
 
-    Returns the symbols of all words in a row, and how many each word has.
+    Returns the symbols of all words in a row, and how many each word has. ``seen`` collects the candidates of words up
+    to ``LONG`` symbols: word, place, left and right symbol.
     """
     words = len(sizes)
     owner = np.repeat(np.arange(words), sizes)
@@ -182,6 +186,8 @@ def segment(
         pair = flat[at] * n + flat[right]
         spot = np.minimum(np.searchsorted(pieces.keys, pair), len(pieces.keys) - 1)
         known = np.flatnonzero(pieces.keys[spot] == pair)
+        if seen is not None:
+            seen.append((owner[at[known]], place[at[known]], flat[at[known]], flat[right[known]]))
         if rate:
             at, right = at[known], right[known]
             known = known[_chance(keys[owner[at]], place[at], flat[at], flat[right]) >= limit]
@@ -226,86 +232,128 @@ def _words(text: str) -> list[str]:
 class Encoder:
     """Encodes texts slice by slice and remembers the words of the slices before, up to ``WORDS``."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int) -> None:
-        self.pieces, self.rate, self.seed = pieces, rate, seed
-        self.variants = variants if rate else 1
+    def __init__(self, pieces: Pieces, rate: float) -> None:
+        self.pieces, self.rate = pieces, rate
         self._forget()
 
     def _forget(self) -> None:
         self.number: defaultdict = defaultdict(count().__next__)
-        self.hashes = np.zeros(0, np.uint64)
         self.names: list[str] = []
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.filled = 0
-        # By word and variant: where its ids start (-1: not yet known) and how many there are.
-        self.start, self.long = np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _grow(self) -> None:
-        new = list(islice(self.number, len(self.names), None))
-        self.names += new
-        hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), self.seed) for w in new]
-        self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
-        more = len(new) * self.variants
-        self.start = np.concatenate([self.start, np.full(more, -1)])
-        self.long = np.concatenate([self.long, np.zeros(more, np.int32)])
-
-    def _learn(self, units: np.ndarray) -> None:
-        words = units // self.variants
-        sizes = np.fromiter((len(self.names[w]) for w in words.tolist()), np.int64, len(words))
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < len(units):
+        self.ids, self.filled = np.zeros(1 << 16, np.int32), 0
+        # By word: where its undropped ids start and how many there are; the same for its candidates (place, pair).
+        self.start, self.long = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.places, self.pairs = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _keep(self, flat: np.ndarray) -> int:
+        """Add ids behind the others; the place where they start."""
+        start, end = self.filled, self.filled + len(flat)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.int32)])
+        self.ids[start:end] = flat
+        self.filled = end
+        return start
+
+    def _segments(self, words: list[str], keys: np.ndarray, rate: float, seen: list | None = None):
+        """Blocks of uses: (from, ids in a row, how many each use has)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends, at = np.cumsum(sizes), 0
+        while at < len(words):
             base = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-            part, mine = units[at:stop], words[at:stop]
-            keys = mix64(self.hashes[mine] + ((part % self.variants).astype(np.uint64) + np.uint64(1)) * _GOLD)
-            symbols = self.pieces.symbols("".join([self.names[w] for w in mine.tolist()]))
-            flat, long = self.pieces.written(*segment(self.pieces, symbols, sizes[at:stop], keys, self.rate))
-            if self.filled + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.int32)])
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self.start[part] = self.filled + np.cumsum(long) - long
-            self.long[part] = long
-            self.filled += len(flat)
+            symbols, found = self.pieces.symbols("".join(words[at:stop])), None if seen is None else []
+            flat, long = self.pieces.written(*segment(self.pieces, symbols, sizes[at:stop], keys[at:stop], rate, found))
+            if seen is not None:
+                seen += [(owner + at, *rest) for owner, *rest in found]
+            yield at, flat, long
             at = stop
 
+    def _learn(self) -> None:
+        new = list(islice(self.number, len(self.names), None))
+        if not new:
+            return
+        seen = [] if self.rate else None
+        starts, longs = [self.start], [self.long]
+        for _, flat, long in self._segments(new, np.zeros(len(new), np.uint64), 0.0, seen):
+            starts.append(self._keep(flat) + np.cumsum(long) - long)
+            longs.append(long)
+        self.start, self.long = np.concatenate(starts), np.concatenate(longs)
+        self.names += new
+        if self.rate:
+            owner, place, left, right = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.argsort(owner, kind="stable")
+            many = np.bincount(owner, minlength=len(new))
+            self.first = np.concatenate([self.first, len(self.places) + np.cumsum(many) - many])
+            # Long words have no list of candidates: every use of them runs.
+            self.many = np.concatenate([self.many, np.where([len(w) > LONG for w in new], -1, many)])
+            self.places = np.concatenate([self.places, place[order].astype(np.uint64) * _GOLD])
+            self.pairs = np.concatenate([self.pairs, _pair(left[order], right[order])])
+
+    def _dropping(self, unit: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The uses (of words ``unit``) that skip a candidate of the result without dropout."""
+        many = self.many[unit]
+        drops = many < 0
+        many = np.maximum(many, 0)
+        ends = np.cumsum(many)
+        for a in range(0, len(unit), BLOCK):
+            part = slice(a, a + BLOCK)
+            owner = np.repeat(np.arange(a, min(a + BLOCK, len(unit))), many[part])
+            base = ends[a] - many[a]
+            at = np.repeat(self.first[unit[part]] - (ends[part] - many[part] - base), many[part]) + np.arange(len(owner))
+            chance = mix64(mix64(keys[owner] + self.places[at]) ^ self.pairs[at])
+            drops[owner[chance < _limit(self.rate)]] = True
+        return np.flatnonzero(drops)
+
     def encode(self, texts: list[str], uses: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text; ``uses`` is an unsigned hash per document that decides its variants."""
+        """Ids of each text; ``uses`` is an unsigned hash per document that keys the uses of its words."""
         if len(self.number) > WORDS:
             self._forget()
         number = self.number
         lists = [np.array([number[w] for w in _words(t)] if t else [], np.int32) for t in texts]
-        self._grow()
+        self._learn()
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         unit = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-        if self.variants > 1:
+        start, long, filled = self.start[unit], self.long[unit], self.filled
+        if self.rate:
             nth = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            drawn = mix64(np.repeat(uses, sizes) + nth.astype(np.uint64) * _GOLD) % np.uint64(self.variants)
-            unit = unit * self.variants + drawn.astype(np.int64)
-        wanted = np.zeros(len(self.start), bool)
-        wanted[unit] = True
-        self._learn(np.flatnonzero(wanted & (self.start < 0)))
-        long = self.long[unit].astype(np.int64)
+            keys = mix64(np.repeat(uses, sizes) + nth.astype(np.uint64) * _GOLD)
+            drops = self._dropping(unit, keys)
+            for at, flat, many in self._segments([self.names[u] for u in unit[drops].tolist()], keys[drops], self.rate):
+                mine = drops[at : at + len(many)]
+                start[mine], long[mine] = self._keep(flat) + np.cumsum(many) - many, many
         ends = np.cumsum(long)
-        ids = self.ids[np.repeat(self.start[unit] - (ends - long), long) + np.arange(int(long.sum()))]
+        ids = self.ids[np.repeat(start - (ends - long), long) + np.arange(int(long.sum()))]
+        self.filled = filled
         cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _turns(ids: list, marks: list, last: list) -> np.ndarray:
+    """For each row how many rows just before it have its id and mark; ``last`` carries the state between batches."""
+    out = np.zeros(len(ids), np.uint64)
+    for i, row in enumerate(zip(ids, marks, strict=True)):
+        last[:] = [row, last[1] + 1 if row == last[0] else 0]
+        out[i] = last[1]
+    return out
+
+
 def encoded(
-    docs: DataFrame, rate: float = 0.1, seed: int = 1, variants: int = 8, path: str | None = None
+    docs: DataFrame, rate: float = 0.1, seed: int = 1, path: str | None = None, copies: bool = False
 ) -> DataFrame:
     """(doc_id, mark, ids array<int>): the pieces of every whole text; mark is the hash of what they decode to.
 
-    A null or empty text has no ids. A null doc_id is a key like any other; repeated rows get equal results.
-    An empty table gives no row.
+    A null or empty text has no ids. A null doc_id is a key like any other; repeated rows get equal results. With
+    ``copies``, rows that lie next to each other and repeat id and text (as ``mixing.repeated`` writes them) are
+    numbered, and each is encoded in its own way. An empty table gives no row.
     """
     path = path or public_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces.of(path), rate, seed, variants)
+        encoder, last = Encoder(Pieces.of(path), rate), [None, 0]
         for batch in slices_of(batches, chars=1_000_000):
             uses = batch.column("use").to_numpy(False).view(np.uint64)
+            if copies:
+                uses = mix64(uses ^ _turns(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), last))
             found = encoder.encode(batch.column("text").to_pylist(), uses)
             ends = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))

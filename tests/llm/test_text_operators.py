@@ -25,7 +25,7 @@ def test_rate_zero_is_the_library(texts):
     model = sentencepiece.SentencePieceProcessor(model_file=subwords.public_path(subwords.MODEL))
     odd = ["", " ", "   a  b ", "▁x▁", "a▁▁b", "\n\n\t a", "ab" * 100 + " é", "<s></s> <0x41>", "\u0000 x"]
     rows = odd + [t[1][:4000] for t in texts if t[1]]
-    got = subwords.Encoder(pieces, 0.0, 1, 8).encode(rows, np.arange(len(rows)).astype(np.uint64))
+    got = subwords.Encoder(pieces, 0.0).encode(rows, np.arange(len(rows)).astype(np.uint64))
     assert [g.tolist() for g in got] == model.encode(rows)
 
 
@@ -55,9 +55,40 @@ def test_encoding_is_lossless_seeded_and_whole(docs, nothing, texts):
     assert subwords.digest(nothing).count() == 0
 
 
+def test_every_use_of_a_word_draws_for_itself():
+    pieces = subwords.Pieces.of(subwords.public_path(subwords.MODEL))
+    encoder, word = subwords.Encoder(pieces, 0.5), "internationalisation"
+    text = " ".join([word] * 5000)
+    found = encoder.encode([text, text, "x " + text], np.array([1, 2, 3], np.uint64))
+    names = [pieces.text[i] for i in found[0].tolist()]
+    uses = " ".join(names).replace(" ▁", "\n").split("\n")
+    assert len(uses) == 5000 and len(set(uses)) > 500
+    assert found[0].tolist() != found[1].tolist()
+    # The same by one heap per use, keyed by document and place.
+    keys = subwords.mix64(np.uint64(3) + np.arange(5001).astype(np.uint64) * subwords._GOLD)
+    words = ["▁x"] + ["▁" + word] * 5000
+    want = [i for w, k in zip(words, keys.tolist(), strict=True) for i in subwords.agenda(pieces, pieces.symbols(w).tolist(), k, 0.5)]
+    assert found[2].tolist() == want
+
+
+def test_copies_next_to_each_other_are_encoded_apart(spark):
+    rows = [(1, "several words that can be cut in many ways " * 20)] * 3 + [(2, "one more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = lambda **k: {tuple(r.ids) for r in subwords.encoded(docs, **k).collect() if r.doc_id == 1}
+    assert len(ids()) == 1 and len(ids(copies=True)) == 3
+
+
 # -- op3 ---------------------------------------------------------------------------------------------
 
 
+def test_padded_licence_sentences_are_found(spark):
+    box = "/" + "*" * 3000 + "\n" + "*" * 500 + " Licensed under the MIT License. " + "*" * 3000 + "\n" + "*" * 3000 + "/"
+    rows = [(1, "Licensed under" + " " * 12_000 + "the MIT License."), (2, box), (3, "x" * 20_000 + " license")]
+    out = {r.doc_id: list(r.licences) for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ["MIT"], 2: ["MIT"], 3: []}
+
+
+
 def test_licences(spark, docs, nothing, texts):
     s = licences.SENTENCES
     mit = "Copyright 2020 X\n\n" + "\n".join(textwrap.fill(s[k], 60) for k in ("MitGrant", "MitNotice", "MitAsIs", "MitLiability"))
