@@ -9,7 +9,8 @@ in a task (its size is that of the patterns, not of the documents).
 Documents are then taken in the order of a seeded hash: whole passes over the pattern, then one pass in which a
 document that no longer fits is skipped and the next ones go on. What is short in the end is less than any unused
 document, and one further document is taken if it brings the pattern nearer. The places where a document is skipped
-are found from histograms of the hash in two levels, so no pattern is ordered in one task.
+are found from histograms of the hash in two levels, so no pattern is ordered in one task; near its target the next few
+hundred documents of a pattern are tried one by one.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored, words_in
 from corpusloom.llm.components import connected
-from corpusloom.scale import running_sum, salted_join
+from corpusloom.scale import running_sum, salted_join, top_k
 
 PASSES = 3
 _LEVELS = (12, 24)
+_NEXT = 512
+_END = (1 << 63) - 1
 _SEGMENTS = "array<struct<after:long,before:long,most:long>>"
 
 
@@ -189,34 +192,60 @@ def _chosen(units: DataFrame, spread: DataFrame) -> DataFrame:
     state = spread.select("p", "passes", F.col("need").alias("left"), F.lit(None).cast("long").alias("at"), F.array().cast(_SEGMENTS).alias("segments"))
     state = stored(state, "mix-state")
     while True:
-        open_ = state.where("left > 0")
-        ahead = salted_join(units, open_, ["p"]).where("words <= left AND (at IS NULL OR order > at)").select("p", "order", "n", "left")
-        ahead = stored(ahead, "mix-ahead")
-        stops = _stops(ahead)
-        if stops is None:
+        ahead = stored(_ahead(units, state), "mix-ahead")
+        if ahead.isEmpty():
             break
-        moved = state.join(stops, "p", "left")
+        moved = state.join(_stops(ahead), "p", "left")
         segment = F.struct(F.col("at").alias("after"), F.col("stop").alias("before"), F.col("left").alias("most"))
         moved = moved.withColumn("segments", F.when(F.col("got").isNotNull(), F.concat("segments", F.array(segment))).otherwise(F.col("segments")))
-        done = F.col("got").isNotNull() & F.col("stop").isNull()
-        moved = moved.withColumn("left", F.col("left") - F.coalesce("got", F.lit(0)))
         # Without a stop the whole rest was taken: nothing is ahead, so the place is the end.
-        end = F.lit((1 << 63) - 1)
-        moved = moved.withColumn("at", F.when(done, end).otherwise(F.coalesce("stop", "at")))
-        state = stored(moved.select("p", "passes", "left", "at", "segments"), "mix-state")
+        at = F.when(F.col("got").isNotNull(), F.coalesce("stop", F.lit(_END))).otherwise(F.col("at"))
+        moved = moved.select("p", "passes", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), at.alias("at"), "segments")
+        state = stored(moved, "mix-state")
+        next_ones = top_k(_ahead(units, state), ["p"], [F.col("order")], _NEXT).withColumnsRenamed({"left": "room"})
+        moved = state.join(next_ones.groupBy("p").applyInPandas(_one_by_one, f"p long, now_left long, now_at long, more {_SEGMENTS}"), "p", "left")
+        none = F.array().cast(_SEGMENTS)
+        moved = moved.select("p", "passes", F.coalesce("now_left", "left").alias("left"), F.coalesce("now_at", "at").alias("at"), F.concat("segments", F.coalesce("more", none)).alias("segments"))
+        state = stored(moved, "mix-state")
     taken = salted_join(units, state.where("left > 0"), ["p"]).where(~_inside(F.col("segments"), F.col("order"), F.col("words")))
     miss = F.abs(F.col("n") - F.col("left"))
     best = taken.where(miss < F.col("left")).groupBy("p").agg(F.min_by("order", F.struct(miss, "order")).alias("extra"))
     return stored(state.join(best, "p", "left").select("p", "passes", "segments", "extra"), "mix-plan")
 
 
-def _stops(ahead: DataFrame) -> DataFrame | None:
+def _ahead(units: DataFrame, state: DataFrame) -> DataFrame:
+    """The units that come after the place reached by their pattern and aren't larger than what it has left."""
+    open_ = state.where("left > 0").select("p", "left", "at")
+    found = salted_join(units, open_, ["p"]).where("words <= left AND (at IS NULL OR order > at)")
+    return found.select("p", "order", "n", "words", "left", "at")
+
+
+def _one_by_one(part: pd.DataFrame) -> pd.DataFrame:
+    """The next units of one pattern in their order: take what fits, skip the others."""
+    part = part.sort_values("order")
+    left, start, segments = int(part["room"].iloc[0]), part["at"].iloc[0], []
+    after, most, last, rows = None if pd.isna(start) else int(start), left, len(part) - 1, part[["order", "n", "words"]].to_numpy()
+    for i, (order, n, words) in enumerate(rows.tolist()):
+        if words > most:
+            continue
+        if n > left:
+            segments.append((after, order, most))
+            after, most = order, left
+        else:
+            left -= n
+        if i == last or not left:
+            break
+    end = int(rows[i][0])
+    if after != end:
+        segments.append((after, end + 1, most))
+    return pd.DataFrame({"p": [part["p"].iloc[0]], "now_left": [left], "now_at": [end], "more": [[dict(zip(("after", "before", "most"), x, strict=True)) for x in segments]]})
+
+
+def _stops(ahead: DataFrame) -> DataFrame:
     """(p, got, stop): words before the first unit that doesn't fit into ``left``, and its hash (null: all fit).
 
-    ``ahead`` has units in the order of their hash; None if it has none.
+    ``ahead`` has units in the order of their hash.
     """
-    if ahead.isEmpty():
-        return None
     whole = ahead.groupBy("p").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
     fitting = whole.where("n <= left").select("p", F.col("n").alias("got"), F.lit(None).cast("long").alias("stop"))
     rows = salted_join(ahead, whole.where("n > left").select("p", F.lit(0).cast("long").alias("sure")), ["p"])
