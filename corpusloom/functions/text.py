@@ -71,14 +71,17 @@ def code_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(words, parts), F.lower))
 
 
+_COMPOUND = "_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
+_COMPOUND_WORD = f"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*?(?:{_COMPOUND}))[A-Za-z0-9_]+"
+
+
 def indexed_tokens(text: Column) -> Column:
     """Tokens with repeats for term frequencies; an original word may contain ``_``."""
-    words = F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w != "")
-    split_up = F.filter(
-        words, lambda w: w.rlike("_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
-    )
-    parts = F.flatten(F.transform(split_up, lambda w: F.regexp_extract_all(w, F.lit(fixed.WORD_PART), 0)))
-    return F.transform(F.concat(words, parts), F.lower)
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    compound = F.array_join(F.regexp_extract_all(text, F.lit(_COMPOUND_WORD), F.lit(0)), " ")
+    parts = F.regexp_extract_all(compound, F.lit(fixed.WORD_PART), F.lit(0))
+    # One pass over the joined words is cheaper than a call per word; they are ASCII by now.
+    return F.regexp_extract_all(F.lower(F.array_join(F.concat(words, parts), " ")), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def squeezed(text: Column) -> Column:

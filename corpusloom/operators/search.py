@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
+from corpusloom.operators import textindex
 from corpusloom.operators.embed import norm, normalised
+from corpusloom.operators.textindex import TextIndex
 from corpusloom.scale import first_per_key, salted_join, top_k
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK = 4096
 HIT = "query_id, chunk_id, score, rank"
-TIES = ["path", "start_line", "chunk_id"]
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -147,70 +148,28 @@ def cosine(a: Column, b: Column) -> Column:
 
 # --- keywords ---------------------------------------------------------------------------------
 
-FIELD_BOOSTS = {"content": 1, "symbol": 3, "path": 2}
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """``query_id, repo_id, token`` for queries with a ``text``; a NULL repo searches all of them."""
-    return queries.select("query_id", "repo_id", F.explode(X.code_tokens(F.col("text"))).alias("token"))
-
-
-def overlap_search(queries: DataFrame, chunks: DataFrame, k: int = fixed.SEARCH_CANDIDATES) -> DataFrame:
+def overlap_search(queries: DataFrame, chunks: DataFrame | TextIndex, k: int = fixed.SEARCH_CANDIDATES) -> DataFrame:
     """Weighted number of shared distinct tokens: content 1, symbol 3, path 2; ties by path, line.
 
-    Each chunk row gets one weight per token; frequent tokens are spread by salting the chunk side,
-    and scores are summed map-side before the shuffle.
+    ``chunks`` are rows, or an index of them made with ``X.code_tokens``. A query with a NULL repo searches all of them.
     """
-
-    def weighted(name: str, boost: int) -> Column:
-        tokens = X.code_tokens(F.coalesce(F.col(name), F.lit("")))
-        return F.transform(tokens, lambda w: F.struct(w.alias("token"), F.lit(boost).alias("weight")))
-
-    fields = [weighted(name, boost) for name, boost in FIELD_BOOSTS.items()]
-    postings = chunks.select("chunk_id", "repo_id", "path", "start_line", F.inline(F.concat(*fields)))
-    hits = salted_join(postings, query_tokens(queries), ["repo_id", "token"], spread_by=["chunk_id"])
-    scores = hits.groupBy("query_id", "chunk_id", "path", "start_line").agg(F.sum("weight").alias("score"))
-    return top_k(scores, ["query_id"], [F.desc("score"), *[F.col(c) for c in TIES]], k)
+    if not isinstance(chunks, TextIndex):
+        chunks = textindex.index_for(chunks, textindex.query_tokens(queries), X.code_tokens)
+    return textindex.search(queries, chunks, k, "overlap").withColumn("score", F.col("score").cast("long"))
 
 
 def bm25_search(
-    queries: DataFrame, chunks: DataFrame, k: int = fixed.SEARCH_CANDIDATES, k1: float = 1.2, b: float = 0.75
+    queries: DataFrame, chunks: DataFrame | TextIndex, k: int = fixed.SEARCH_CANDIDATES, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """BM25 over content, symbol and path with boosts 1, 3 and 2, inside each repository.
+    """BM25 over content, symbol and path with boosts 1, 3 and 2, with the statistics of each chunk's repository.
 
-    Only tokens that some query asks for leave the chunk row; their frequencies are counted
-    map-side first. Document frequencies come from those counts, field lengths from one pass.
+    ``chunks`` are rows, or an index of them made with ``X.indexed_tokens``. A query with a NULL repo searches all of them.
     """
-    wanted = query_tokens(queries)
-
-    def field(name: str, boost: int) -> Column:
-        tokens = X.indexed_tokens(F.coalesce(F.col(name), F.lit("")))
-        return F.struct(F.lit(name).alias("field"), F.lit(float(boost)).alias("boost"), tokens.alias("tokens"))
-
-    place = ["repo_id", "chunk_id", "path", "start_line"]
-    rows = chunks.select(*place, F.inline(F.array(*[field(n, w) for n, w in FIELD_BOOSTS.items()])))
-    rows = rows.withColumn("length", F.size("tokens").cast("double")).where("length > 0")
-    stats = rows.groupBy("repo_id", "field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    postings = rows.select(*place, "field", "boost", "length", F.explode("tokens").alias("token"))
-    asked = wanted.select("repo_id", "token").distinct()
-    matched = (
-        salted_join(postings, asked, ["repo_id", "token"], "left_semi", spread_by=["chunk_id"])
-        .groupBy(*place, "field", "boost", "length", "token")
-        .agg(F.count("*").cast("double").alias("tf"))
-    )
-    df = matched.groupBy("repo_id", "field", "token").agg(F.count("*").alias("df"))
-    weights = df.join(stats, ["repo_id", "field"])
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("repo_id", "field", "token", idf.alias("idf"), "mean")
-    term = F.col("boost") * F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    )
-    scored = salted_join(matched, weights, ["repo_id", "field", "token"], spread_by=["chunk_id"]).withColumn("s", term)
-    # All fields of a chunk and token first: the pair with a query is then made once per token.
-    per_token = scored.groupBy("repo_id", "token", "chunk_id", "path", "start_line").agg(F.sum("s").alias("s"))
-    hits = salted_join(per_token, wanted, ["repo_id", "token"], spread_by=["chunk_id"])
-    scores = hits.groupBy("query_id", "chunk_id", "path", "start_line").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top_k(scores, ["query_id"], [F.desc("score"), *[F.col(c) for c in TIES]], k)
+    if not isinstance(chunks, TextIndex):
+        chunks = textindex.index_for(chunks, textindex.query_tokens(queries), X.indexed_tokens)
+    return textindex.search(queries, chunks, k, "bm25", k1, b)
 
 
 # --- fusion -----------------------------------------------------------------------------------

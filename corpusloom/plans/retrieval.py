@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
-from corpusloom.operators import embed, search
+from corpusloom.operators import embed, search, textindex
 from corpusloom.plans.registry import query
 from corpusloom.plans.scalars import CODE_TOKENS_SQL
+from corpusloom.session import durable_path
 from corpusloom.sources.corpora import corpus
 
 c = F.col
@@ -258,9 +259,7 @@ def _indexed_sql(col):
     return f"list_transform(list_concat({word}, {parts}), lambda x: lower(x))"
 
 
-@query(
-    "j4_bm25",
-    f"""WITH {_CHUNKS}, qt AS (SELECT query_id, repo_id, unnest({CODE_TOKENS_SQL.format('text')}) AS token FROM qs),
+_BM25 = f"""WITH {_CHUNKS}, qt AS (SELECT query_id, repo_id, unnest({CODE_TOKENS_SQL.format('text')}) AS token FROM qs),
  f AS (SELECT chunk_id, repo_id, path, start_line, 'content' AS field, 1.0 AS boost, {_indexed_sql('content')} AS ts FROM ch
    UNION ALL SELECT chunk_id, repo_id, path, start_line, 'symbol', 3.0, {_indexed_sql('symbol')} FROM ch UNION ALL SELECT chunk_id, repo_id, path, start_line, 'path', 2.0, {_indexed_sql('path')} FROM ch),
  st AS (SELECT repo_id, field, count(*) AS docs, avg(len(ts)) AS mean FROM f WHERE len(ts) > 0 GROUP BY 1, 2),
@@ -268,13 +267,39 @@ def _indexed_sql(col):
  df AS (SELECT repo_id, field, token, count(*) AS df FROM tf GROUP BY 1, 2, 3),
  sc AS (SELECT query_id, chunk_id, path, start_line, round(sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
    FROM qt JOIN tf USING (repo_id, token) JOIN df USING (repo_id, field, token) JOIN st USING (repo_id, field) GROUP BY 1, 2, 3, 4)
- SELECT query_id, chunk_id, path, start_line, round(score, 3) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS rank FROM sc) WHERE rank <= 10""",
-    DOCS,
-)
+ SELECT query_id, chunk_id, path, start_line, round(score, 3) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS rank FROM sc) WHERE rank <= 10"""
+
+
+@query("j4_bm25", _BM25, DOCS)
 def j4(t):
     return search.bm25_search(questions(t), doc_chunks(t), 10).withColumn("score", F.round("score", 3))
 
 
+def _stored_index(t, tokens):
+    """The passages in an index on storage: the even ones first, the odd ones added later."""
+    path = durable_path(t.spark, "passages")
+    chunks = doc_chunks(t)
+    textindex.write_index(chunks.where("doc_id % 2 = 0"), path, tokens)
+    return textindex.write_index(chunks.where("doc_id % 2 <> 0"), path, tokens, add=True)
+
+
+@query(
+    "j3_stored_index_all_repos",
+    f"""WITH {_CHUNKS.replace("'src' || (item_id % 20)", "'' || (item_id % 20)")}, {_OVERLAP.replace("USING (repo_id, token)", "USING (token)")}
+ SELECT query_id, chunk_id, path, start_line, score, rank FROM tr WHERE rank <= 10""",
+    DOCS,
+)
+def j3_all(t):
+    """A stored index, grown once, asked without a repository: all of them are searched."""
+    asked = questions(t).withColumn("repo_id", F.lit(None).cast("string"))
+    return search.overlap_search(asked, _stored_index(t, X.code_tokens), 10)
+
+
+@query("j4_stored_index", _BM25, DOCS)
+def j4_stored(t):
+    return search.bm25_search(questions(t), _stored_index(t, X.indexed_tokens), 10).withColumn("score", F.round("score", 3))
+
+
 @query(
     "g6_ranks",
     f"WITH {_CHUNKS}, {_OVERLAP} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM tr WHERE rank <= 30)",
