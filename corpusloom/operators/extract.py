@@ -1,500 +1,70 @@
-"""Symbols, imports and packages from source text, by declaration patterns over lines.
+"""Symbols, imports and packages of source files: one pass over each text, in the row it comes in.
 
-One shuffle brings nothing but the file texts to their partition (``repo_id, path``); every window
-below is partitioned by the file, so it reuses that layout and only sorts locally. Strings and
-comments are blanked first, keeping line breaks, so brackets inside them are not counted.
+Nothing is shuffled and every text is read once. What a file declares is found from its tokens and their bracket pairs
+(``operators/lexer.py``); Python files that parse go through the standard library's parser.
 
-Differences from a full parser: a function value whose arrow is not on the line of its name is not
-seen, JavaScript regular expression literals are not recognised as strings, and ``parse_errors`` only
-tells whether brackets balance.
+Differences from a full grammar: ``parse_errors`` tells for languages with brackets only whether these balance, quotes in
+JSX text are taken for strings if they pair up on a line, and a statement of JavaScript that ends without a semicolon ends
+where a new line can't go on with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
-from corpusloom.functions import text as X
-from corpusloom.session import slice_count
+from corpusloom.operators.lexer import Facts, facts_of
 
 FILE = ["repo_id", "path"]
 JS_FAMILY = ["javascript", "typescript", "tsx"]
-BRACE_FAMILY = [*JS_FAMILY, "java", "go"]
+SYMBOL = "struct<name:string,kind:string,start_line:int,end_line:int,parent:string>"
+IMPORT = "struct<module:string,line:int,level:int,names:array<string>>"
 
-_DOUBLE = r'"(?:[^"\\\n]++|\\.)*+"'
-_SINGLE = r"'(?:[^'\\\n]++|\\.)*+'"
-_C_COMMENT = r"//[^\n]*+|(?s:/\*.*?\*/)"
-LITERALS = {
-    "python": rf'(?s:""".*?""")|(?s:\'\'\'.*?\'\'\')|{_DOUBLE}|{_SINGLE}|#[^\n]*+',
-    "js": rf"{_C_COMMENT}|{_DOUBLE}|{_SINGLE}|`(?:[^`\\]++|\\.)*+`",
-    "java": rf'{_C_COMMENT}|(?s:""".*?""")|{_DOUBLE}|{_SINGLE}',
-    "go": rf"{_C_COMMENT}|{_DOUBLE}|`[^`]*+`|{_SINGLE}",
-}
+Extractor = Callable[[str, str], Facts]
 
 
-def _literal_family(language: Column) -> dict[str, Column]:
-    return {
-        "python": language == "python",
-        "js": language.isin(JS_FAMILY),
-        "java": language == "java",
-        "go": language == "go",
-    }
+def parsed(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """One row per parseable file: ``symbols`` in file order, ``imports``, ``package``, ``parse_errors``.
 
-
-def blanked(text: Column, pattern: str) -> Column:
-    """``text`` with comments removed and strings emptied; every line break stays."""
-    keep = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-
-    def shell(x: Column) -> Column:
-        breaks = F.regexp_replace(x, "[^\n]+", "")
-        comment = x.rlike(r"^(#|//|/\*)")
-        return F.when(comment, breaks).otherwise(F.concat(F.lit('"'), breaks, F.lit('"')))
-
-    pairs = F.zip_with(keep, found, lambda a, b: F.concat(a, F.coalesce(shell(b), F.lit(""))))
-    return F.array_join(pairs, "")
-
-
-def _code_of(text: Column) -> Column:
-    families = _literal_family(F.col("language")).items()
-    plain = F.regexp_replace(text, "\r\n?", "\n")
-    return F.coalesce(*[F.when(cond, blanked(plain, LITERALS[name])) for name, cond in families])
-
-
-def source_lines(files: DataFrame) -> DataFrame:
-    """Lines of parseable files: ``line_no``, ``raw`` and ``code`` (blanked), with bracket depths."""
-    language = F.col("language")
-    text = F.regexp_replace("text", "\r\n?", "\n")
-    code = _code_of(F.col("_text"))
-    rows = (
-        files.where(language.isin(fixed.PARSEABLE))
-        .select(*FILE, "language", text.alias("_text"))
-        # An explicit count keeps all tasks: parsing costs far more than its bytes suggest.
-        .repartition(slice_count(files.sparkSession), *FILE)
-        .select(
-            *FILE,
-            "language",
-            F.posexplode(F.arrays_zip(F.split("_text", "\n", -1).alias("raw"), F.split(code, "\n", -1).alias("code"))),
-        )
-        .select(*FILE, "language", (F.col("pos") + 1).alias("line_no"), "col.raw", F.coalesce("col.code", F.lit("")).alias("code"))
-    )
-    opened = F.length("code") - F.length(F.translate("code", "([{", ""))
-    closed = F.length("code") - F.length(F.translate("code", ")]}", ""))
-    upto = Window.partitionBy(*FILE).orderBy("line_no")
-    return (
-        rows.withColumn("delta", opened - closed)
-        .withColumn("after", F.sum("delta").over(upto).cast("int"))
-        .withColumn("before", (F.col("after") - F.col("delta")).cast("int"))
-        .drop("delta")
-    )
-
-
-# --- Python -----------------------------------------------------------------------------------
-
-
-def _python_rows(lines: DataFrame) -> DataFrame:
-    """Logical lines: ``line`` (first), ``last`` (last with code), ``indent``, ``head`` (joined code)."""
-    mine = lines.where("language = 'python'")
-    by_line = Window.partitionBy(*FILE).orderBy("line_no")
-    starts = (
-        (F.col("before") == 0)
-        & (F.trim("code") != "")
-        & ~F.coalesce(F.lag("code").over(by_line).rlike(r"\\\s*$"), F.lit(False))
-    )
-    rows = mine.withColumn("_start", starts).withColumn(
-        "lid", F.sum(F.col("_start").cast("int")).over(by_line)
-    )
-    whole = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: F.regexp_replace(x["code"], r"\\\s*$", " ")),
-        " ",
-    )
-    indent = F.length(F.regexp_extract(F.replace("code", F.lit("\t"), F.lit(" " * 8)), "^ *", 0))
-    return (
-        rows.where("lid > 0")
-        .withColumn("indent", F.when(F.col("_start"), indent))
-        .groupBy(*FILE, "lid")
-        .agg(
-            F.min("line_no").alias("line"),
-            F.max(F.when(F.trim("code") != "", F.col("line_no"))).alias("last"),
-            F.max("indent").alias("indent"),
-            whole.alias("head"),
-        )
-    )
-
-
-_PY_DECL = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
-
-
-def _decl_blocks(rows: DataFrame, keys: list[str], heads: Column) -> DataFrame:
-    """Blocks opened by ``heads`` rows, decorators first: ``start, end, head`` per block."""
-    by_line = Window.partitionBy(*keys).orderBy("line")
-    decorator = F.col("head").rlike(r"^\s*@")
-    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    prev_decorator = F.last(F.when(heads, decorator), ignorenulls=True).over(earlier)
-    opens = heads & ~F.coalesce(prev_decorator, F.lit(False))
-    return rows.withColumn("block", F.sum(opens.cast("int")).over(by_line)).withColumn("_is_head", heads)
-
-
-def python_symbols(lines: DataFrame) -> DataFrame:
-    rows = _decl_blocks(_python_rows(lines), FILE, F.col("indent") == 0)
-    block = [*FILE, "block"]
-    in_block = Window.partitionBy(*block)
-    rows = rows.withColumn(
-        "_top", F.max_by(F.when(F.col("_is_head"), F.col("head")), F.when(F.col("_is_head"), F.col("line"))).over(in_block)
-    )
-    kind = F.regexp_extract("_top", _PY_DECL, 1)
-    name = F.regexp_extract("_top", _PY_DECL, 2)
-    rows = rows.withColumn("_kind", kind).withColumn("_name", name).where("_kind <> ''")
-    top = rows.groupBy(*block, "_kind", "_name").agg(F.min("line").alias("start_line"), F.max("last").alias("end_line"))
-    top = top.select(
-        *FILE,
-        F.col("_name").alias("name"),
-        F.when(F.col("_kind") == "class", "class").otherwise("function").alias("kind"),
-        "start_line",
-        "end_line",
-        F.lit(None).cast("string").alias("parent"),
-    )
-    body = rows.where("_kind = 'class' AND indent > 0").withColumnRenamed("block", "owner")
-    mine = [*FILE, "owner"]
-    first = F.min_by("indent", "line").over(Window.partitionBy(*mine))
-    body = body.withColumn("_level", first)
-    body = _decl_blocks(body, mine, F.col("indent") <= F.col("_level"))
-    head = F.max_by(F.when(F.col("_is_head"), F.col("head")), F.when(F.col("_is_head"), F.col("line")))
-    members = body.groupBy(*mine, "block", "_name").agg(
-        F.min("line").alias("start_line"), F.max("last").alias("end_line"), head.alias("_head")
-    )
-    word = F.regexp_extract("_head", _PY_DECL, 1)
-    members = members.where(word != "").select(
-        *FILE,
-        F.regexp_extract("_head", _PY_DECL, 2).alias("name"),
-        F.when(word == "class", "class").otherwise("method").alias("kind"),
-        "start_line",
-        "end_line",
-        F.col("_name").alias("parent"),
-    )
-    return top.unionByName(members)
-
-
-def python_imports(lines: DataFrame) -> DataFrame:
-    rows = _python_rows(lines).withColumn("stmt", F.explode(F.split("head", ";")))
-    stmt = F.trim("stmt")
-    plain = rows.where(stmt.rlike(r"^import\s")).withColumn(
-        "item", F.explode(F.split(F.regexp_replace(stmt, r"^import\s+", ""), ","))
-    )
-    plain = plain.select(
-        *FILE,
-        F.regexp_extract(F.trim("item"), r"^([\w.]+)", 1).alias("module"),
-        F.col("line").cast("int").alias("line"),
-        F.lit(0).alias("level"),
-        F.array().cast("array<string>").alias("names"),
-    )
-    form = r"^from\s*(\.*)\s*([\w.]*)\s*import\b\s*\(?(.*?)\)?\s*$"
-    names = F.transform(
-        F.split(F.regexp_extract(stmt, form, 3), ","), lambda n: F.regexp_extract(F.trim(n), r"^(\w+)", 1)
-    )
-    relative = rows.where(stmt.rlike(r"^from[\s.]")).select(
-        *FILE,
-        F.regexp_extract(stmt, form, 2).alias("module"),
-        F.col("line").cast("int").alias("line"),
-        F.length(F.regexp_extract(stmt, form, 1)).alias("level"),
-        F.filter(names, lambda n: n != "").alias("names"),
-    )
-    return plain.unionByName(relative).where("module <> '' OR level > 0")
-
-
-# --- languages with brackets --------------------------------------------------------------------
-
-
-def _declared(lines: DataFrame, declaration: Column, with_first: bool = False) -> DataFrame:
-    """Lines with a declaration (a struct with ``loose``) and the line that closes its bracket level.
-
-    Every line becomes one row per bracket level it touches, so one sort per file and level answers
-    both "where does this level close next" and "where did this statement start". A block ends on a
-    line with ``}`` or ``;`` at its end; an expression (``loose``) on the first line that does not ask
-    for more. ``first`` is the first code line since the level's last close (annotations included).
+    ``extractors`` adds languages or replaces the built-in extraction of one: a function of (language, text). A null
+    text counts as empty. A file that can't be read has no symbols, and its ``parse_errors`` is true.
     """
-    code = F.col("code")
-    closes = F.col("after") <= F.col("before")
-    rows = lines.where(F.trim("code") != "").select(
-        *FILE,
-        "line_no",
-        "before",
-        F.explode(F.sequence(F.least("before", "after"), F.greatest("before", "after"))).alias("level"),
-        declaration.alias("d"),
-        (closes & code.rlike(r"[};]\s*[),;]*\s*$")).alias("strict"),
-        (closes & ~code.rlike(r"(=>|[=,|&+?:({\[.])\s*$")).alias("any"),
-        code.rlike(r"^\s*[})]").alias("tail"),
-    )
-    by_line = Window.partitionBy(*FILE, "level").orderBy("line_no")
-    ahead = by_line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    line = F.col("line_no")
-    rows = rows.withColumn("_s", F.min(F.when(F.col("strict"), line)).over(ahead))
-    rows = rows.withColumn("_a", F.min(F.when(F.col("any"), line)).over(ahead))
-    at_level = F.col("before") == F.col("level")
-    if with_first:
-        earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
-        part = F.coalesce(F.sum(F.col("strict").cast("int")).over(earlier), F.lit(0))
-        rows = rows.withColumn("_part", part)
-        opening = F.when(at_level & ~F.col("tail"), line)
-        rows = rows.withColumn("first", F.min(opening).over(Window.partitionBy(*FILE, "level", "_part")))
-    else:
-        rows = rows.withColumn("first", line)
-    found = rows.where(at_level & F.col("d").isNotNull())
-    end = F.when(F.col("d.loose"), F.coalesce("_a", "_s")).otherwise(F.col("_s"))
-    return found.select(*FILE, "level", "line_no", "first", "d.*", F.coalesce(end, line).alias("end_line"))
-
-
-def _with_owner(found: DataFrame, is_type: Column) -> DataFrame:
-    """Adds ``owner``: the type whose body holds the declaration, one level further out."""
-    inner = [c for c in found.columns if c not in FILE]
-    row = F.struct(*inner)
-    itself = F.struct(F.col("level").alias("at"), row.alias("m"), F.lit(None).cast("struct<name:string,end_line:int>").alias("o"))
-    opener = F.struct(
-        (F.col("level") + 1).alias("at"),
-        F.when(F.lit(False), row).alias("m"),
-        F.struct("name", F.col("end_line").cast("int").alias("end_line")).alias("o"),
-    )
-    marks = found.select(*FILE, F.col("line_no").alias("_line"), F.inline(F.when(is_type, F.array(itself, opener)).otherwise(F.array(itself))))
-    earlier = Window.partitionBy(*FILE, "at").orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.withColumn("_o", F.last("o", ignorenulls=True).over(earlier)).where("m IS NOT NULL")
-    return carried.select(*FILE, "m.*", F.when(F.col("_o.end_line") >= F.col("_line"), F.col("_o.name")).alias("owner"))
-
-
-def _symbols(df: DataFrame, parent: Column) -> DataFrame:
-    return df.select(
-        *FILE,
-        "name",
-        "kind",
-        F.col("first").alias("start_line"),
-        "end_line",
-        parent.cast("string").alias("parent"),
-    )
-
-
-def _form(test: Column, name: Column, kind: Column, loose: Column) -> Column:
-    return F.when(test, F.struct(name.alias("name"), kind.alias("kind"), loose.alias("loose")))
-
-
-_JS_HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
-_JS_NAMED = {
-    "function": _JS_HEAD + r"(?:async\s+)?function\b\s*\*?\s*([\w$]*)",
-    "class": _JS_HEAD + r"(?:abstract\s+)?class\b\s*(?!extends\b)([\w$]*)",
-    "interface": _JS_HEAD + r"interface\s+([\w$]+)",
-    "type": _JS_HEAD + r"type\s+([\w$]+)[^=]*=",
-    "enum": _JS_HEAD + r"(?:const\s+)?enum\s+([\w$]+)",
-}
-_JS_VALUE = r"(?:async\s*)?(?:function\b|\(.*=>|[\w$]+\s*=>|<[\w$, ]+>\s*\(.*=>)"
-_JS_VARIABLE = r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+(?:=>[^=]+)?)?=\s*"
-_JS_DEFAULT = r"^\s*export\s+default\s+" + _JS_VALUE
-_JS_MODIFIER = r"(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get|set)\s+)*"
-_JS_METHOD = rf"^\s*{_JS_MODIFIER}\*?\s*(#?[\w$]+|\[[^\]]+\])\s*(?:<[^>]*>)?\s*\("
-_JS_FIELD = rf"^\s*{_JS_MODIFIER}(#?[\w$]+)\s*[?!]?(?::[^=]+(?:=>[^=]+)?)?=\s*{_JS_VALUE}"
-
-
-def js_symbols(lines: DataFrame) -> DataFrame:
-    mine = lines.where(F.col("language").isin(JS_FAMILY))
-    code, top, member = F.col("code"), F.col("before") == 0, F.col("before") == 1
-    forms = []
-    for kind, rx in _JS_NAMED.items():
-        name = F.coalesce(F.nullif(F.regexp_extract(code, rx, 1), F.lit("")), F.lit("default"))
-        forms.append(_form(top & code.rlike(rx), name, F.lit(kind), F.lit(kind == "type")))
-    for value, kind in ((_JS_VALUE, "function"), (r"class\b", "class")):
-        name = F.regexp_extract(code, _JS_VARIABLE, 1)
-        test = top & code.rlike(_JS_VARIABLE + value)
-        forms.append(_form(test, name, F.lit(kind), F.lit(kind != "class")))
-    forms.append(_form(top & code.rlike(_JS_DEFAULT), F.lit("default"), F.lit("function"), F.lit(True)))
-    for rx, loose in ((_JS_FIELD, True), (_JS_METHOD, False)):
-        name = F.regexp_extract(code, rx, 1)
-        test = member & code.rlike(rx) & ~name.isin("if", "for", "while", "switch", "return", "catch")
-        forms.append(_form(test, name, F.lit("method"), F.lit(loose)))
-    found = _with_owner(_declared(mine, F.coalesce(*forms)), F.col("kind") == "class")
-    return _symbols(found.where("level = 0 OR owner IS NOT NULL"), F.col("owner"))
-
-
-def js_imports(lines: DataFrame) -> DataFrame:
-    mine = lines.where(F.col("language").isin(JS_FAMILY))
-    quoted = r"""["'`]([^"'`]+)["'`]"""
-    by_line = Window.partitionBy(*FILE).orderBy("line_no")
-    opener = F.when((F.col("before") == 0) & F.col("code").rlike(r"^\s*(import|export)\b"), F.col("line_no"))
-    rows = mine.withColumn("_opened", F.last(opener, ignorenulls=True).over(by_line))
-    whole = F.when(
-        F.col("code").rlike(r'(^|[\s}*])from\s*"') & F.col("code").rlike(r"^\s*(import|export|})"),
-        F.regexp_extract("raw", r"\bfrom\s*" + quoted, 1),
-    ).when(F.col("code").rlike(r'^\s*import\s*"'), F.regexp_extract("raw", r"^\s*import\s*" + quoted, 1))
-    static = rows.withColumn("module", whole).where("module <> ''").withColumn(
-        "line", F.coalesce("_opened", "line_no")
-    )
-    called = rows.where(F.col("code").rlike(r'\b(require|import)\s*\(\s*"')).withColumn(
-        "module", F.explode(F.regexp_extract_all("raw", F.lit(r"\b(?:require|import)\s*\(\s*" + quoted + r"\s*\)"), 1))
-    ).where("NOT contains(module, '${')").withColumn("line", F.col("line_no"))
-    picked = [*FILE, "module", F.col("line").cast("int").alias("line")]
-    return _no_level(static.select(*picked).unionByName(called.select(*picked)))
-
-
-def _no_level(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"level": F.lit(0), "names": F.array().cast("array<string>")})
-
-
-_JAVA_MODIFIER = (
-    r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp"
-    r"|sealed|non-sealed|transient|volatile)\s+)*"
-)
-_JAVA_NOTE = r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s+)*"
-_JAVA_TYPE = _JAVA_NOTE + _JAVA_MODIFIER + r"(class|interface|enum|record|@interface)\s+(\w+)"
-_JAVA_METHOD = (
-    _JAVA_NOTE + _JAVA_MODIFIER + r"(?:<[^>]+>\s+)?([\w.]+(?:<[\w\s.,<>?\[\]&]*>)?(?:\[\])*\s+)?(\w+)\s*\("
-)
-_JAVA_KINDS = {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface"}
-
-
-def java_symbols(lines: DataFrame) -> DataFrame:
-    mine = lines.where("language = 'java'")
-    code = F.col("code")
-    kind = X.lookup(_JAVA_KINDS, F.regexp_extract(code, _JAVA_TYPE, 1))
-    is_type = code.rlike(_JAVA_TYPE)
-    # The return type tells a method from a call; constructors have the name of their type instead.
-    returns = F.trim(F.regexp_extract(code, _JAVA_METHOD, 1))
-    declaration = F.when(
-        is_type,
-        F.struct(
-            F.regexp_extract(code, _JAVA_TYPE, 2).alias("name"), kind.alias("kind"), F.lit("").alias("returns"), F.lit(False).alias("loose")
-        ),
-    ).when(
-        (F.col("before") > 0) & code.rlike(_JAVA_METHOD),
-        F.struct(
-            F.regexp_extract(code, _JAVA_METHOD, 2).alias("name"), F.lit("method").alias("kind"), returns.alias("returns"), F.lit(False).alias("loose")
-        ),
-    )
-    found = _with_owner(_declared(mine, declaration, with_first=True), F.col("kind") != "method")
-    method = F.col("owner").isNotNull() & (
-        (F.col("name") == F.col("owner"))
-        | ((F.col("returns") != "") & ~F.col("returns").isin("return", "new", "throw", "else"))
-    )
-    kept = (F.col("level") == 0) | F.when(F.col("kind") == "method", method).otherwise(F.col("owner").isNotNull())
-    return _symbols(found.where(kept), F.col("owner"))
-
-
-def java_imports(lines: DataFrame) -> DataFrame:
-    form = r"^\s*import\s+(?:static\s+)?([\w.*\s]+);"
-    rows = lines.where("language = 'java' AND before = 0").where(F.col("code").rlike(form))
-    module = F.regexp_replace(F.regexp_extract("code", form, 1), r"\s", "")
-    return _no_level(rows.select(*FILE, module.alias("module"), F.col("line_no").cast("int").alias("line")))
-
-
-_GO_FUNC = r"^func\s*(?:\(([^)]*)\)\s*)?(\w+)"
-_GO_SPEC = r"(\w+)(?:\[[^\]]*\])?\s+(?:=\s*)?(struct\b|interface\b)?"
-
-
-def _go_lines(lines: DataFrame) -> DataFrame:
-    by_line = Window.partitionBy(*FILE).orderBy("line_no")
-    head = F.when((F.col("before") == 0) & (F.trim("code") != ""), F.col("code"))
-    return lines.where("language = 'go'").withColumn("block", F.last(head, ignorenulls=True).over(by_line))
-
-
-def go_symbols(lines: DataFrame) -> DataFrame:
-    mine = _go_lines(lines)
-    code = F.col("code")
-    receiver = F.regexp_extract(F.regexp_extract(code, _GO_FUNC, 1), r"^\s*(?:\w+\s+)?\*?\s*(\w+)", 1)
-    func = F.when(
-        (F.col("before") == 0) & code.rlike(_GO_FUNC),
-        F.struct(
-            F.regexp_extract(code, _GO_FUNC, 2).alias("name"),
-            F.when(code.rlike(r"^func\s*\("), "method").otherwise("function").alias("kind"),
-            F.nullif(receiver, F.lit("")).alias("owner"),
-            F.lit(False).alias("loose"),
-        ),
+    own = dict(extractors or {})
+    rows = files.where(F.col("language").isin([*fixed.PARSEABLE, *own])).select(
+        *[F.col(c).cast("string").alias(c) for c in (*FILE, "language")], F.coalesce("text", F.lit("")).alias("text")
     )
+    symbol = pa.struct([("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent", pa.string())])
+    imported = pa.struct([("module", pa.string()), ("line", pa.int32()), ("level", pa.int32()), ("names", pa.list_(pa.string()))])
 
-    def spec(form: str) -> Column:
-        body = F.regexp_extract(code, form, 2)
-        kind = F.when(body == "", F.lit("type")).otherwise(body)
-        return F.struct(
-            F.regexp_extract(code, form, 1).alias("name"), kind.alias("kind"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("loose")
-        )
-
-    single, grouped = r"^type\s+" + _GO_SPEC, r"^\s*" + _GO_SPEC
-    alone = F.when((F.col("before") == 0) & code.rlike(single), spec(single))
-    inside = F.when(
-        (F.col("before") == 1) & F.col("block").rlike(r"^type\s*\(") & code.rlike(grouped) & ~code.rlike(r"^type\b"),
-        spec(grouped),
-    )
-    return _symbols(_declared(mine, F.coalesce(func, alone, inside)), F.col("owner"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            languages, texts = batch.column("language").to_pylist(), batch.column("text")
+            found = [own.get(x, facts_of)(x, t.as_py()) for x, t in zip(languages, texts, strict=True)]
+            columns = [batch.column(c) for c in (*FILE, "language")]
+            columns.append(pa.array([[dict(zip(symbol.names, s, strict=True)) for s in f.symbols] for f in found], pa.list_(symbol)))
+            columns.append(pa.array([[dict(zip(imported.names, i, strict=True)) for i in f.imports] for f in found], pa.list_(imported)))
+            columns += [pa.array([f.package for f in found], pa.string()), pa.array([f.errors for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*FILE, "language", "symbols", "imports", "package", "parse_errors"])
 
+    schema = f"repo_id string, path string, language string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, package string, parse_errors boolean"
+    return rows.mapInArrow(run, schema)
 
-def go_imports(lines: DataFrame) -> DataFrame:
-    quoted = r"""(?:[\w.]+\s+)?["`]([^"`]+)["`]"""
-    mine = _go_lines(lines)
-    single = F.when(
-        (F.col("before") == 0) & F.col("code").rlike(r'^import\s+(?:[\w.]+\s+)?"'),
-        F.regexp_extract("raw", r"^import\s+" + quoted, 1),
-    )
-    grouped = F.when(
-        (F.col("before") == 1) & F.col("block").rlike(r"^import\s*\(") & F.col("code").rlike(r'^\s*(?:[\w.]+\s+)?"'),
-        F.regexp_extract("raw", r"^\s*" + quoted, 1),
-    )
-    rows = mine.withColumn("module", F.coalesce(single, grouped)).where("module <> ''")
-    return _no_level(rows.select(*FILE, "module", F.col("line_no").cast("int").alias("line")))
 
+def symbols_of(facts: DataFrame) -> DataFrame:
+    """A row per symbol of ``parsed`` files: name, kind, start_line, end_line, parent."""
+    return facts.select(*FILE, F.inline("symbols"))
 
-# --- all languages ------------------------------------------------------------------------------
 
-Extractor = Callable[[DataFrame], DataFrame]
+def imports_of(facts: DataFrame) -> DataFrame:
+    """A row per import of ``parsed`` files: module, line, level, names."""
+    return facts.select(*FILE, F.inline("imports"))
 
-SYMBOL_EXTRACTORS: dict[str, Extractor] = {
-    "python": python_symbols,
-    "javascript": js_symbols,
-    "java": java_symbols,
-    "go": go_symbols,
-}
-IMPORT_EXTRACTORS: dict[str, Extractor] = {
-    "python": python_imports,
-    "javascript": js_imports,
-    "java": java_imports,
-    "go": go_imports,
-}
 
-
-def symbols_of(lines: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    """Symbols of all languages; ``extractors`` adds to or replaces the built-in ones."""
-    parts = [run(lines) for run in {**SYMBOL_EXTRACTORS, **(extractors or {})}.values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where("name <> ''").withColumns(
-        {"start_line": F.col("start_line").cast("int"), "end_line": F.col("end_line").cast("int")}
-    )
-
-
-def imports_of(lines: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    parts = [run(lines) for run in {**IMPORT_EXTRACTORS, **(extractors or {})}.values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def file_state(files: DataFrame) -> DataFrame:
-    """``package`` and ``parse_errors`` (brackets do not balance) per parseable file; no shuffle."""
-    rows = files.where(F.col("language").isin(fixed.PARSEABLE)).select(*FILE, "language", _code_of(F.col("text")).alias("code"))
-    code = F.col("code")
-    opened = F.length(code) - F.length(F.translate(code, "([{", ""))
-    closed = F.length(code) - F.length(F.translate(code, ")]}", ""))
-    package = F.regexp_extract(code, r"(?m)^\s*package\s+([\w.]+)", 1)
-    named = F.col("language").isin("java", "go") & (package != "")
-    return rows.select(*FILE, F.when(named, package).alias("package"), (opened != closed).alias("parse_errors"))
-
-
-def file_facts(files: DataFrame) -> DataFrame:
-    """One row per parseable file: ``symbols`` in file order, ``package``, ``parse_errors``."""
-    symbols = symbols_of(source_lines(files))
-    in_order = F.array_sort(
-        F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("_b"), "name", "kind", "end_line", "parent"))
-    )
-    shape = F.transform(
-        in_order, lambda s: F.struct(*[s[c].alias(c) for c in ("name", "kind", "start_line", "end_line", "parent")])
-    )
-    listed = symbols.groupBy(*FILE).agg(shape.alias("symbols"))
-    return file_state(files).join(listed, FILE, "left")
+def file_facts(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """One row per parseable file: ``package``, ``parse_errors``, ``symbols`` (null if there are none)."""
+    symbols = F.when(F.size("symbols") > 0, F.col("symbols")).alias("symbols")
+    return parsed(files, extractors).select(*FILE, "package", "parse_errors", symbols)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunk, extract, manifests
+from corpusloom.operators import chunk, extract, lexer, manifests
 from corpusloom.plans.registry import query
 from corpusloom.sources.corpora import corpus
 
 c = F.col
 
 
-def _lines(t, language):
-    return extract.source_lines(corpus(t, "code_files").where(c("language").isin(language)))
+def _symbols(t, language):
+    return extract.symbols_of(extract.parsed(corpus(t, "code_files").where(c("language").isin(language))))
+
+
+def _imports(t, language):
+    return extract.imports_of(extract.parsed(corpus(t, "code_files").where(c("language").isin(language))))
 
 
 def _symbol_check(where, rows, extra=""):
@@ -44,22 +50,22 @@ def _out(df):
 
 @query("e10_python_symbols", _symbol_check("k % 4 = 0", _PY, _PY_EXTRA), ("code_files",))
 def e10(t):
-    return _out(extract.python_symbols(_lines(t, ["python"])))
+    return _out(_symbols(t, ["python"]))
 
 
 @query("e11_js_symbols", _symbol_check("k % 4 = 1", _TS), ("code_files",))
 def e11(t):
-    return _out(extract.js_symbols(_lines(t, _JS)))
+    return _out(_symbols(t, _JS))
 
 
 @query("e12_java_symbols", _symbol_check("k % 4 = 2", _JAVA), ("code_files",))
 def e12(t):
-    return _out(extract.java_symbols(_lines(t, ["java"])))
+    return _out(_symbols(t, ["java"]))
 
 
 @query("e13_go_symbols", _symbol_check("k % 4 = 3", _GO), ("code_files",))
 def e13(t):
-    return _out(extract.go_symbols(_lines(t, ["go"])))
+    return _out(_symbols(t, ["go"]))
 
 
 _IMPORTS = {
@@ -82,34 +88,165 @@ def _named(df):
 
 @query("e10_python_imports", _import_check(0), ("code_files",))
 def e10_imports(t):
-    return _named(extract.python_imports(_lines(t, ["python"])))
+    return _named(_imports(t, ["python"]))
 
 
 @query("e11_js_imports", _import_check(1), ("code_files",))
 def e11_imports(t):
-    return _named(extract.js_imports(_lines(t, _JS)))
+    return _named(_imports(t, _JS))
 
 
 @query("e12_java_imports", _import_check(2), ("code_files",))
 def e12_imports(t):
-    return _named(extract.java_imports(_lines(t, ["java"])))
+    return _named(_imports(t, ["java"]))
 
 
 @query("e13_go_imports", _import_check(3), ("code_files",))
 def e13_imports(t):
-    return _named(extract.go_imports(_lines(t, ["go"])))
+    return _named(_imports(t, ["go"]))
+
+
+_ALL_SYMBOLS = " UNION ALL ".join(
+    [_symbol_check("k % 4 = 0", _PY, _PY_EXTRA), _symbol_check("k % 4 = 1", _TS), _symbol_check("k % 4 = 2", _JAVA), _symbol_check("k % 4 = 3", _GO)]
+)
 
 
 @query(
     "e14_file_facts",
-    """SELECT repo_id, path, CASE k % 4 WHEN 0 THEN 5 + k % 3 WHEN 1 THEN 9 WHEN 2 THEN 8 ELSE 6 END AS symbols,
- CASE k % 4 WHEN 2 THEN 'com.shop.p' || (k % 5) WHEN 3 THEN 'g' || (k % 5) END AS package, k % 9 = 0 AS parse_errors FROM code_files""",
+    f"""SELECT repo_id, path, string_agg(name || ':' || kind || ':' || start_line || '-' || end_line || ':' || coalesce(parent, ''), ',' ORDER BY start_line, -end_line, name) AS symbols,
+ any_value(CASE k % 4 WHEN 2 THEN 'com.shop.p' || (k % 5) WHEN 3 THEN 'g' || (k % 5) END) AS package, any_value(k % 9 = 0) AS parse_errors
+ FROM ({_ALL_SYMBOLS}) JOIN code_files USING (repo_id, path) GROUP BY 1, 2""",
     ("code_files",),
 )
 def e14(t):
+    """Every symbol of every file in file order; a ninth of the files has a bracket too many."""
     files = corpus(t, "code_files").withColumn("text", F.expr("CASE WHEN k % 9 = 0 THEN text || '\n\n}' ELSE text END"))
     facts = extract.file_facts(files)
-    return facts.select("repo_id", "path", F.size("symbols").alias("symbols"), "package", "parse_errors")
+
+    def shown(s):
+        return F.concat_ws(":", s["name"], s["kind"], F.concat(s["start_line"], F.lit("-"), s["end_line"]), F.coalesce(s["parent"], F.lit("")))
+
+    return facts.select("repo_id", "path", F.array_join(F.transform("symbols", shown), ",").alias("symbols"), "package", "parse_errors")
+
+
+# Shapes that patterns over lines miss: (language, text, symbols); # is the file's number.
+_SHAPES = [
+    ("typescript", r"""const re# = /["'{(]\/[/}]+/g;
+const arrow# =
+  async (a: string, b = { x: 1 }): Promise<Map<string, { y: number }>> => {
+    return `a ${b ? `in ${a} {` : "}"} z`;
+  };
+export class Box#<T> extends Base<{ a: T }> {
+  static count = 0
+  get size(): number { return 1 }
+  handler = (e: Event): void => {
+    if (e) { for (;;) {} }
+  };
+  [Symbol.iterator]() { return this }
+}
+let x = 1, f# = function () { return x }
+""", ["'arrow#', 'function', 2, 5, NULL", "'Box#', 'class', 6, 13, NULL", "'size', 'method', 8, 8, 'Box#'", "'handler', 'method', 9, 11, 'Box#'",
+      "'[Symbol.iterator]', 'method', 12, 12, 'Box#'", "'f#', 'function', 14, 14, NULL"]),
+    ("tsx", r"""@Dec({ a: "}" })
+export default class extends Base {
+  m() { return 4 / 2 / 1 }
+}
+export const enum Kind# { A, B }
+type U# =
+  | "a"
+  | { b: string };
+const K# = class { run(a = /[)]/) {} };
+function over#(a: string): void;
+function over#(a: any) { return <b>{a}</b> }
+""", ["'default', 'class', 1, 4, NULL", "'Kind#', 'enum', 5, 5, NULL", "'U#', 'type', 6, 8, NULL", "'K#', 'class', 9, 9, NULL", "'run', 'method', 9, 9, 'K#'",
+      "'over#', 'function', 10, 10, NULL", "'over#', 'function', 11, 11, NULL"]),
+    ("java", r'''@Entity(name = "a{")
+public final class A#<T extends Comparable<T>> extends B implements C {
+  private Map<String, List<T>> m = new HashMap<>() {{ put("a", null); }};
+  static { System.out.println("}"); }
+  public A#(int x) throws E { this.x = x; }
+  @Override
+  public <K> List<K> get(@N String s, char c) {
+    String t = """
+      { " text
+      """;
+    return foo('{');
+  }
+  abstract void f();
+}
+''', ["'A#', 'class', 1, 14, NULL", "'A#', 'method', 5, 5, 'A#'", "'get', 'method', 6, 12, 'A#'", "'f', 'method', 13, 13, 'A#'"]),
+    ("java", r"""record R#(int q) { R# { } int h() { return 1; } }
+enum Mode# { X { void z() {} }, Y; void inEnum() {} }
+@interface Note# { String value() default "x"; }
+interface P# {
+  void call();
+  default int d() { return 1; }
+}
+""", ["'R#', 'class', 1, 1, NULL", "'h', 'method', 1, 1, 'R#'", "'Mode#', 'enum', 2, 2, NULL", "'Note#', 'interface', 3, 3, NULL", "'P#', 'interface', 4, 7, NULL",
+      "'call', 'method', 5, 5, 'P#'", "'d', 'method', 6, 6, 'P#'"]),
+    ("go", r"""type S#[K comparable, V any] struct { a map[string]struct{} }
+func (s *S#[K, V]) Get(k K) (map[string]interface{}, error) {
+  return nil, `}`
+}
+func New#(a int,
+  b func() struct{}) *S# { return nil }
+""", ["'S#', 'struct', 1, 1, NULL", "'Get', 'method', 2, 4, 'S#'", "'New#', 'function', 5, 6, NULL"]),
+    ("go", r"""type (
+  R# interface { F() }
+  A# = [3]int
+)
+type (
+  One# func(int)
+)
+func ext#(x int) int
+""", ["'R#', 'interface', 2, 2, NULL", "'A#', 'type', 3, 3, NULL", "'One#', 'type', 5, 7, NULL", "'ext#', 'function', 8, 8, NULL"]),
+    ("python", r"""@dec(")")
+def f#(x=(1,
+         2)):
+    def g(): pass
+    return x
+
+class A#(
+    Base):
+    @p
+    async def m(self): pass
+    class In:
+        def z(self): pass
+""", ["'f#', 'function', 1, 5, NULL", "'A#', 'class', 7, 12, NULL", "'m', 'method', 9, 10, 'A#'", "'In', 'class', 11, 12, 'A#'"]),
+    ("python", r"""print 'no longer valid'
+@dec(
+    1)
+def f#(x,
+       y):
+    '''text
+def no(): '''
+    return 1
+
+class A#:
+    def m(self): pass
+    def n(self):
+        return 2
+""", ["'f#', 'function', 2, 8, NULL", "'A#', 'class', 10, 13, NULL", "'m', 'method', 11, 11, 'A#'", "'n', 'method', 12, 13, 'A#'"]),
+]
+
+
+def _shape_check():
+    parts = []
+    for i, (_, _, rows) in enumerate(_SHAPES):
+        values = ", ".join(f"({r})" for r in rows)
+        parts.append(f"""SELECT 'shapes' AS repo_id, 'f' || c_custkey AS path, replace(v.name, '#', CAST(c_custkey AS VARCHAR)) AS name, v.kind, v.s + c_custkey % 3 AS start_line,
+ v.e + c_custkey % 3 AS end_line, replace(v.parent, '#', CAST(c_custkey AS VARCHAR)) AS parent FROM customer, (VALUES {values}) v(name, kind, s, e, parent) WHERE c_custkey % {len(_SHAPES)} = {i}""")
+    return " UNION ALL ".join(parts)
+
+
+@query("e10_e13_shapes", _shape_check())
+def e_shapes(t):
+    """Two further shapes per language, one for each customer, moved down by up to two lines."""
+    which, number = c("c_custkey") % len(_SHAPES), c("c_custkey").cast("string")
+    pick = lambda at: F.element_at(F.array(*[F.lit(s[at]) for s in _SHAPES]), (which + 1).cast("int"))
+    text = F.concat(F.repeat(F.lit("\n"), (c("c_custkey") % 3).cast("int")), F.replace(pick(1), F.lit("#"), number))
+    files = t.customer.select(F.lit("shapes").alias("repo_id"), F.concat(F.lit("f"), number).alias("path"), pick(0).alias("language"), text.alias("text"))
+    return _out(extract.symbols_of(extract.parsed(files)))
 
 
 @query(
@@ -119,13 +256,17 @@ def e14(t):
 )
 def m6(t):
     """All languages together, with the Python extractor replaced by one that keeps classes only."""
-    mine = {"python": lambda lines: extract.python_symbols(lines).where("kind = 'class'")}
-    return _out(extract.symbols_of(extract.source_lines(corpus(t, "code_files")), mine))
+
+    def classes_only(language, text):
+        facts = lexer.facts_of(language, text)
+        return replace(facts, symbols=[s for s in facts.symbols if s[1] == "class"])
+
+    return _out(extract.symbols_of(extract.parsed(corpus(t, "code_files"), {"python": classes_only})))
 
 
 def symbol_rows(t):
     """Symbols of the code corpus for the plans that need them as input."""
-    return _out(extract.symbols_of(extract.source_lines(corpus(t, "code_files"))))
+    return _out(extract.symbols_of(extract.parsed(corpus(t, "code_files"))))
 
 
 def _with_symbols(t, language):
