@@ -2,143 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
-from corpusloom.operators import textindex
-from corpusloom.operators.embed import norm, normalised
+from corpusloom.operators import textindex, vectorindex
+from corpusloom.operators.embed import norm
 from corpusloom.operators.textindex import TextIndex
-from corpusloom.scale import first_per_key, salted_join, top_k
+from corpusloom.operators.vectorindex import VectorIndex
+from corpusloom.scale import top_k
 
-MAX_QUERY_BYTES = 64 * 1024 * 1024
-QUERY_BLOCK = 4096
 HIT = "query_id, chunk_id, score, rank"
 
 
 # --- vectors ----------------------------------------------------------------------------------
 
 
-def _best_of_batch(k: int):
-    """Function giving the best ``k`` chunks of one batch per query of the same repository."""
-
-    def best(frame: pd.DataFrame, ids: np.ndarray, repos: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
-        found = []
-        for repo, part in frame.groupby("repo_id", sort=False):
-            mine = np.flatnonzero(repos == repo)
-            if not len(mine):
-                continue
-            chunks = np.stack(part["embedding"].to_numpy()).astype("float64")
-            length = np.sqrt((chunks * chunks).sum(axis=1))
-            length[length == 0] = 1.0
-            # Rounded scores make ties the same however rows are batched.
-            scores = np.round(vectors[mine] @ (chunks / length[:, None]).T, 9)
-            names = part["chunk_id"].to_numpy()
-            for row, query in zip(scores, ids[mine], strict=True):
-                top = np.lexsort((names, -row))[:k] if len(row) > k else np.arange(len(row))
-                found.append(pd.DataFrame({"query_id": query, "chunk_id": names[top], "score": row[top]}))
-        if not found:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return pd.concat(found)
-
-    return best
-
-
-def vector_search(
-    queries: DataFrame, chunks: DataFrame, k: int = fixed.SEARCH_CANDIDATES, max_bytes: int = MAX_QUERY_BYTES
-) -> DataFrame:
+def vector_search(queries: DataFrame, chunks: DataFrame | VectorIndex, k: int = fixed.SEARCH_CANDIDATES) -> DataFrame:
     """Exact cosine top-k inside each query's repository: ``query_id, chunk_id, score, rank``.
 
-    ``queries``: ``query_id, repo_id, vector``; ``chunks``: ``chunk_id, repo_id, embedding``. The
-    query vectors are sent to every task only if they are small (measured first); each task then
-    keeps k rows per query and batch, and only those are shuffled. A larger query set is cut into
-    blocks that meet slices of the chunks in keyed tasks, so no side is ever held whole.
+    ``queries``: ``query_id, repo_id, vector``; ``chunks``: ``chunk_id, repo_id, embedding``, or an index of them.
     """
-    usable = chunks.where("embedding IS NOT NULL AND size(embedding) > 0").select("chunk_id", "repo_id", "embedding")
-    unit = queries.select(
-        "query_id",
-        "repo_id",
-        normalised(F.transform("vector", lambda x: x.cast("double"))).alias("vector"),
-    )
-    size = queries.agg(F.coalesce(F.sum(F.size("vector") * 8 + 64), F.lit(0))).first()[0]
-    kind = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)}
-    out = f"query_id {kind['query_id']}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    best = _best_of_batch(k)
-    if size <= max_bytes:
-        held = unit.collect()  # at most max_bytes, checked above
-        ids = np.array([r["query_id"] for r in held], dtype=object)
-        repos = np.array([r["repo_id"] for r in held], dtype=object)
-        vectors = np.array([r["vector"] for r in held], dtype="float64")
-        sent = queries.sparkSession.sparkContext.broadcast((ids, repos, vectors))
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield best(frame, *sent.value)
-
-        hits = usable.mapInPandas(scan, out) if held else usable.limit(0).mapInPandas(scan, out)
-    else:
-        hits = _blocked(unit, usable, best, out, size)
-    return top_k(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
-
-
-def _blocked(unit: DataFrame, usable: DataFrame, best, out: str, size: int) -> DataFrame:
-    """Query blocks against chunk slices: every pair of a block and a slice is one bounded task."""
-    blocks = max(1, -(-unit.count() // QUERY_BLOCK))
-    slices = max(1, -(-usable.count() // (QUERY_BLOCK * 16)))
-    left = unit.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "cs", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    right = usable.withColumn("cs", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        vectors = np.stack(asked["vector"].to_numpy()).astype("float64")
-        return best(held, asked["query_id"].to_numpy(), asked["repo_id"].to_numpy(), vectors)
+    index = chunks if isinstance(chunks, VectorIndex) else vectorindex.whole_index(chunks)
+    return vectorindex.search(queries, index, k)
 
-    pair = ["qb", "cs"]
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(meet, out)
 
-
-def approximate_search(
-    queries: DataFrame, chunks: DataFrame, k: int = 10, tables: int = 12, bits: int = 6, dimensions: int = 64, seed: int = 7
-) -> DataFrame:
-    """Approximate cosine top-k: sign-of-projection buckets give candidates, exact scores rank them.
-
-    Chunks meet queries on equal (repo, table, bucket); a hot bucket is salted. Candidate pairs are
-    made distinct before scoring.
-    """
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dimensions))
-
-    def buckets(vector: Column) -> Column:
-        def bit(plane: np.ndarray, i: int) -> Column:
-            weights = F.array(*[F.lit(float(x)) for x in plane])
-            dot = F.aggregate(F.zip_with(vector, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-            return F.when(dot > 0, F.lit(1 << i)).otherwise(F.lit(0))
-
-        codes = []
-        for table in planes:
-            code = bit(table[0], 0)
-            for i in range(1, bits):
-                code = code + bit(table[i], i)
-            codes.append(code)
-        return F.array(*codes)
-
-    on = ["repo_id", "table", "bucket"]
-    asked = queries.select("query_id", "repo_id", F.posexplode(buckets(F.col("vector"))).alias("table", "bucket"))
-    held = chunks.where("embedding IS NOT NULL").select("chunk_id", "repo_id", F.posexplode(buckets(F.col("embedding"))).alias("table", "bucket"))
-    pairs = salted_join(held, asked, on, spread_by=["chunk_id"]).select("query_id", "chunk_id").distinct()
-    scored = pairs.join(queries.select("query_id", "vector"), "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id")
-    score = F.round(cosine(F.col("vector"), F.col("embedding")), 9)
-    return top_k(scored.select("query_id", "chunk_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+def approximate_search(queries: DataFrame, chunks: DataFrame | VectorIndex, k: int = 10, probes: int = 12) -> DataFrame:
+    """Approximate cosine top-k: only the ``probes`` cells with the nearest centres are looked at, exact scores rank."""
+    index = chunks if isinstance(chunks, VectorIndex) else vectorindex.write_index(chunks)
+    return vectorindex.search(queries, index, k, probes)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -155,9 +50,10 @@ def overlap_search(queries: DataFrame, chunks: DataFrame | TextIndex, k: int = f
 
     ``chunks`` are rows, or an index of them made with ``X.code_tokens``. A query with a NULL repo searches all of them.
     """
+    asked = textindex.asked_tokens(queries)
     if not isinstance(chunks, TextIndex):
-        chunks = textindex.index_for(chunks, textindex.query_tokens(queries), X.code_tokens)
-    return textindex.search(queries, chunks, k, "overlap").withColumn("score", F.col("score").cast("long"))
+        chunks = textindex.index_for(chunks, asked, X.code_tokens)
+    return textindex.search(asked, chunks, k, "overlap").withColumn("score", F.col("score").cast("long"))
 
 
 def bm25_search(
@@ -167,9 +63,10 @@ def bm25_search(
 
     ``chunks`` are rows, or an index of them made with ``X.indexed_tokens``. A query with a NULL repo searches all of them.
     """
+    asked = textindex.asked_tokens(queries)
     if not isinstance(chunks, TextIndex):
-        chunks = textindex.index_for(chunks, textindex.query_tokens(queries), X.indexed_tokens)
-    return textindex.search(queries, chunks, k, "bm25", k1, b)
+        chunks = textindex.index_for(chunks, asked, X.indexed_tokens)
+    return textindex.search(asked, chunks, k, "bm25", k1, b)
 
 
 # --- fusion -----------------------------------------------------------------------------------

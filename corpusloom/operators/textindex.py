@@ -161,6 +161,11 @@ def index_for(chunks: DataFrame, asked: DataFrame, tokens: Callable[[Column], Co
     return TextIndex(chunks.sparkSession.read.schema(kept.schema).parquet(path))
 
 
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """``query_tokens`` worked out once and stored: they are read several times."""
+    return _saved(query_tokens(queries), "asked")
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     """``query_id, repo_id, token`` for queries with a ``text``; a NULL repo searches all of them."""
     rows = queries.select("query_id", F.col("repo_id").cast("string").alias("repo_id"), X.code_tokens(F.col("text")).alias("tokens"))
@@ -245,7 +250,7 @@ def _unit_best(gain: Callable, k: int, columns: list[str]):
                 for c in _PLACE:
                     out[c] += [own[f"chunk_{c}"][i] for i in best.tolist()]
                 out["score"] += score[best].tolist()
-        return pd.DataFrame(out)
+        return pd.DataFrame(out) if out["query_id"] else pd.DataFrame({c: np.zeros(0, object) for c in columns})
 
     return run
 
@@ -253,9 +258,12 @@ def _unit_best(gain: Callable, k: int, columns: list[str]):
 def search(
     queries: DataFrame, index: TextIndex, k: int, kind: str = "overlap", k1: float = 1.2, b: float = 0.75, first_units: int = FIRST_UNITS
 ) -> DataFrame:
-    """The k best chunks per query (``query_id, chunk_id, path, start_line, score, rank``); ties by path, line and id."""
+    """The k best chunks per query (``query_id, chunk_id, path, start_line, score, rank``); ties by path, line and id.
+
+    ``queries`` have a text, or are the stored rows of ``query_tokens``.
+    """
     spark = queries.sparkSession
-    asked = query_tokens(queries)
+    asked = queries if "token" in queries.columns else asked_tokens(queries)
     narrow = ["segment", "repo_id", "token", "bucket", *[f"{n}_{f}" for f in FIELDS for n in ("n", "most", "short")]]
     heads = index.postings.select(*narrow)
     known, free = asked.where("repo_id IS NOT NULL"), asked.where("repo_id IS NULL").drop("repo_id")
@@ -265,7 +273,7 @@ def search(
     terms = _saved(terms.select("query_id", "segment", "repo_id", "token", "bucket", "bound", *weights), "terms")
     units = terms.groupBy("query_id", "segment", "repo_id").agg(F.sum("bound").alias("bound"), F.collect_list("token").alias("tokens"))
     units = _saved(top_k(units, ["query_id"], [F.desc("bound"), F.col("segment"), F.col("repo_id")], (1 << 31) - 1, "turn"), "units")
-    slices = ceil(queries.count() / QUERY_SLICE) or 1
+    slices = ceil(asked.select("query_id").distinct().count() / QUERY_SLICE) or 1
     kind_of = {c: index.rows.schema[f"chunk_{c}"].dataType.elementType.simpleString() for c in _PLACE}
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind_of[c]}" for c in _PLACE) + ", score double"
     run = _unit_best(_gain(kind, k1, b), k, ["query_id", *_PLACE, "score"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
-from corpusloom.operators import embed, search, textindex
+from corpusloom.operators import embed, search, textindex, vectorindex
 from corpusloom.plans.registry import query
 from corpusloom.plans.scalars import CODE_TOKENS_SQL
 from corpusloom.session import durable_path
@@ -207,23 +207,22 @@ def _label_chunks(t):
     return t.embeddings.select(c("vec_id").alias("chunk_id"), c("label").cast("string").alias("repo_id"), "embedding")
 
 
-@query(
-    "j1_vector_topk",
-    f"""WITH {_J1_QUERIES}, s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM qv JOIN embeddings USING (label))
- SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
-)
+_J1 = f"""WITH {_J1_QUERIES}, s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM qv JOIN embeddings USING (label))
+ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("j1_vector_topk", _J1)
 def j1(t):
     return search.vector_search(_label_queries(t), _label_chunks(t), 10).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "j1_vector_topk_blocks",
-    f"""WITH {_J1_QUERIES}, s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM qv JOIN embeddings USING (label))
- SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
-)
-def j1_blocks(t):
-    """The path for query sets that are too large to send to every task."""
-    return search.vector_search(_label_queries(t), _label_chunks(t), 10, max_bytes=0).withColumn("score", F.round("score", 6))
+@query("j1_stored_index", _J1)
+def j1_stored(t):
+    """The same from an index on storage, opened anew."""
+    path = durable_path(t.spark, "vectors")
+    vectorindex.write_index(_label_chunks(t), path)
+    out = search.vector_search(_label_queries(t), vectorindex.open_index(t.spark, path), 10)
+    return out.withColumn("score", F.round("score", 6))
 
 
 @query("j2_approximate_topk")
@@ -231,6 +230,18 @@ def j2(t):
     return search.approximate_search(_label_queries(t), _label_chunks(t), 10)
 
 
+@query(
+    "j2_recall",
+    f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM ({_J1})",
+)
+def j2_recall(t):
+    """How much of the exact result the approximate search finds: nine tenths or more."""
+    index, asked = vectorindex.write_index(_label_chunks(t)), _label_queries(t)
+    found = search.approximate_search(asked, index, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = search.vector_search(asked, index, 10).join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.sum("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(
     "j3_overlap",
     f"WITH {_CHUNKS}, {_OVERLAP} SELECT query_id, chunk_id, path, start_line, score, rank FROM tr WHERE rank <= 30",

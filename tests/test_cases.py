@@ -226,7 +226,7 @@ def test_approximate_search_recall(spark):
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(200)]
     chunks = spark.createDataFrame([(i, "r", v) for i, v in enumerate(base)], "chunk_id bigint, repo_id string, embedding array<double>")
     asked = spark.createDataFrame([(i, "r", [x + rng.gauss(0, 0.05) for x in base[i]]) for i in range(20)], "query_id bigint, repo_id string, vector array<double>")
-    best = search.approximate_search(asked, chunks, 1, dimensions=16).collect()
+    best = search.approximate_search(asked, chunks, 1).collect()
     assert sum(r["query_id"] == r["chunk_id"] for r in best) >= 18
 
 
