@@ -87,6 +87,12 @@ class Planes:
         return dot / fit, epsilon * off / fit
 
 
+def even(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is near 1: cosines stay the same to the last bit."""
+    _, power = np.frexp(np.abs(vectors).max(1, initial=0.0))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, each sum in the order of the components."""
     dot, aa, bb = (np.zeros(len(a)) for _ in range(3))
@@ -153,7 +159,7 @@ def index(vectors: DataFrame, seed: int = 11) -> DataFrame:
             frame = batch.to_pandas()
             codes, fits = [b""] * len(frame), np.zeros(len(frame))
             for _, at in frame.groupby("dim").indices.items():
-                bits, fit = encode(np.stack(frame["vector"].to_numpy()[at]), seed)
+                bits, fit = encode(even(np.stack(frame["vector"].to_numpy()[at])), seed)
                 for i, row in zip(at.tolist(), bits, strict=True):
                     codes[i] = row.tobytes()
                 fits[at] = fit
@@ -192,7 +198,7 @@ def nearest(
             ids, query_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             bits = np.frombuffer(b"".join(left["code"]), np.uint64).reshape(len(left), -1)
             who, row, score = search_block(
-                query_ids, np.stack(right["vector"].to_numpy()), ids, np.stack(left["vector"].to_numpy()),
+                query_ids, even(np.stack(right["vector"].to_numpy())), ids, even(np.stack(left["vector"].to_numpy())),
                 bits, left["fit"].to_numpy(), k, seed, epsilon,
             )
             found = {"query_id": query_ids[who], "vec_id": ids[row], "score": score}

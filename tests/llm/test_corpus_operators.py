@@ -71,6 +71,14 @@ def test_few_candidates_and_error_bounds(spark):
     assert abs((guess - true).mean()) < 2e-3 and np.mean(np.abs(guess - true) <= off) > 0.97
 
 
+def test_vectors_of_extreme_length(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [1e-310, 0.0]), (3, [-1e300, 1e300]), (50, [3.0, 6.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rotated_codes.nearest(frame, lambda c: F.col(c) == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 50, 2, 3] or [r.vec_id for r in got] == [1, 50, 3, 2]
+    assert [round(r.score, 6) for r in got] == [1.0, 1.0, 0.447214, 0.316228]
+
+
 def test_vector_duplicates_against_brute_force(spark, vectors):
     ids, x = usable(vectors)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
