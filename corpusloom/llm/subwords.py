@@ -72,9 +72,33 @@ class Pieces:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.joined = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self._table()
+
+    def _table(self) -> None:
+        """The pairs in a table with open addresses: a look-up costs one or two reads instead of a binary search."""
+        self.shift = np.uint64(64 - (4 * len(self.pairs)).bit_length())
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ranks, self.joined = np.full(size, -1), np.full(size, _NONE), np.zeros(size, np.int64)
+        for key, place in zip(self.pairs, self._places(np.array(list(self.pairs), np.int64)).tolist(), strict=True):
+            while self.keys[place] >= 0:
+                place = (place + 1) % size
+            self.keys[place] = key
+            self.ranks[place], self.joined[place] = self.pairs[key]
+
+    def _places(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * _GOLD) >> self.shift).astype(np.int64)
+
+    def found(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``pair`` are known, their places in ``ranks`` and ``joined``)."""
+        place = self._places(pair)
+        held = self.keys[place]
+        open_ = np.flatnonzero((held != pair) & (held >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) % len(self.keys)
+            held[open_] = self.keys[place[open_]]
+            open_ = open_[(held[open_] != pair[open_]) & (held[open_] >= 0)]
+        known = np.flatnonzero(held == pair)
+        return known, place[known]
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -183,15 +207,14 @@ def segment(
         right = np.minimum(a + 1, len(flat) - 1)
         u = np.flatnonzero((right > a) & (owner[right] == owner[a]) & (flat[a] < n) & (flat[right] < n))
         at, right = a[u], right[u]
-        pair = flat[at] * n + flat[right]
-        spot = np.minimum(np.searchsorted(pieces.keys, pair), len(pieces.keys) - 1)
-        known = np.flatnonzero(pieces.keys[spot] == pair)
+        known, spot = pieces.found(flat[at] * n + flat[right])
         if seen is not None:
             seen.append((owner[at[known]], place[at[known]], flat[at[known]], flat[right[known]]))
         if rate:
             at, right = at[known], right[known]
-            known = known[_chance(keys[owner[at]], place[at], flat[at], flat[right]) >= limit]
-        u, spot = u[known], spot[known]
+            stays = _chance(keys[owner[at]], place[at], flat[at], flat[right]) >= limit
+            known, spot = known[stays], spot[stays]
+        u = u[known]
         rank[u], whole[u] = pieces.ranks[spot], pieces.joined[spot]
         return rank, whole
 
@@ -338,10 +361,12 @@ def _turns(ids: list, marks: list, last: list) -> np.ndarray:
 
 
 def encoded(
-    docs: DataFrame, rate: float = 0.1, seed: int = 1, path: str | None = None, copies: bool = False
+    docs: DataFrame, rate: float = 0.1, seed: int = 1, path: str | None = None, copies: bool = False, verify: bool = False
 ) -> DataFrame:
     """(doc_id, mark, ids array<int>): the pieces of every whole text; mark is the hash of what they decode to.
 
+    With ``verify`` each text is decoded again where it was encoded, and ``lossless`` tells whether that gives it back.
+
     A null or empty text has no ids. A null doc_id is a key like any other; repeated rows get equal results. With
     ``copies``, rows that lie next to each other and repeat id and text (as ``mixing.repeated`` writes them) are
     numbered, and each is encoded in its own way. An empty table gives no row.
@@ -349,21 +374,26 @@ def encoded(
     path = path or public_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(Pieces.of(path), rate), [None, 0]
+        pieces = Pieces.of(path)
+        encoder, last = Encoder(pieces, rate), [None, 0]
         for batch in slices_of(batches, chars=1_000_000):
             uses = batch.column("use").to_numpy(False).view(np.uint64)
             if copies:
                 uses = mix64(uses ^ _turns(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), last))
-            found = encoder.encode(batch.column("text").to_pylist(), uses)
+            texts = batch.column("text").to_pylist()
+            found = encoder.encode(texts, uses)
             ends = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
             columns = [batch.column("doc_id"), batch.column("mark"), ids]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "ids"])
+            if verify:
+                same = [decoded(pieces.raw, x) == t.replace(MARK, " ") for x, t in zip(found, texts, strict=True)]
+                columns.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "ids", "lossless"][: len(columns)])
 
     rows = documents_of(docs).withColumns(
         {"use": F.xxhash64(F.lit(seed), "doc_id"), "mark": F.xxhash64(read_back(F.col("text")))}
     )
-    return rows.mapInArrow(run, "doc_id long, mark long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, mark long, ids array<int>" + ", lossless boolean" * verify)
 
 
 def decoder(path: str | None = None):
@@ -393,10 +423,5 @@ def read_back(text: Column) -> Column:
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_pieces, ids_hash, lossless (the ids decode to the text) for every row."""
-    decode = decoder(options.get("path"))
-    return encoded(docs, **options).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        (F.xxhash64(decode("ids")) == F.col("mark")).alias("lossless"),
-    )
+    ids = [F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash")]
+    return encoded(docs, verify=True, **options).select("doc_id", *ids, "lossless")
