@@ -34,7 +34,7 @@ LONG = 48
 BLOCK = 1 << 16
 WORDS = 120_000
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_NONE = np.int64(1) << 40
+_NONE = np.int32(1 << 22)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOADED: dict[str, Pieces] = {}
 
@@ -78,7 +78,7 @@ class Pieces:
         """The pairs in a table with open addresses: a look-up costs one or two reads instead of a binary search."""
         self.shift = np.uint64(64 - (4 * len(self.pairs)).bit_length())
         size = 1 << (64 - int(self.shift))
-        self.keys, self.ranks, self.joined = np.full(size, -1), np.full(size, _NONE), np.zeros(size, np.int64)
+        self.keys, self.ranks, self.joined = np.full(size, -1), np.full(size, _NONE), np.zeros(size, np.int32)
         for key, place in zip(self.pairs, self._places(np.array(list(self.pairs), np.int64)).tolist(), strict=True):
             while self.keys[place] >= 0:
                 place = (place + 1) % size
@@ -188,8 +188,9 @@ def segment(
     to ``LONG`` symbols: word, place, left and right symbol.
     """
     words = len(sizes)
-    owner = np.repeat(np.arange(words), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Short rows of numbers: ranks and places fit, and the cores share the memory's bandwidth.
+    flat, owner = flat.astype(np.int32), np.repeat(np.arange(words, dtype=np.int32), sizes)
+    place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     big = np.flatnonzero(sizes > LONG)
     if len(big):
@@ -203,11 +204,11 @@ def segment(
 
     def ranked(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and union of the candidates that start at the positions ``a`` (the right one is next)."""
-        rank, whole = np.full(len(a), _NONE), np.zeros(len(a), np.int64)
+        rank, whole = np.full(len(a), _NONE), np.zeros(len(a), np.int32)
         right = np.minimum(a + 1, len(flat) - 1)
         u = np.flatnonzero((right > a) & (owner[right] == owner[a]) & (flat[a] < n) & (flat[right] < n))
         at, right = a[u], right[u]
-        known, spot = pieces.found(flat[at] * n + flat[right])
+        known, spot = pieces.found(flat[at].astype(np.int64) * n + flat[right])
         if seen is not None:
             seen.append((owner[at[known]], place[at[known]], flat[at[known]], flat[right[known]]))
         if rate:
@@ -221,10 +222,10 @@ def segment(
     rank, whole = ranked(np.arange(len(flat)))
     while len(flat):
         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        cost = (rank << np.int64(8)) + place
+        cost = (rank << np.int32(8)) + place
         best = np.minimum.reduceat(cost, starts)
         best = np.repeat(best, np.diff(np.append(starts, len(flat))))
-        busy = best < (_NONE << np.int64(8))
+        busy = best < (_NONE << np.int32(8))
         if not busy.all():
             rest = ~busy
             done.append((owner[rest], place[rest], flat[rest]))
