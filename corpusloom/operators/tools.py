@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +16,14 @@ from corpusloom.scale import running_sum, salted_join, top_k
 
 
 def grep(
-    files: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = False, max_results: int = 50, scan_chars: int | None = None
+    files: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = False, max_results: int = 50,
+    scan_chars: int | None = None, line_chars: int | None = None,
 ) -> DataFrame:
     """Matching lines per repository in path and line order, at most ``max_results`` each.
 
     ``files``: ``repo_id, path, text``. All files are searched. With ``scan_chars`` a repository is read up to so
-    many characters in path order; the running total is only computed for repositories above that.
+    many characters in path order; the running total is only computed for repositories above that. Lines come whole,
+    unless ``line_chars`` cuts them.
     """
     rows = files.select("repo_id", "path", "text", F.length("text").alias("chars"))
     if path_glob:
@@ -36,31 +42,37 @@ def grep(
     # No file can contribute more lines than the whole result may have.
     found = rows.select("repo_id", "path", F.inline(F.slice(hits, 1, max_results)))
     best = top_k(found, ["repo_id"], [F.col("path"), F.col("line_no")], max_results)
-    return best.withColumn("line", F.left(F.trim("line"), F.lit(200)))
-
-
-def _json_object(depth: int = 6) -> str:
-    """Pattern for a JSON object nested up to ``depth`` levels."""
-    string = r'"(?:[^"\\]++|\\.)*+"'
-    pattern = r'\{(?:[^{}"]++|' + string + r")*+\}"
-    for _ in range(depth - 1):
-        pattern = r'\{(?:[^{}"]++|' + string + "|" + pattern + r")*+\}"
-    return pattern
+    line = F.trim("line")
+    return best.withColumn("line", line if line_chars is None else F.left(line, F.lit(line_chars)))
 
 
+def objects_in(text: str) -> list[str]:
+    """The JSON objects in a text, outermost ones that parse; a brace that opens none is passed over."""
+    parse, found, end = json.JSONDecoder().raw_decode, [], 0
+    for brace in re.finditer(r"\{", text):
+        if brace.start() >= end:
+            try:
+                end = parse(text, brace.start())[1]
+            except (ValueError, RecursionError):
+                continue
+            found.append(text[brace.start() : end])
+    return found
 
 
 def text_tool_calls(replies: DataFrame, known: list[str]) -> DataFrame:
     """Tool calls written as text (``reply_id, text``): tagged ones, else fenced ones, else bare JSON.
 
-    Only known names count. Arguments come out as JSON text; objects nested deeper than six levels
-    are not recognised.
+    Only known names count. Arguments come out as JSON text, nested to any depth; broken JSON is passed over.
     """
     tagged = F.regexp_extract_all("text", F.lit(fixed.TAGGED_CALL), 1)
     fenced = F.regexp_extract_all("text", F.lit(fixed.FENCED_CALL), 1)
     bodies = F.when(F.size(tagged) > 0, tagged).when(F.size(fenced) > 0, fenced).otherwise(F.array("text"))
-    objects = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(_json_object()), 0)))
-    rows = replies.select("reply_id", F.posexplode(objects).alias("pos", "raw"))
+
+    @F.pandas_udf("array<string>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda parts: [o for t in ([] if parts is None else parts) if t is not None for o in objects_in(t)])
+
+    rows = replies.select("reply_id", listed(bodies).alias("objects")).select("reply_id", F.posexplode("objects").alias("pos", "raw"))
     inner = F.get_json_object("raw", "$.function")
     call = F.when(F.startswith(inner, F.lit("{")), inner).otherwise(F.col("raw"))
     rows = rows.withColumn("_call", call)

@@ -160,33 +160,23 @@ def d19(t):
     "e19_grep",
     """WITH l AS (SELECT repo_id, path, i AS line_no, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT repo_id, path, CASE WHEN text LIKE '%' || chr(10)
  THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM doc_files WHERE path LIKE 'en/%')))
- SELECT repo_id, path, line_no, left(trim(line), 200) AS line, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line_no) AS rank FROM l WHERE regexp_matches(line, '(?i)the [a-z]+ing')) WHERE rank <= 50""",
+ SELECT repo_id, path, line_no, trim(line) AS line, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line_no) AS rank FROM l WHERE regexp_matches(line, '(?i)the [a-z]+ing')) WHERE rank <= 50""",
     ("doc_files",),
 )
 def e19(t):
     return tools.grep(corpus(t, "doc_files"), "the [a-z]+ing", path_glob="en/**/*.txt", ignore_case=True)
 
 
-@query(
-    "e19_grep_scan_cap",
-    """WITH s AS (SELECT repo_id, path, text, sum(length(text)) OVER (PARTITION BY repo_id ORDER BY path) AS upto FROM doc_files),
- l AS (SELECT repo_id, path, i AS line_no, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT repo_id, path, CASE WHEN text LIKE '%' || chr(10)
- THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM s WHERE upto <= 40000)))
- SELECT repo_id, path, line_no, left(trim(line), 200) AS line, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line_no) AS rank FROM l WHERE contains(line, 'e')) WHERE rank <= 200""",
-    ("doc_files",),
-)
-def e19_cap(t):
-    return tools.grep(corpus(t, "doc_files"), "e", max_results=200, scan_chars=40_000)
-
-
 @query(
     "e21_text_tool_calls",
     """SELECT event_id AS reply_id, CASE WHEN event_type = 'click' THEN 'read_file' ELSE 'grep' END AS name, CASE event_type WHEN 'click' THEN '{"path":"p' || user_id || '"}' WHEN 'view' THEN '{"pattern":"' || user_id || '"}' ELSE '{}' END AS arguments, 1 AS call_no
- FROM events WHERE event_type IN ('click', 'view', 'signup') UNION ALL SELECT event_id, 'grep', '{"pattern":"x"}', 2 FROM events WHERE event_type = 'click'""",
+ FROM events WHERE event_type IN ('click', 'view', 'signup') UNION ALL SELECT event_id, 'grep', '{"pattern":"x"}', 2 FROM events WHERE event_type = 'click'
+ UNION ALL SELECT event_id, 'grep', '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":' || user_id || '}}}}}}}}', 1 FROM events WHERE event_type = 'purchase'""",
 )
 def e21(t):
     text = F.expr("""CASE event_type WHEN 'click' THEN concat('<tool_call>{"name": "read_file", "arguments": {"path": "p', user_id, '"}}</tool_call> and <tool_call>{"function": {"name": "grep", "parameters": {"pattern": "x"}}}')
      WHEN 'view' THEN concat('Try\n```json\n[{"tool": "grep", "args": {"pattern": "', user_id, '"}}]\n``` {"name": "grep"}') WHEN 'signup' THEN 'I call {"name": "grep"} now'
+     WHEN 'purchase' THEN concat('{"name": "grep", {so {"name": "grep", "arguments": {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": ', user_id, '}}}}}}}}} or {"name": ')
      ELSE '{"name": "unheard_of", "arguments": {}}' END""")
     return tools.text_tool_calls(t.events.select(c("event_id").alias("reply_id"), text.alias("text")), list(fixed.TOOL_VERBS))
 

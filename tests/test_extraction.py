@@ -48,3 +48,11 @@ def test_rows_of_files(spark):
     assert [r.name for r in extract.symbols_of(extract.parsed(files, more)).collect()] == ["x"]
     assert extract.file_facts(files.limit(0)).count() == 0
     assert "Exchange" not in extract.parsed(files)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_json_objects_at_any_depth():
+    from corpusloom.operators.tools import objects_in
+
+    deep = '{"a":' * 60 + "1" + "}" * 60
+    assert objects_in(f'x {{ {deep} {{"b": "}}{{"}} {{"c": [{{"d": 1}}]}} {{"e"') == [deep, '{"b": "}{"}', '{"c": [{"d": 1}]}']
+    assert objects_in("{" * 5000) == [] and objects_in("") == []
