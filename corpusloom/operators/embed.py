@@ -135,9 +135,15 @@ def cached_vectors(stored: DataFrame) -> DataFrame:
 
 
 def to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Distinct texts without a stored vector: ``embed_hash, text``."""
-    wanted = chunks.groupBy("embed_hash").agg(F.min("text").alias("text"))
-    return wanted.join(stored.where("embedding IS NOT NULL").select("embed_hash").distinct(), "embed_hash", "left_anti")
+    """Distinct texts without a stored vector: ``embed_hash, text``.
+
+    Hashes meet first, without texts. Where few are new, adaptive execution broadcasts them by their measured
+    size, and only their texts move.
+    """
+    known = stored.where("embedding IS NOT NULL").select("embed_hash")
+    new = chunks.select("embed_hash").distinct().join(known, "embed_hash", "left_anti")
+    wanted = chunks.join(new.withColumnRenamed("embed_hash", "_new"), F.col("embed_hash").eqNullSafe(F.col("_new")), "left_semi")
+    return wanted.groupBy("embed_hash").agg(F.min("text").alias("text"))
 
 
 def embedded(

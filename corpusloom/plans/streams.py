@@ -10,6 +10,7 @@ from corpusloom.plans.registry import query
 from corpusloom.schemas import TABLES, struct_of
 from corpusloom.session import durable_path
 from corpusloom.streaming import jobs as op
+from corpusloom.streaming.state import BatchTable
 
 c = F.col
 
@@ -27,34 +28,43 @@ def step_events(events):
     )
 
 
-_EV = """ev AS (SELECT event_id, ts, CAST(user_id % 30 AS VARCHAR) AS job_id, event_type AS step, value / 100 AS fraction FROM events WHERE event_type <> 'purchase')"""
+_EV = """ev AS (SELECT event_id, ts, CAST(user_id % 30 AS VARCHAR) AS job_id, event_type AS step, value / 100 AS fraction, props AS message,
+ event_type = 'purchase' AND event_id % 50 < 5 AS ended FROM events)"""
+
+
+def _job_tables(t):
+    """The tables of the job stream after everything that has landed."""
+    place = durable_path(t.spark, "job-state")
+    steps, ends = (op.step_table(t.spark, f"{place}/steps", f"{place}/checkpoint"), op.job_table(t.spark, f"{place}/jobs", f"{place}/checkpoint"))
+    op.run_available(op.job_states(step_events(event_stream(t)), steps, ends), f"{place}/checkpoint")
+    return steps.read(t.spark), ends.read(t.spark)
 
 
 @query(
     "l1_job_state",
-    f"WITH {_EV} SELECT job_id, step, arg_max(event_id, (ts, event_id)) IS NOT NULL AS seen, round(arg_max(fraction, (ts, event_id)), 6) AS fraction FROM ev GROUP BY 1, 2",
+    f"""WITH {_EV} SELECT job_id, step, 'running' AS status, round(arg_max(fraction, (ts, event_id)), 6) AS fraction, arg_max(message, (ts, event_id)) AS message,
+ epoch_us(max(ts)) AS updated_us, arg_max(event_id, (ts, event_id)) AS event_id FROM ev WHERE step <> 'purchase' GROUP BY 1, 2""",
 )
 def l1(t):
-    """Snapshot table kept current by the stream; each batch rewrites it under a new version."""
-    versions: list[str] = []
-    schema = "job_id string, step string, status string, fraction double, message string, updated_at timestamp"
+    """Snapshot of every step, kept current by the stream: only changed steps are written."""
+    steps, _ = _job_tables(t)
+    return steps.select("job_id", "step", "status", F.round("fraction", 6).alias("fraction"), "message", F.unix_micros("updated_at").alias("updated_us"), "event_id")
 
-    def sink(batch, number):
-        stored = t.spark.read.schema(schema).parquet(versions[-1]) if versions else t.spark.createDataFrame([], schema)
-        path = durable_path(t.spark, f"job-state-{number}")
-        op.merged_snapshot(stored, batch).write.mode("overwrite").parquet(path)
-        versions.append(path)
 
-    op.run_available(op.job_snapshots(step_events(event_stream(t)), sink), "job-state", t.spark)
-    state = t.spark.read.schema(schema).parquet(versions[-1])
-    return state.select("job_id", "step", F.lit(True).alias("seen"), F.round("fraction", 6).alias("fraction"))
+@query(
+    "l1_ended_jobs",
+    f"WITH {_EV} SELECT job_id, 'done' AS status, epoch_us(max(ts)) AS ended_us, arg_max(event_id, (ts, event_id)) AS event_id FROM ev WHERE ended GROUP BY 1",
+)
+def l1_ended(t):
+    _, ends = _job_tables(t)
+    return ends.select("job_id", "status", F.unix_micros("ended_at").alias("ended_us"), "event_id")
 
 
 def _collected(t, df, schema, name):
     """Run a stream into a table and read it back."""
-    path = durable_path(t.spark, name)
-    op.run_available(df.writeStream.format("parquet").option("path", path), name, t.spark)
-    return t.spark.read.schema(schema).parquet(path)
+    place = durable_path(t.spark, name)
+    op.run_available(df.writeStream.format("parquet").option("path", f"{place}/rows"), f"{place}/checkpoint")
+    return t.spark.read.schema(schema).parquet(f"{place}/rows")
 
 
 @query("l2_quota_stream", f"WITH RECURSIVE {_QUOTA} SELECT user_id, event_id, accepted FROM w")
@@ -79,7 +89,11 @@ def l3_stream(t):
 )
 def l6_stream(t):
     probes = event_stream(t).selectExpr("user_id % 3 AS server", "CAST(ts AS TIMESTAMP) AS ts", "event_id", "event_type <> 'error' AS online")
-    return _collected(t, op.health_changes(probes), "server bigint, event_id bigint, online boolean", "health")
+    place = durable_path(t.spark, "health")
+    last = op.probe_table(t.spark, f"{place}/last", f"{place}/checkpoint")
+    changes = BatchTable(t.spark, f"{place}/changes", "server bigint, event_id bigint, online boolean", f"{place}/checkpoint")
+    op.run_available(op.health_changes(probes, last, changes), f"{place}/checkpoint")
+    return changes.read(t.spark)
 
 
 @query(
@@ -97,18 +111,15 @@ def l5(t):
     "SELECT sha256(encode('hash-16' || chr(0) || 'File: ' || lang || '/' || chr(10) || text)) AS embed_hash, 16 AS dims FROM documents GROUP BY 1",
 )
 def l5_embedding(t):
-    table = durable_path(t.spark, "vectors")
-    schema = "embed_hash string, embedding array<double>, batch int"
-    t.spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("batch").parquet(table)
+    place = durable_path(t.spark, "vectors")
+    vectors = BatchTable(t.spark, f"{place}/rows", "embed_hash string, embedding array<double>", f"{place}/checkpoint")
     rows = event_stream(t, "documents").select(
         F.concat("lang", F.lit("/")).alias("path"), F.lit(None).cast("string").alias("symbol"), c("text").alias("content")
     )
     chunks = embed.with_embed_hash(rows, "hash-16").select("embed_hash", "text")
-    stream = op.ingest_stream(
-        chunks, lambda: t.spark.read.schema(schema).parquet(table), lambda todo: embed.hashing_embeddings(todo, "embed_hash", 16), table
-    )
-    op.run_available(stream, "ingest", t.spark)
-    return t.spark.read.schema(schema).parquet(table).select("embed_hash", F.size("embedding").alias("dims"))
+    stream = op.ingest_stream(chunks, vectors, lambda todo: embed.hashing_embeddings(todo, "embed_hash", 16))
+    op.run_available(stream, f"{place}/checkpoint")
+    return vectors.read(t.spark).select("embed_hash", F.size("embedding").alias("dims"))
 
 
 @query("l3_sweep_twice", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey < 0")

@@ -1,6 +1,7 @@
 """Structured Streaming twins of the job, quota, health and ingestion operators.
 
-Every stream ends in tables that equal the batch result over the same rows; the tests compare them.
+Every stream ends in tables that equal the batch result over the same rows; the tests compare them. The caller names the
+places of checkpoints and tables, so a stream may be stopped at any moment and started again.
 """
 
 from __future__ import annotations
@@ -8,18 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.session import durable_path
+from corpusloom.operators.embed import to_embed
+from corpusloom.operators.ops import status_changes
+from corpusloom.streaming.state import BatchTable, StateTable
 
 
-def run_available(writer: DataStreamWriter, name: str, spark) -> None:
-    """Process everything that has landed, then stop. The checkpoint makes a restart safe."""
-    query = writer.option("checkpointLocation", durable_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Process everything that has landed, then stop. Started again with the same ``checkpoint`` it goes on there."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -30,30 +32,42 @@ def in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 # --- job state (snapshot plus events) -----------------------------------------------------------
 
+STEPS = "job_id string, step string, status string, fraction double, message string, updated_at timestamp, event_id bigint"
+JOBS = "job_id string, status string, ended_at timestamp, event_id bigint"
 
-def latest_steps(events: DataFrame) -> DataFrame:
-    """Latest state per job and step from step events; works on a stream and on a table."""
-    steps = events.where("kind = 'step'")
-    return steps.groupBy("job_id", "step").agg(
-        F.max_by(F.struct("status", "fraction", "message", "ts"), F.struct("ts", "event_id")).alias("s")
-    ).select("job_id", "step", "s.status", "s.fraction", "s.message", F.col("s.ts").alias("updated_at"))
 
+def step_rows(events: DataFrame) -> DataFrame:
+    """Rows of the snapshot from step events; works on a stream and on a table."""
+    return events.where("kind = 'step'").select(
+        "job_id", "step", "status", "fraction", "message", F.col("ts").alias("updated_at"), "event_id"
+    )
 
-def job_snapshots(events: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """Streams step events to ``sink`` as changed snapshot rows (update mode)."""
-    return latest_steps(events).writeStream.outputMode("update").foreachBatch(sink)
 
+def ended_rows(events: DataFrame) -> DataFrame:
+    """Ends of jobs: their stream of events is over."""
+    done = events.where("kind = 'job' AND status IN ('done', 'failed')")
+    return done.select("job_id", "status", F.col("ts").alias("ended_at"), "event_id")
 
-def merged_snapshot(stored: DataFrame, changed: DataFrame) -> DataFrame:
-    """A snapshot table after changed rows; applying the same batch twice gives the same table."""
-    kept = stored.join(changed.select("job_id", "step"), ["job_id", "step"], "left_anti")
-    return kept.unionByName(changed)
 
+def step_table(spark: SparkSession, root: str, checkpoint: str, expired: str | None = None) -> StateTable:
+    return StateTable(spark, root, STEPS, ["job_id", "step"], ["updated_at", "event_id"], checkpoint, expired=expired)
 
-def terminal_jobs(events: DataFrame) -> DataFrame:
-    """Jobs whose stream ends, with their final status."""
-    done = events.where("kind = 'job' AND status IN ('done', 'failed')")
-    return done.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+
+def job_table(spark: SparkSession, root: str, checkpoint: str, expired: str | None = None) -> StateTable:
+    return StateTable(spark, root, JOBS, ["job_id"], ["ended_at", "event_id"], checkpoint, expired=expired)
+
+
+def job_states(events: DataFrame, steps: StateTable, jobs: StateTable) -> DataStreamWriter:
+    """Keeps two tables: the latest state of each step and the end of each job, both by (time, event_id).
+
+    The stream itself has no state. Events may come late or twice: the newest in event time wins whenever it comes.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        steps.commit(step_rows(batch), number)
+        jobs.commit(ended_rows(batch), number)
+
+    return events.writeStream.foreachBatch(write)
 
 
 # --- quota ------------------------------------------------------------------------------------
@@ -129,22 +143,30 @@ def silent_jobs(heartbeats: DataFrame, minutes: int) -> DataFrame:
 
 # --- health -----------------------------------------------------------------------------------
 
+PROBES = "server bigint, ts timestamp, event_id bigint, online boolean"
 
-def health_changes(probes: DataFrame) -> DataFrame:
-    """Probes (``server, ts, event_id, online``) that differ from the server's last one."""
 
-    def compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        frame = in_order(frames, ["ts", "event_id"])
-        before = frame["online"].astype(object).shift(1)
-        before.iloc[0] = last
-        changed = before.notna() & (before != frame["online"])
-        state.update((bool(frame["online"].iloc[-1]),))
-        yield frame.loc[changed, ["event_id", "online"]].assign(server=key[0])[["server", "event_id", "online"]]
+def probe_table(spark: SparkSession, root: str, checkpoint: str, expired: str | None = None) -> StateTable:
+    return StateTable(spark, root, PROBES, ["server"], ["ts", "event_id"], checkpoint, expired=expired)
 
-    return probes.groupBy("server").applyInPandasWithState(
-        compare, "server bigint, event_id bigint, online boolean", "last boolean", "append", GroupStateTimeout.NoTimeout
-    )
+
+def health_changes(probes: DataFrame, last: StateTable, changes: BatchTable) -> DataStreamWriter:
+    """Probes (``server, ts, event_id, online``) that differ from the server's last one, added to ``changes``.
+
+    ``last`` keeps one probe per server between micro-batches. Inside a micro-batch rows are cut into ordered slices
+    and only the last value of a slice crosses to the next, so a server that sends all probes is no single task.
+    Rows of one micro-batch are compared in time order, the first with what ``last`` holds. One that is older
+    than that is compared with it too, and doesn't replace it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.select("server", "ts", "event_id", "online").withColumn("_new", F.lit(True))
+        rows = new.unionByName(last.before(batch.sparkSession, number).withColumn("_new", F.lit(False)))
+        found = status_changes(rows, ["server"], ["_new", "ts", "event_id"], "online").where("_new")
+        changes.write(found, number)
+        last.commit(batch, number)
+
+    return probes.writeStream.foreachBatch(write)
 
 
 # --- incremental ingestion ----------------------------------------------------------------------
@@ -155,18 +177,11 @@ def new_snapshots(landed: DataFrame, delay: str = "1 day") -> DataFrame:
     return landed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url_key", "commit_sha"])
 
 
-def ingest_stream(
-    landed: DataFrame, stored: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], table: str
-) -> DataStreamWriter:
-    """Chunks of landed files embedded once per distinct text: ``foreachBatch`` looks up stored
-    vectors by hash, embeds the rest and appends them. Each batch writes its own folder, replaced
-    if the batch is run again."""
+def ingest_stream(landed: DataFrame, vectors: BatchTable, embed: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
+    """Chunks (``embed_hash, text``) embedded once per distinct text: stored vectors are looked up by hash, the texts of
+    the other hashes are embedded and added to ``vectors``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        todo = batch.groupBy("embed_hash").agg(F.min("text").alias("text"))
-        todo = todo.join(stored().where(F.col("batch") < number).select("embed_hash"), "embed_hash", "left_anti")
-        embed(todo).withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(table)
+        vectors.write(embed(to_embed(batch, vectors.before(batch.sparkSession, number))), number)
 
     return landed.writeStream.foreachBatch(write)

@@ -344,6 +344,7 @@ def test_defaults_read_everything(spark):
 
 def test_streams_decide_in_time_order_within_a_micro_batch(spark, tmp_path):
     from corpusloom.streaming import jobs
+    from corpusloom.streaming.state import BatchTable
 
     rows = [(1, i, 1_700_000_000_000_000 + i * 60_000_000, i % 4 < 2) for i in range(30)][::-1]
     frame = spark.createDataFrame(rows, "key bigint, event_id bigint, ts_us bigint, online boolean").coalesce(1)
@@ -354,12 +355,15 @@ def test_streams_decide_in_time_order_within_a_micro_batch(spark, tmp_path):
         found = {}
         for name, stream in {
             "quota": jobs.quota_stream(landed.withColumnRenamed("key", "user_id"), 3, 600),
-            "health": jobs.health_changes(landed.withColumnRenamed("key", "server").drop("ts_us")),
         }.items():
             writer = stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}")
             query = writer.option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start()
             query.awaitTermination()
             found[name] = {r["event_id"]: r[2] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+        last = jobs.probe_table(spark, f"{tmp_path}/last", f"{tmp_path}/health-state")
+        changes = BatchTable(spark, f"{tmp_path}/changes", "server bigint, event_id bigint, online boolean", f"{tmp_path}/health-state")
+        jobs.run_available(jobs.health_changes(landed.withColumnRenamed("key", "server"), last, changes), f"{tmp_path}/health-state")
+        found["health"] = {r["event_id"]: r["online"] for r in changes.read(spark).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept, want = [], {}
