@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import paths as P
-from corpusloom.scale import salted_join, skewed_join, top_k
+from corpusloom.scale import computed_once, salted_join, skewed_join, top_k
 
 JS = ["javascript", "typescript", "tsx"]
 CANDIDATE = "array<struct<space:string,key:string>>"
@@ -70,7 +70,21 @@ def _joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "/")
 
 
-def python_candidates(base: Column, module: Column, level: Column, names: Column) -> Column:
+def python_stem(base: Column, module: Column, level: Column) -> Column:
+    """Path that a relative module means, without its extension."""
+    up = F.split(base, "/")
+    root = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - (level - 1), F.lit(0))), "/")
+    return F.when(level > 0, _joined(root, F.replace(module, F.lit("."), F.lit("/"))))
+
+
+def js_target(base: Column, module: Column) -> Column:
+    """Path that a specifier names; NULL for a package."""
+    return F.when(F.startswith(module, F.lit(".")), P.normalised(_joined(base, module))).when(
+        module.rlike("^[@~]/"), P.normalised(F.concat(F.lit("src/"), F.substring(module, 3, 1 << 20)))
+    )
+
+
+def python_candidates(stem: Column, module: Column, level: Column, names: Column) -> Column:
     """Absolute: the module, then its names as modules, then its parent. Relative: files in order."""
     parent = F.regexp_extract(module, r"^(.*)\.[^.]*$", 1)
     absolute = F.concat(
@@ -78,26 +92,19 @@ def python_candidates(base: Column, module: Column, level: Column, names: Column
         F.transform(names, lambda n: F.concat(module, F.lit("."), n)),
         F.when(parent != "", F.array(parent)).otherwise(P.no_strings()),
     )
-    up = F.split(base, "/")
-    root = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - (level - 1), F.lit(0))), "/")
-    rel = F.replace(module, F.lit("."), F.lit("/"))
-    stem = _joined(root, rel)
     in_package = F.flatten(
         F.transform(names, lambda n: F.array(_joined(stem, F.concat(n, F.lit(".py"))), _joined(stem, n, F.lit("__init__.py"))))
     )
     of_module = F.when(
-        rel != "", F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
+        module != "", F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
     ).otherwise(P.no_strings())
-    own = F.when(rel == "", F.array(_joined(stem, F.lit("__init__.py")))).otherwise(P.no_strings())
+    own = F.when(module == "", F.array(_joined(stem, F.lit("__init__.py")))).otherwise(P.no_strings())
     relative = F.concat(of_module, in_package, own)
     return F.when(level > 0, _as_candidates("path", relative)).otherwise(_as_candidates("py", absolute))
 
 
-def js_candidates(base: Column, module: Column) -> Column:
+def js_candidates(target: Column) -> Column:
     """The path itself, TypeScript sources behind a script suffix, added extensions, index files."""
-    target = F.when(F.startswith(module, F.lit(".")), P.normalised(_joined(base, module))).when(
-        module.rlike("^[@~]/"), P.normalised(F.concat(F.lit("src/"), F.substring(module, 3, 1 << 20)))
-    )
     ext = P.suffix(P.basename(target))
     stem = F.regexp_replace(target, r"\.[^./]*$", "")
     ends = fixed.JS_RESOLVE_EXTENSIONS
@@ -149,13 +156,18 @@ def with_signature(refs: DataFrame) -> DataFrame:
 
 
 def resolved_signatures(signatures: DataFrame, files: DataFrame, go_modules: DataFrame) -> DataFrame:
-    """Target of every distinct specifier that matches something in its repository."""
+    """Target of every distinct specifier that matches something in its repository.
+
+    The path that a specifier means is folded once per specifier; its candidates are built from that.
+    """
     base, module, level = F.col("base"), F.col("module"), F.col("level")
     names = F.filter(F.split("names", ","), lambda n: n != "")
     rows = salted_join(signatures, go_modules, ["repo_id"], "left")
+    meant = F.when(F.col("family") == "python", python_stem(base, module, level)).when(F.col("family") == "js", js_target(base, module))
+    rows = computed_once(rows, "_meant", meant)
     candidates = (
-        F.when(F.col("family") == "python", python_candidates(base, module, level, names))
-        .when(F.col("family") == "js", js_candidates(base, module))
+        F.when(F.col("family") == "python", python_candidates(F.col("_meant"), module, level, names))
+        .when(F.col("family") == "js", js_candidates(F.col("_meant")))
         .when(F.col("family") == "java", java_candidates(module))
         .when(F.col("family") == "go", go_candidates(module, F.col("go_module")))
     )
@@ -310,30 +322,33 @@ def dependencies_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """
     module = F.col("module")
 
-    def key(how: str, value: Column) -> Column:
-        return F.struct(F.lit(how).alias("how"), value.alias("key"))
-
-    out_keys = F.when(F.col("is_file"), F.array(key("exact", module))).otherwise(F.array(key("under", module)))
-    in_keys = F.when(
-        F.col("is_file"), F.array(key("exact", module), key("exact", P.module_of(module)))
-    ).otherwise(F.array(key("under", module), key("exact", module)))
-
-    def ends(column: str) -> Column:
-        value = F.col(column)
-        below = F.transform(P.ancestors(value), lambda a: key("under", a))
-        return F.concat(F.array(key("exact", value)), below)
-
     def inside(path: Column) -> Column:
         return (path == module) | F.startswith(path, F.concat(module, F.lit("/")))
 
-    on = ["repo_id", "how", "key"]
     cols = ["repo_id", "src", "dst", "external"]
-    out = salted_join(edges.select(*cols, F.inline(ends("src"))), targets.select("repo_id", "module", "is_file", F.inline(out_keys)), on)
+    asked = ["repo_id", "module", "is_file"]
+    files, folders = targets.where("is_file").select(*asked), targets.where("NOT is_file").select(*asked)
+
+    def at(edges: DataFrame, end: str, rows: DataFrame, place: Column) -> DataFrame:
+        """Edges whose ``end`` is the place itself."""
+        return salted_join(edges, rows.withColumn(end, place).select(*asked, end), ["repo_id", end]).select(*asked, *cols[1:])
+
+    def below(edges: DataFrame, end: str) -> DataFrame:
+        """Edges whose ``end`` lies under an asked folder. Only distinct folders are expanded to their ancestors."""
+        rows = edges.withColumn("_dir", P.dirname(F.col(end)))
+        dirs = rows.select("repo_id", "_dir").distinct()
+        above = dirs.select("repo_id", "_dir", F.explode(P.ancestors(F.concat("_dir", F.lit("/x")))).alias("module"))
+        met = salted_join(above, folders, ["repo_id", "module"], spread_by=["_dir"])
+        return salted_join(rows, met, ["repo_id", "_dir"]).select(*asked, *cols[1:])
+
+    edges = edges.select(*cols)
+    out = at(edges, "src", files, module).unionByName(below(edges, "src"))
     out = out.where(F.col("is_file") | F.col("external") | ~inside(F.col("dst"))).select(
         "repo_id", "module", F.when(F.col("external"), "external").otherwise("internal").alias("relation"), F.col("dst").alias("path")
     )
-    inner = edges.where("NOT external").select(*cols, F.inline(ends("dst")))
-    into = salted_join(inner, targets.select("repo_id", "module", "is_file", F.inline(in_keys)), on)
+    inner = edges.where("NOT external")
+    into = at(inner, "dst", files, module).unionByName(at(inner, "dst", files, P.module_of(module)))
+    into = into.unionByName(at(inner, "dst", folders, module)).unionByName(below(inner, "dst"))
     into = into.where(F.when(F.col("is_file"), F.col("src") != module).otherwise(~inside(F.col("src")))).select(
         "repo_id", "module", F.lit("users").alias("relation"), F.col("src").alias("path")
     )
