@@ -167,32 +167,66 @@ def symbol_lookup(requests: DataFrame, symbols: DataFrame, limit: int = 10) -> D
     )
 
 
-def suggestions(unknown: DataFrame, files: DataFrame, limit: int = 3, edits: int = 1) -> DataFrame:
-    """Files whose base name is within one edit of an unknown path's, nearest full path first.
+def within_edits(asked: DataFrame, words: DataFrame, edits: int) -> DataFrame:
+    """Words (``repo_id, word``) at most ``edits`` single-character changes away from ``repo_id, asked``: exact.
 
-    Names that differ by one edit share a variant with one letter left out, so candidates come from
-    an equi join on variants instead of comparing all pairs.
+    A word is cut into ``edits`` + 1 even pieces. That many changes leave one piece as it is, moved by at most as many
+    places, so a pair meets in an equi join on (length of the word, number of the piece, piece): a word has ``edits`` + 1
+    rows, an asked one a few per length, and no two words are compared that share no piece. Only narrow keys are joined;
+    hot pieces are spread out. Rows: ``repo_id, asked, word, distance``, each pair once.
     """
+    pieces = edits + 1
 
-    def variants(name: Column) -> Column:
-        cuts = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
-            lambda i: F.concat(F.left(name, i - 1), F.substring(name, i + 1, F.length(name))),
-        )
-        return F.array_distinct(F.array_append(cuts, name))
+    def start(length: Column, i: Column) -> Column:
+        return F.floor(length * i / pieces).cast("int")
+
+    def number(low: Column, high: Column, make) -> Column:
+        return F.transform(F.sequence(low, high), make)
+
+    length = F.length("word")
+    cut = number(F.lit(0), F.lit(edits), lambda i: F.struct(
+        length.alias("n"), i.alias("i"), F.substring(F.col("word"), start(length, i) + 1, start(length, i + 1) - start(length, i)).alias("piece")
+    ))
+    index = words.select("repo_id", "word").distinct().select("repo_id", "word", F.inline(cut))
+
+    own = F.length("asked")
+    lengths = F.sequence(F.greatest(own - edits, F.lit(0)), own + edits)
 
-    def keyed(df: DataFrame, alias: str) -> DataFrame:
-        named = df.withColumn("key", F.explode(variants(F.lower(P.basename(F.col("path"))))))
-        return named.select("repo_id", F.col("path").alias(alias), "key")
+    def moved(n: Column, i: Column) -> Column:
+        size = start(n, i + 1) - start(n, i)
+        places = F.sequence(F.greatest(start(n, i) - edits, F.lit(0)), F.greatest(start(n, i) + edits, F.lit(0)))
+        fits = F.filter(places, lambda p: p + size <= own)
+        return F.transform(fits, lambda p: F.struct(n.alias("n"), i.alias("i"), F.substring(F.col("asked"), p + 1, size).alias("piece")))
 
-    asked = keyed(unknown.select("repo_id", "path").distinct(), "asked")
-    pairs = salted_join(keyed(files, "path"), asked, ["repo_id", "key"], spread_by=["path"])
-    near = F.levenshtein(F.lower(P.basename(F.col("asked"))), F.lower(P.basename(F.col("path")))) <= edits
-    pairs = pairs.where(near).select("repo_id", "asked", "path").distinct()
-    scored = pairs.withColumn("distance", F.levenshtein("asked", "path"))
+    keys = F.flatten(F.transform(lengths, lambda n: F.flatten(number(F.lit(0), F.lit(edits), lambda i: moved(n, i)))))
+    wanted = asked.select("repo_id", "asked").distinct().select("repo_id", "asked", F.inline(F.array_distinct(keys)))
+    pairs = salted_join(index, wanted, ["repo_id", "n", "i", "piece"], spread_by=["word"])
+    near = pairs.withColumn("distance", F.levenshtein("asked", "word", edits)).where("distance >= 0")
+    return near.select("repo_id", "asked", "word", "distance").distinct()
+
+
+def suggestions(unknown: DataFrame, files: DataFrame, limit: int = 3, edits: int = 1) -> DataFrame:
+    """Files whose base name is within ``edits`` changes of an unknown path's (any case), nearest full path first."""
+    name = F.lower(P.basename(F.col("path")))
+    lost = unknown.select("repo_id", F.col("path").alias("asked"), name.alias("_lost")).distinct()
+    known = files.select("repo_id", "path", name.alias("word"))
+    near = within_edits(lost.select("repo_id", F.col("_lost").alias("asked")), known.select("repo_id", "word"), edits)
+    near = near.select("repo_id", F.col("asked").alias("_lost"), "word")
+    pairs = salted_join(known, salted_join(lost, near, ["repo_id", "_lost"], spread_by=["asked"]), ["repo_id", "word"], spread_by=["path"])
+    scored = pairs.select("repo_id", "asked", "path", F.levenshtein("asked", "path").alias("distance"))
     return top_k(scored, ["repo_id", "asked"], [F.col("distance"), F.col("path")], limit)
 
 
+def similar_symbols(unknown: DataFrame, symbols: DataFrame, limit: int = 5, edits: int = 3) -> DataFrame:
+    """Names of symbols (``repo_id, name``) nearest to an unknown name, in any case; ties by name."""
+    lost = unknown.select("repo_id", F.col("name").alias("asked"), F.lower("name").alias("_lost")).distinct()
+    known = symbols.select("repo_id", "name", F.lower("name").alias("word")).distinct()
+    near = within_edits(lost.select("repo_id", F.col("_lost").alias("asked")), known, edits)
+    near = near.select("repo_id", F.col("asked").alias("_lost"), "word", "distance")
+    pairs = salted_join(known, salted_join(lost, near, ["repo_id", "_lost"], spread_by=["asked"]), ["repo_id", "word"], spread_by=["name"])
+    return top_k(pairs.select("repo_id", "asked", "name", "distance"), ["repo_id", "asked"], [F.col("distance"), F.col("name")], limit)
+
+
 def with_mentions(claims: DataFrame, texts: DataFrame, slack: int = 2) -> DataFrame:
     """Adds ``mentioned``: ``name`` occurs within ``slack`` lines of ``start_line..end_line``.
 

@@ -134,6 +134,37 @@ def d11(t):
     return op.suggestions(one.unionByName(two), files.select("repo_id", "path"))
 
 
+_MISSPELT = "replace(path, 'o', '0') || CASE WHEN k % 2 = 0 THEN 'x' ELSE '' END"
+
+
+@query(
+    "d11_close_paths",
+    f"""WITH un AS (SELECT DISTINCT repo_id, {_MISSPELT} AS asked FROM code_files WHERE k % 3 = 0)
+ SELECT repo_id, asked, path AS word, levenshtein(asked, path) AS distance FROM un JOIN code_files f USING (repo_id)
+ WHERE abs(length(asked) - length(path)) <= 3 AND levenshtein(asked, path) <= 3""",
+    ("code_files",),
+)
+def d11_paths(t):
+    """Whole paths at most three changes away from misspelt ones."""
+    files = corpus(t, "code_files")
+    lost = files.where("k % 3 = 0").selectExpr("repo_id", f"{_MISSPELT} AS asked")
+    return op.within_edits(lost, files.select("repo_id", c("path").alias("word")), 3)
+
+
+@query(
+    "d11_similar_symbols",
+    f"""WITH {SYMBOLS_SQL}, un AS (SELECT DISTINCT repo_id, replace(name, 'e', '') AS asked FROM syms), nm AS (SELECT DISTINCT repo_id, name FROM syms),
+ p AS (SELECT repo_id, asked, name, levenshtein(lower(asked), lower(name)) AS distance FROM un JOIN nm USING (repo_id)
+   WHERE abs(length(asked) - length(name)) <= 2 AND levenshtein(lower(asked), lower(name)) <= 2)
+ SELECT repo_id, asked, name, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, asked ORDER BY distance, name) AS rank FROM p) WHERE rank <= 5""",
+    ("code_files",),
+)
+def d11_symbols(t):
+    """Similar names for symbols written without the letter e."""
+    known = code_symbols(t)
+    return op.similar_symbols(known.select("repo_id", F.replace("name", F.lit("e"), F.lit("")).alias("name")), known, edits=2)
+
+
 _MENT = """contains(lower(array_to_string(string_split(text, chr(10))[greatest(start_line - 2, 1):coalesce(end_line, start_line) + 2], chr(10))),
  CASE c.k % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'service_' || c.k WHEN 2 THEN 'mod' || c.k ELSE 'unknown' || c.k END)"""
 
