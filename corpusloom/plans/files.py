@@ -65,7 +65,22 @@ def a2(t):
 def a3(t):
     files = corpus(t, "doc_files")
     stored = stores.blobs_of(files.where("doc_id % 3 = 0"))
-    return stores.new_blobs(stores.blobs_of(files), stored).select("sha", F.length("content").alias("chars"))
+    return stores.unstored_blobs(files, stored).select("sha", F.length("content").alias("chars"))
+
+
+@query(
+    "a3_stored_blobs",
+    f"WITH {DOC_INDEX} SELECT blob_sha AS sha, left(blob_sha, 2) AS bucket, max(length(text)) AS chars, 1 AS copies FROM doc_index GROUP BY 1, 2",
+    ("doc_files",),
+)
+def a3_store(t):
+    """The store after two increments that overlap: each content once."""
+    path = durable_path(t.spark, "blobs")
+    files = corpus(t, "doc_files")
+    stores.store_blobs(files.where("doc_id % 3 = 0"), path)
+    stores.store_blobs(files, path)
+    rows = stores.open_blobs(t.spark, path).select("sha", "bucket", F.length("content").alias("n"))
+    return rows.groupBy("sha", "bucket").agg(F.max("n").alias("chars"), F.count("*").alias("copies"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
@@ -24,11 +24,43 @@ def new_blobs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(stored.select("sha"), "sha", "left_anti")
 
 
+def unstored_blobs(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per distinct content of ``files`` that ``stored`` (needs only ``sha``) lacks; a null text has none.
+
+    Hashes meet first: neither texts nor stored contents take part. Where few are new, adaptive execution
+    broadcasts them by their measured size, and only their texts move.
+    """
+    rows = files.select(X.blob_sha(F.col("text")).alias("sha"), F.col("text").alias("content")).where("sha IS NOT NULL")
+    new = rows.select("sha").distinct().join(stored.select("sha"), "sha", "left_anti")
+    return rows.join(new, "sha", "left_semi").dropDuplicates(["sha"])
+
+
 def append_blobs(incoming: DataFrame, stored: DataFrame, path: str) -> None:
     """Insert if absent: stored contents are never rewritten."""
     new_blobs(incoming, stored).write.mode("append").parquet(path)
 
 
+BLOB_STORE = "sha string, content string, bucket string"
+
+
+def open_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """A store that ``store_blobs`` keeps. A filter on ``bucket`` (the first digits of ``sha``) prunes folders."""
+    spark.createDataFrame([], BLOB_STORE).write.mode("ignore").partitionBy("bucket").parquet(path)
+    return spark.read.schema(BLOB_STORE).parquet(path)
+
+
+def store_blobs(files: DataFrame, path: str, digits: int = 2) -> None:
+    """Add the contents of ``files`` to the store at ``path``, each once.
+
+    Buckets are the first hexadecimal ``digits`` of the hash, so they are even. Rows are rebalanced by bucket before
+    they are written: an increment adds about a file to each bucket that it touches, and adaptive execution splits
+    buckets too large for a task. One job writes a store at a time; one that failed may simply run again.
+    """
+    stored = open_blobs(files.sparkSession, path)
+    new = unstored_blobs(files, stored).withColumn("bucket", F.left("sha", F.lit(digits)))
+    new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
 # --- snapshots --------------------------------------------------------------------------------
 
 
@@ -36,10 +68,12 @@ def replace_snapshot(rows: DataFrame, path: str) -> None:
     """Overwrite only the repositories present in ``rows``; others keep their files.
 
     Each repository is a partition of the table and is committed as a whole; a retried job writes
-    the same result again.
+    the same result again. Rows are rebalanced by repository first: a small one is one file, a large one as many as
+    its size asks for, whatever the number of tasks.
     """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", "repo_id")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo_id")
         .parquet(path)
