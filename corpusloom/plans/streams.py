@@ -16,9 +16,8 @@ c = F.col
 
 
 def event_stream(t, name="events"):
-    """A given table as a stream of its files."""
-    source = t.spark.readStream.schema(struct_of(TABLES[name])).option("pathGlobFilter", f"{name}.parquet")
-    return source.parquet(t.root)
+    """A given table, one file or a folder of files, as a stream of its files (a plain path must be a folder, a pattern may be both)."""
+    return t.spark.readStream.schema(struct_of(TABLES[name])).parquet(t.path(name)[:-1] + "[t]")
 
 
 def step_events(events):
