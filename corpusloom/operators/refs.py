@@ -150,15 +150,29 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
 def symbol_lookup(requests: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
     """Definitions for ``request_id, repo_id, name`` (``Class.method`` works), functions first.
 
-    Exact-case matches hide looser ones; the parent counts only for exact matches.
+    Exact-case matches hide looser ones; the parent counts only for exact matches. A request shows at most ``limit``
+    definitions, so only the first ``limit`` of each name (in any case, exact, exact with its parent) meet the requests.
     """
     name = F.substring_index("name", ".", -1)
     parent = F.nullif(F.regexp_extract("name", r"^(.*)\.[^.]*$", 1), F.lit(""))
     asked = requests.select("request_id", "repo_id", name.alias("_name"), parent.alias("_parent"), F.lower(name).alias("key"))
-    rows = salted_join(symbols.withColumn("key", F.lower("name")), asked, ["repo_id", "key"], spread_by=["path", "start_line"])
+    place = [F.col("kind") == "method", F.col("path"), F.col("start_line"), F.col("end_line")]
+    known = symbols.select("repo_id", "kind", "name", "parent", "path", "start_line", "end_line").withColumn("key", F.lower("name"))
+
+    def found(some: DataFrame, on: dict[str, str]) -> DataFrame:
+        """``some`` of the requests with the first definitions under the columns ``on`` (of a symbol: of a request)."""
+        index = top_k(known, ["repo_id", *on], place, limit, "_n").drop("_n")
+        index = index.withColumnsRenamed({"key": "_k"}).withColumns({f"_on_{a}": F.col("_k" if a == "key" else a) for a in on}).drop("_k")
+        some = some.withColumns({f"_on_{a}": F.col(b) for a, b in on.items()})
+        return salted_join(some, index, ["repo_id", *[f"_on_{a}" for a in on]], spread_by=["request_id"]).drop(*[f"_on_{a}" for a in on])
+
     exact = (F.col("name") == F.col("_name")) & (F.col("_parent").isNull() | F.col("parent").eqNullSafe(F.col("_parent")))
-    rows = rows.withColumn("exact", exact)
-    order = [F.desc("exact"), F.col("kind") == "method", F.col("path"), F.col("start_line"), F.col("end_line")]
+    whole = found(asked.where("_parent IS NULL"), {"name": "_name"}).unionByName(
+        found(asked.where("_parent IS NOT NULL"), {"name": "_name", "parent": "_parent"})
+    )
+    loose = found(asked, {"key": "key"}).where(~exact)
+    rows = whole.unionByName(loose).withColumn("exact", exact)
+    order = [F.desc("exact"), *place]
     best = top_k(rows, ["request_id"], order, limit)
     # At most ``limit`` rows per request are left, so this window is small.
     lead = F.first("exact").over(Window.partitionBy("request_id").orderBy("rank"))
