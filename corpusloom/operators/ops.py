@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import text as X
-from corpusloom.scale import ordered_slices, previous_value, running_sum, salted_join, top_k
+from corpusloom.scale import ordered_slices, previous_value, running_sum, salted_join, skewed_join, top_k
 from corpusloom.session import checkpointed
 
 # --- usage ------------------------------------------------------------------------------------
@@ -106,7 +106,7 @@ def swept_jobs(jobs: DataFrame, repositories: DataFrame, now: Column) -> DataFra
         .when(F.col("status") == "queued", now - F.expr(f"INTERVAL {fixed.QUEUED_TIMEOUT_MINUTES} MINUTES"))
     )
     ready = repositories.select("repo_id", (F.col("status") == "ready").alias("_ready"))
-    rows = salted_join(jobs, ready, ["repo_id"], "left", spread_by=["job_id"])
+    rows = skewed_join(jobs, ready, ["repo_id"], "left", shuffled=True)
     swept = F.coalesce(seen < limit, F.lit(False))
     minutes = F.floor((F.unix_micros(now) - F.unix_micros(seen)) / 60_000_000)
     return rows.withColumn("swept", swept).withColumns(

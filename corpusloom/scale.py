@@ -40,15 +40,19 @@ def salted_join(
 
 
 def skewed_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner"
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", shuffled: bool = False
 ) -> DataFrame:
     """Equi join of a possibly hot ``big`` side with a wide ``small`` side (unique keys).
 
     Repeating a wide side for salting would multiply its bytes, so hot keys are left to adaptive
     execution: it splits an oversized shuffle partition of ``big`` and reads the matching partition
     of ``small`` once per split. The result must not be grouped by the same keys right away (that
-    would forbid the split); callers here go on with projections or other keys.
+    would forbid the split); callers here go on with projections or other keys. ``shuffled`` is for a ``small`` that
+    grows with the input: columns of a well compressed file look small to the planner, and a broadcast of them would
+    lie in the driver's memory as a whole.
     """
+    if shuffled:
+        small = small.hint("merge")
     return big.join(small, list(on), how)
 
 
