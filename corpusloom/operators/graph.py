@@ -314,11 +314,12 @@ def linked_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.where("kind <> 'external'").unionByName(kept)
 
 
-def dependencies_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
+def dependencies_of(targets: DataFrame, edges: DataFrame, with_directory: bool = True) -> DataFrame:
     """What each target imports and what imports it.
 
     ``targets``: ``repo_id, module, is_file``. Rows: ``relation`` is internal, external or users.
-    A directory's inner edges are left out. A file's users include importers of its directory.
+    A directory's inner edges are left out. A file's users include importers of its directory, unless
+    ``with_directory`` is off: these are the same for all of its files, so their rows are files times importers.
     """
     module = F.col("module")
 
@@ -347,7 +348,9 @@ def dependencies_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
         "repo_id", "module", F.when(F.col("external"), "external").otherwise("internal").alias("relation"), F.col("dst").alias("path")
     )
     inner = edges.where("NOT external")
-    into = at(inner, "dst", files, module).unionByName(at(inner, "dst", files, P.module_of(module)))
+    into = at(inner, "dst", files, module)
+    if with_directory:
+        into = into.unionByName(at(inner, "dst", files, P.module_of(module)))
     into = into.unionByName(at(inner, "dst", folders, module)).unionByName(below(inner, "dst"))
     into = into.where(F.when(F.col("is_file"), F.col("src") != module).otherwise(~inside(F.col("src")))).select(
         "repo_id", "module", F.lit("users").alias("relation"), F.col("src").alias("path")
@@ -355,18 +358,47 @@ def dependencies_of(targets: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
+def _directory_users(targets: DataFrame, edges: DataFrame, own: DataFrame, shown: int) -> DataFrame:
+    """Importers of each target file's directory: how many are neither the file itself nor in ``own``, and the first names.
+
+    They are counted and listed once per directory; a file only takes away what it has in common with them.
+    """
+    files = targets.where("is_file").select("repo_id", "module").distinct().withColumn("dir", P.module_of(F.col("module")))
+    dirs = files.select("repo_id", "dir").distinct()
+    inner = edges.where("NOT external AND src IS NOT NULL").select("repo_id", F.col("dst").alias("dir"), "src").distinct()
+    users = salted_join(inner, dirs, ["repo_id", "dir"], "left_semi")
+    counts = users.groupBy("repo_id", "dir").agg(F.count("*").alias("n"))
+    first = top_k(users, ["repo_id", "dir"], [F.col("src")], shown + 1)
+    counts = counts.join(first.groupBy("repo_id", "dir").agg(F.collect_list("src").alias("names")), ["repo_id", "dir"])
+    known = own.join(files, ["repo_id", "module"]).select("repo_id", "module", "dir", F.col("path").alias("src"))
+    known = known.unionByName(files.withColumn("src", F.col("module")))
+    common = known.join(users, ["repo_id", "dir", "src"]).groupBy("repo_id", "module").agg(F.count("*").alias("common"))
+    out = salted_join(files, counts, ["repo_id", "dir"], spread_by=["module"]).join(common, ["repo_id", "module"], "left")
+    return out.select(
+        "repo_id", "module", (F.col("n") - F.coalesce("common", F.lit(0))).alias("dir_users"),
+        F.filter("names", lambda x: x != F.col("module")).alias("dir_list"),
+    )
+
+
 def dependency_report(targets: DataFrame, edges: DataFrame, shown: int = 60) -> DataFrame:
     """One text per target; each list shows its first ``shown`` names, the user count is complete."""
-    rows = dependencies_of(targets, edges)
+    rows = dependencies_of(targets, edges, with_directory=False)
     keys = ["repo_id", "module"]
-    totals = rows.groupBy(*keys).agg(F.count_if(F.col("relation") == "users").alias("users"))
+    totals = rows.groupBy(*keys).agg(F.count_if(F.col("relation") == "users").alias("own_users"))
     first = top_k(rows, [*keys, "relation"], [F.col("path")], shown)
 
     def names(relation: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_list(F.when(F.col("relation") == relation, F.col("path")))), ", ")
+        return F.array_sort(F.collect_list(F.when(F.col("relation") == relation, F.col("path"))))
 
-    lists = first.groupBy(*keys).agg(*[names(r).alias(r) for r in ("internal", "external")], names("users").alias("user_list"))
-    out = targets.join(lists, keys, "left").join(totals, keys, "left")
+    lists = first.groupBy(*keys).agg(
+        *[F.array_join(names(r), ", ").alias(r) for r in ("internal", "external")], names("users").alias("own_list")
+    )
+    shared = _directory_users(targets, edges, rows.where("relation = 'users'"), shown)
+    out = targets.join(lists, keys, "left").join(totals, keys, "left").join(shared, keys, "left")
+    both = F.concat(F.coalesce("own_list", P.no_strings()), F.coalesce("dir_list", P.no_strings()))
+    listed = F.array_join(F.slice(F.array_sort(F.array_distinct(both)), 1, shown), ", ")
+    users = F.coalesce("own_users", F.lit(0)) + F.coalesce("dir_users", F.lit(0))
+    out = out.withColumns({"user_list": listed, "users": users})
 
     def or_else(column: str, word: str) -> Column:
         return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(word))
@@ -375,6 +407,6 @@ def dependency_report(targets: DataFrame, edges: DataFrame, shown: int = 60) ->
     text = F.concat(
         F.lit("Dependencies of "), "module", slash, F.lit(":\nImports (in this repo): "), or_else("internal", "none"),
         F.lit("\nExternal packages: "), or_else("external", "none"),
-        F.lit("\nImported by ("), F.coalesce("users", F.lit(0)).cast("string"), F.lit("): "), or_else("user_list", "nothing"),
+        F.lit("\nImported by ("), F.col("users").cast("string"), F.lit("): "), or_else("user_list", "nothing"),
     )
     return out.select(*keys, text.alias("report"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ops, refs
+from corpusloom.operators import graph, ops, refs
 
 
 def _spied(monkeypatch, module, name):
@@ -42,3 +42,22 @@ def test_sweep_never_broadcasts_repositories(spark):
     out = ops.swept_jobs(jobs, repos, F.expr("TIMESTAMP '2000-01-02 00:00:00'"))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["repo_id"], r["status"]) for r in out.collect()} == {(0, "done"), (1, "failed"), (2, "failed")}
+
+
+def test_dependency_report_counts_importers_of_a_directory_once(spark, monkeypatch):
+    n = 40
+    files = [f"g/f{i:02}.go" for i in range(n)] + ["h/x.go"]
+    edges = [("r", s, "g", False) for s in files] + [("r", "h/x.go", "g/f00.go", False), ("r", "i/y.go", "g/f00.go", False), ("r", "h/x.go", "fmt", True), ("r", "h/x.go", "g", False)]
+    edges = spark.createDataFrame(edges, "repo_id string, src string, dst string, external boolean")
+    targets = [("r", f, True) for f in files] + [("r", "g", False), ("r", "g/f00.go", False), ("r", "none", True), (None, "g/f00.go", True)]
+    targets = spark.createDataFrame(targets, "repo_id string, module string, is_file boolean")
+    whole = {}
+    for r in graph.dependencies_of(targets, edges).collect():
+        whole.setdefault((r["repo_id"], r["module"], r["relation"]), []).append(r["path"])
+    made = _spied(monkeypatch, graph, "salted_join")
+    got = graph.dependency_report(targets, edges, 5).collect()
+    assert max(df.count() for df in made) < 4 * n
+    assert len(got) == targets.count()
+    for r in got:
+        users = sorted(whole.get((r["repo_id"], r["module"], "users"), []))
+        assert r["report"].endswith(f"\nImported by ({len(users)}): {', '.join(users[:5]) or 'nothing'}")
