@@ -11,7 +11,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import graph
 from corpusloom.operators.files import entry_points
 from corpusloom.session import checkpointed
-from corpusloom.scale import first_per_key, salted_join, skewed_join, top_k
+from corpusloom.scale import computed_once, first_per_key, salted_join, skewed_join, top_k
 
 MATCHES = ["exact", "exact", "ignoring_case", "suffix", "name"]
 
@@ -244,14 +244,16 @@ def similar_symbols(unknown: DataFrame, symbols: DataFrame, limit: int = 5, edit
 def with_mentions(claims: DataFrame, texts: DataFrame, slack: int = 2) -> DataFrame:
     """Adds ``mentioned``: ``name`` occurs within ``slack`` lines of ``start_line..end_line``.
 
-    ``texts``: ``repo_id, path, text``. NULL when the file's text is unknown.
+    ``texts``: ``repo_id, path, text``. NULL when the file's text is unknown. A text is lowered and cut into lines
+    once, before the join, not once per claim.
     """
-    rows = skewed_join(claims, texts.select("repo_id", "path", "text"), ["repo_id", "path"], "left")
+    lines = computed_once(texts.select("repo_id", "path", F.lower("text").alias("_text")), "_lines", X.lines(F.col("_text"))).drop("_text")
+    rows = skewed_join(claims, lines, ["repo_id", "path"], "left")
     first = F.greatest(F.col("start_line") - slack, F.lit(1))
     count = F.greatest(F.coalesce("end_line", "start_line") + slack - first + 1, F.lit(0))
-    window = F.lower(F.array_join(F.slice(X.lines(F.col("text")), first, count), "\n"))
+    window = F.array_join(F.slice("_lines", first, count), "\n")
     hit = F.contains(window, X.term_key(F.col("name")))
-    return rows.withColumn("mentioned", F.when(F.col("start_line").isNotNull(), hit)).drop("text")
+    return rows.withColumn("mentioned", F.when(F.col("start_line").isNotNull(), hit)).drop("_lines")
 
 
 def definition_lines(claims: DataFrame, symbols: DataFrame, texts: DataFrame) -> DataFrame:
