@@ -32,6 +32,8 @@ from corpusloom.session import durable_path, slice_count
 FIELDS = ("content", "symbol", "path")
 BOOSTS = {"content": 1.0, "symbol": 3.0, "path": 2.0}
 SEGMENT = 4096
+SEGMENT_TOKENS = 1 << 20
+GROUP_SEGMENTS = 4
 BUCKETS = 32
 FIRST_UNITS = 16
 QUERY_SLICE = 5000
@@ -107,8 +109,11 @@ def _segment(batch: pa.Table, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names)
 
 
-def segments(chunks: DataFrame, tokens: Callable[[Column], Column], size: int = SEGMENT) -> DataFrame:
-    """The index rows of ``chunks`` (chunk_id, repo_id, path, start_line, content, symbol); a null field has no token."""
+def segments(chunks: DataFrame, tokens: Callable[[Column], Column], size: int = SEGMENT, most: int = SEGMENT_TOKENS) -> DataFrame:
+    """The index rows of ``chunks`` (chunk_id, repo_id, path, start_line, content, symbol); a null field has no token.
+
+    A segment ends at ``size`` chunks or about ``most`` tokens: a task holds one at a time, however long the chunks are.
+    """
     lists = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in FIELDS]
     rows = chunks.select(F.col("repo_id").cast("string").alias("repo_id"), *_PLACE, *lists)
     kind = {c: rows.schema[c].dataType.simpleString() for c in _PLACE}
@@ -118,15 +123,18 @@ def segments(chunks: DataFrame, tokens: Callable[[Column], Column], size: int =
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, words = [], 0, 0
         for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                held.append(part)
-                count += part.num_rows
-                if count >= size:
+            sizes = [pc.list_value_length(batch.column(f"t_{f}")).fill_null(0).to_numpy(zero_copy_only=False) for f in FIELDS]
+            ends, start = np.concatenate(([0], np.cumsum(np.sum(sizes, axis=0, dtype=np.int64)))), 0
+            while start < batch.num_rows:
+                fits = int(np.searchsorted(ends, ends[start] + most - words, "right")) - 1
+                stop = min(max(fits, start + 1), start + size - count, batch.num_rows)
+                held.append(batch.slice(start, stop - start))
+                count, words, start = count + stop - start, words + int(ends[stop] - ends[start]), stop
+                if count >= size or words >= most or start < batch.num_rows:
                     yield _segment(pa.Table.from_batches(held), names)
-                    held, count = [], 0
+                    held, count, words = [], 0, 0
         if count:
             yield _segment(pa.Table.from_batches(held), names)
 
@@ -277,7 +285,9 @@ def search(
     kind_of = {c: index.rows.schema[f"chunk_{c}"].dataType.elementType.simpleString() for c in _PLACE}
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind_of[c]}" for c in _PLACE) + ", score double"
     run = _unit_best(_gain(kind, k1, b), k, ["query_id", *_PLACE, "score"])
-    groups = max(slice_count(spark), spark.sparkContext.defaultParallelism)
+    # A group is held in memory by one task: their number follows the segments, so that none grows with the index.
+    held = ceil(units.select("segment").distinct().count() / GROUP_SEGMENTS) * slices
+    groups = max(slice_count(spark), spark.sparkContext.defaultParallelism, held)
     slice_of = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
 
     def best_of(some: DataFrame) -> DataFrame:

@@ -61,3 +61,15 @@ def test_dependency_report_counts_importers_of_a_directory_once(spark, monkeypat
     for r in got:
         users = sorted(whole.get((r["repo_id"], r["module"], "users"), []))
         assert r["report"].endswith(f"\nImported by ({len(users)}): {', '.join(users[:5]) or 'nothing'}")
+
+
+def test_mentions_cut_a_text_into_lines_before_the_join(spark, monkeypatch):
+    seen, old = [], refs.skewed_join
+    monkeypatch.setattr(refs, "skewed_join", lambda big, small, *a, **k: seen.append(small.dtypes) or old(big, small, *a, **k))
+    texts = spark.createDataFrame([("r", "a", "x\r\nLOAD ΟΔΟΣ\nİ\n"), ("r", "b", None)], "repo_id string, path string, text string")
+    claims = [("r", "a", 4, 4, "load"), ("r", "a", 5, None, "load"), ("r", "a", 1, 1, "ΟΔΟΣ"), ("r", "b", 1, 1, "x"), ("r", "c", 1, 1, "x"), ("r", "a", None, 1, "x")]
+    claims = spark.createDataFrame(claims, "repo_id string, path string, start_line int, end_line int, name string")
+    out = {(r["path"], r["start_line"]): r["mentioned"] for r in refs.with_mentions(claims, texts).collect()}
+    assert out.pop(("a", 1)) is not None
+    assert out == {("a", 4): True, ("a", 5): False, ("b", 1): None, ("c", 1): None, ("a", None): None}
+    assert ("_lines", "array<string>") in seen[0]

@@ -119,3 +119,11 @@ def test_search_takes_rows_or_an_index_and_empty_inputs(spark):
     assert [(r[0], r[-1], r[1]) for r in sorted(by_rows, key=lambda r: (r[0], r[-1]))] == [w[:3] for w in slow("overlap", 5)]
     assert search.bm25_search(asked.limit(0), chunks).count() == 0
     assert search.bm25_search(asked, chunks.limit(0)).count() == 0
+
+
+def test_a_segment_is_bounded_by_its_tokens(spark):
+    rows = [(i, "r", f"p{i:02}", 1, " ".join(f"w{j}" for j in range(50 if i % 7 else 400)), "") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, repo_id string, path string, start_line int, content string, symbol string").coalesce(1)
+    index = textindex.segments(chunks, X.indexed_tokens, most=300)
+    held = index.where("token IS NULL").selectExpr("aggregate(content, 0, (a, x) -> a + x) + aggregate(path, 0, (a, x) -> a + x) AS words", "size(at) AS n").collect()
+    assert sum(r["n"] for r in held) == 40 and all(r["words"] <= 300 or r["n"] == 1 or r["words"] <= 300 + 401 for r in held) and len(held) > 8
