@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from corpusloom.operators import refs
+from corpusloom.operators import nearest, refs
 
 
 def distance(a: str, b: str) -> int:
@@ -45,3 +46,49 @@ def test_three_letters_wrong_in_files_and_symbols(spark):
     asked = spark.createDataFrame([("r", "lodSetings")], "repo_id string, name string")
     found = refs.similar_symbols(asked, symbols).orderBy("rank").collect()
     assert [(r["name"], r["distance"]) for r in found] == [("LoadSettings", 2), ("loadSettings", 2)]
+
+
+def test_trie_finds_what_brute_force_finds():
+    draw = random.Random(7)
+    words = ["", "ab"] + [f"src/pkg{i % 3}/mod_{i}.py" for i in range(150)] + ["".join(draw.choices("ab/é", k=draw.randrange(9))) for _ in range(60)]
+    asked = sorted({changed(draw, w, draw.randrange(4)) for w in words[::4]})
+    trie = nearest.Trie(words)
+    for edits, k in ((2, None), (3, 2), (None, 3)):
+        order = np.arange(len(trie.words))[::-1]
+        got = trie.within(asked, edits) if k is None else trie.nearest(asked, edits, k, order)
+        want = set()
+        for a in asked:
+            near = sorted((distance(a, w), -i, w) for i, w in enumerate(trie.words) if edits is None or distance(a, w) <= edits)
+            want |= {(a, w, d) for d, _, w in near[:k]}
+        rows = [(asked[i], trie.words[j], int(d)) for i, j, d in zip(*got)]
+        assert len(rows) == len(want) and set(rows) == want
+
+
+def test_words_and_asked_ones_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "WORDS", 20)
+    monkeypatch.setattr(nearest, "ASKED", 7)
+    monkeypatch.setattr(nearest, "PAIRS", 50)
+    words = [f"dir/mod_{i}.py" for i in range(90)]
+    asked = [w.replace("o", "0") for w in words[::3]]
+    rows = lambda values, name: spark.createDataFrame([("r", v) for v in values], f"repo_id string, {name} string")
+    found = refs.within_edits(rows(asked, "asked"), rows(words, "word"), 2).collect()
+    want = {("r", a, w, distance(a, w)) for a in asked for w in words if distance(a, w) <= 2}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_frequent_base_name_makes_no_row_per_pair(spark, monkeypatch):
+    """300 files of one name, each asked for: their nearest paths, without a row for each of 90,000 pairs."""
+    paths = [f"web/c{i}/index.ts" for i in range(300)]
+    files = spark.createDataFrame([("r", p) for p in [*paths, paths[0]]], "repo_id string, path string")
+    lost = spark.createDataFrame([("r", p.replace("index", "xindex")) for p in paths] + [("r", "zz/index.ts")], "repo_id string, path string")
+    out = refs.suggestions(lost, files)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["asked"], []).append((r["distance"], r["path"]))
+    for asked in ("web/c0/xindex.ts", "web/c17/xindex.ts", "web/c299/xindex.ts", "zz/index.ts"):
+        assert sorted(got[asked]) == sorted((distance(asked, p), p) for p in [*paths, paths[0]])[:3]
+    assert len(got) == 301
+    sizes = []
+    monkeypatch.setattr(refs, "top_k", lambda df, *rest: sizes.append(df.count()) or df)
+    refs.suggestions(lost, files)
+    assert sizes[0] < 90_000 / 3
