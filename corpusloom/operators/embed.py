@@ -72,9 +72,12 @@ def norm(vector: Column) -> Column:
 
 
 def normalised(vector: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
+    """Unit length; a zero vector stays as it is.
+
+    A lambda works out all of its body for each element, so the length is bound by an outer one: once per vector.
+    """
     length = F.coalesce(F.nullif(norm(vector), F.lit(0.0)), F.lit(1.0))
-    return F.transform(vector, lambda x: x / length)
+    return F.get(F.transform(F.array(length), lambda n: F.transform(vector, lambda x: x / n)), F.lit(0))
 
 
 def checked(vector: Column, dimensions: int) -> Column:
@@ -93,12 +96,12 @@ def token_bucket(token: Column, dimensions: int) -> Column:
 def _sparse(texts: DataFrame, key: str, dimensions: int) -> DataFrame:
     """Bucket numbers and unit-length weights per text, as two arrays."""
     buckets = F.array_sort(F.transform(X.code_tokens(F.col("text")), lambda w: token_bucket(w, dimensions)))
-    rows = computed_once(texts.select(key, "text"), "_b", buckets).withColumn("_k", F.array_distinct("_b"))
+    rows = computed_once(texts.select(key, "text"), "_b", buckets)
     # In the sorted list, the distance between first positions is the number of repeats.
-    rows = rows.withColumn("_p", F.transform("_k", lambda b: F.array_position("_b", b)))
-    after = F.size("_b") + 1
-    counts = F.transform("_p", lambda p, i: (F.coalesce(F.get("_p", i + 1), after) - p).cast("double"))
-    rows = computed_once(rows, "_n", counts)
+    starts = F.transform("_b", lambda b, i: F.when((i == 0) | (b != F.get("_b", i - 1)), i))
+    rows = computed_once(rows, "_p", F.array_compact(starts))
+    counts = F.transform("_p", lambda p, i: (F.coalesce(F.get("_p", i + 1), F.size("_b")) - p).cast("double"))
+    rows = computed_once(rows.withColumn("_k", F.transform("_p", lambda p: F.get("_b", p))), "_n", counts)
     return computed_once(rows.select(key, "_k", "_n"), "_c", normalised(F.col("_n"))).drop("_n")
 
 
