@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.functions import paths as P
-from corpusloom.scale import computed_once, salted_join, skewed_join, top_k
+from corpusloom.scale import SALTS, computed_once, salted_join, skewed_join, top_k
+from corpusloom.session import slice_count
 
 JS = ["javascript", "typescript", "tsx"]
 CANDIDATE = "array<struct<space:string,key:string>>"
@@ -320,6 +321,7 @@ def dependencies_of(targets: DataFrame, edges: DataFrame, with_directory: bool =
     ``targets``: ``repo_id, module, is_file``. Rows: ``relation`` is internal, external or users.
     A directory's inner edges are left out. A file's users include importers of its directory, unless
     ``with_directory`` is off: these are the same for all of its files, so their rows are files times importers.
+    They are made last, by a join whose rows are distinct already: nothing of that size is sorted or shuffled.
     """
     module = F.col("module")
 
@@ -327,8 +329,11 @@ def dependencies_of(targets: DataFrame, edges: DataFrame, with_directory: bool =
         return (path == module) | F.startswith(path, F.concat(module, F.lit("/")))
 
     cols = ["repo_id", "src", "dst", "external"]
-    asked = ["repo_id", "module", "is_file"]
-    files, folders = targets.where("is_file").select(*asked), targets.where("NOT is_file").select(*asked)
+    asked = ["repo_id", "module", "is_file", "_dir"]
+    targets = targets.select("repo_id", "module", "is_file").distinct()
+    # ``_dir`` is set where the module is asked for as a file (it may be asked for as a folder, too).
+    files = targets.where("is_file").withColumn("_dir", P.module_of(module))
+    folders = targets.where("NOT is_file").join(files.drop("is_file"), ["repo_id", "module"], "left").select(*asked)
 
     def at(edges: DataFrame, end: str, rows: DataFrame, place: Column) -> DataFrame:
         """Edges whose ``end`` is the place itself."""
@@ -336,11 +341,11 @@ def dependencies_of(targets: DataFrame, edges: DataFrame, with_directory: bool =
 
     def below(edges: DataFrame, end: str) -> DataFrame:
         """Edges whose ``end`` lies under an asked folder. Only distinct folders are expanded to their ancestors."""
-        rows = edges.withColumn("_dir", P.dirname(F.col(end)))
-        dirs = rows.select("repo_id", "_dir").distinct()
-        above = dirs.select("repo_id", "_dir", F.explode(P.ancestors(F.concat("_dir", F.lit("/x")))).alias("module"))
-        met = salted_join(above, folders, ["repo_id", "module"], spread_by=["_dir"])
-        return salted_join(rows, met, ["repo_id", "_dir"]).select(*asked, *cols[1:])
+        rows = edges.withColumn("_of", P.dirname(F.col(end)))
+        dirs = rows.select("repo_id", "_of").distinct()
+        above = dirs.select("repo_id", "_of", F.explode(P.ancestors(F.concat("_of", F.lit("/x")))).alias("module"))
+        met = salted_join(above, folders, ["repo_id", "module"], spread_by=["_of"])
+        return salted_join(rows, met, ["repo_id", "_of"]).select(*asked, *cols[1:])
 
     edges = edges.select(*cols)
     out = at(edges, "src", files, module).unionByName(below(edges, "src"))
@@ -348,14 +353,35 @@ def dependencies_of(targets: DataFrame, edges: DataFrame, with_directory: bool =
         "repo_id", "module", F.when(F.col("external"), "external").otherwise("internal").alias("relation"), F.col("dst").alias("path")
     )
     inner = edges.where("NOT external")
-    into = at(inner, "dst", files, module)
-    if with_directory:
-        into = into.unionByName(at(inner, "dst", files, P.module_of(module)))
-    into = into.unionByName(at(inner, "dst", folders, module)).unionByName(below(inner, "dst"))
-    into = into.where(F.when(F.col("is_file"), F.col("src") != module).otherwise(~inside(F.col("src")))).select(
-        "repo_id", "module", F.lit("users").alias("relation"), F.col("src").alias("path")
-    )
-    return out.unionByName(into).distinct()
+    into = at(inner, "dst", files, module).unionByName(at(inner, "dst", folders, module)).unionByName(below(inner, "dst"))
+    into = into.where(F.when(F.col("is_file"), F.col("src") != module).otherwise(~inside(F.col("src"))))
+    into = into.select("repo_id", "module", F.lit("users").alias("relation"), F.col("src").alias("path"), "_dir")
+    if not with_directory:
+        return out.unionByName(into.drop("_dir")).distinct()
+    users = _users_of_directories(files, inner)
+    into = into.join(users.withColumnsRenamed({"dir": "_dir", "src": "path"}), ["repo_id", "_dir", "path"], "left_anti")
+    shared = _paired(users, files.select("repo_id", F.col("_dir").alias("dir"), "module"), ["repo_id", "dir"], "src").where(F.col("src") != module)
+    shared = shared.select("repo_id", "module", F.lit("users").alias("relation"), F.col("src").alias("path"))
+    return out.unionByName(into.select(*out.columns)).distinct().unionByName(shared)
+
+
+def _users_of_directories(files: DataFrame, inner: DataFrame) -> DataFrame:
+    """Distinct importers (``repo_id, dir, src``) of the directories (``_dir``) of ``files``."""
+    dirs = files.select("repo_id", F.col("_dir").alias("dir")).distinct()
+    users = inner.where("src IS NOT NULL").select("repo_id", F.col("dst").alias("dir"), "src").distinct()
+    return salted_join(users, dirs, ["repo_id", "dir"], "left_semi")
+
+
+def _paired(left: DataFrame, right: DataFrame, on: list[str], spread_by: str) -> DataFrame:
+    """Join with far more rows than its sides have: cut by number, as adaptive execution would go by the sides' size.
+
+    The rows of a key on the left are spread; those on the right are repeated and held for one key at a time.
+    """
+    n = max(slice_count(left.sparkSession), left.sparkSession.sparkContext.defaultParallelism)
+    keys = [*on, "_salt"]
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.repartition(n, *keys).join(right.repartition(n, *keys).hint("merge"), keys).drop("_salt")
 
 
 def _directory_users(targets: DataFrame, edges: DataFrame, own: DataFrame, shown: int) -> DataFrame:
@@ -364,9 +390,7 @@ def _directory_users(targets: DataFrame, edges: DataFrame, own: DataFrame, shown
     They are counted and listed once per directory; a file only takes away what it has in common with them.
     """
     files = targets.where("is_file").select("repo_id", "module").distinct().withColumn("dir", P.module_of(F.col("module")))
-    dirs = files.select("repo_id", "dir").distinct()
-    inner = edges.where("NOT external AND src IS NOT NULL").select("repo_id", F.col("dst").alias("dir"), "src").distinct()
-    users = salted_join(inner, dirs, ["repo_id", "dir"], "left_semi")
+    users = _users_of_directories(files.withColumnRenamed("dir", "_dir"), edges.where("NOT external"))
     counts = users.groupBy("repo_id", "dir").agg(F.count("*").alias("n"))
     first = top_k(users, ["repo_id", "dir"], [F.col("src")], shown + 1)
     counts = counts.join(first.groupBy("repo_id", "dir").agg(F.collect_list("src").alias("names")), ["repo_id", "dir"])

@@ -73,3 +73,20 @@ def test_mentions_cut_a_text_into_lines_before_the_join(spark, monkeypatch):
     assert out.pop(("a", 1)) is not None
     assert out == {("a", 4): True, ("a", 5): False, ("b", 1): None, ("c", 1): None, ("a", None): None}
     assert ("_lines", "array<string>") in seen[0]
+
+
+def test_importers_of_a_directory_are_joined_last(spark):
+    n = 30
+    files = [f"g/f{i:02}.go" for i in range(n)]
+    edges = [("r", s, "g", False) for s in [*files, "h/x.go"]] + [("r", "h/x.go", "g/f00.go", False), ("r", "i/y.go", "g/f00.go", False), ("r", "h/x.go", "fmt", True), ("r", None, "g", False)]
+    targets = [("r", f, True) for f in files] + [("r", files[0], True), ("r", "g", False), ("r", "g/f00.go", False), ("r", "g/f00.go/z", False), (None, "g/f01.go", True)]
+    out = graph.dependencies_of(
+        spark.createDataFrame(targets, "repo_id string, module string, is_file boolean"), spark.createDataFrame(edges, "repo_id string, src string, dst string, external boolean")
+    )
+    top = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Union"), top
+    want = {(f, "internal", "g") for f in files} | {(f, "users", s) for f in files for s in [*files, "h/x.go"] if s != f}
+    want |= {("g/f00.go", "users", "i/y.go"), ("g", "users", "h/x.go"), ("g", "users", "i/y.go")}
+    got = [(r["module"], r["relation"], r["path"]) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
