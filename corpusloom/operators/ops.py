@@ -245,12 +245,17 @@ def conversation_context(messages: DataFrame, turns: int) -> DataFrame:
 
 def compacted(messages: DataFrame, max_chars: int, keep: int = fixed.KEEP_RECENT_OUTPUTS) -> DataFrame:
     """Tool outputs shortened until a thread fits: oldest first to 400 characters, the newest
-    ``keep`` only afterwards and to 2,000."""
-    size = F.length("text")
-    totals = messages.groupBy("thread_id").agg(F.sum(size).alias("_total"))
-    tools = messages.where("role = 'tool'")
-    newest = top_k(tools.select("thread_id", "pos"), ["thread_id"], [F.desc("pos")], keep, "_n").drop("_n")
-    rows = messages.join(newest.withColumn("_new", F.lit(True)), ["thread_id", "pos"], "left")
+    ``keep`` only afterwards and to 2,000.
+
+    Only lengths are sorted, summed and stored. Texts meet the verdicts where they lie and stream past them: no task
+    holds or sorts texts. Messages that agree in place, role and length share a verdict.
+    """
+    size = F.col("_size")
+    rows = messages.select("thread_id", "pos", "role", F.length("text").alias("_size")).where("thread_id IS NOT NULL")
+    totals = rows.groupBy("thread_id").agg(F.sum(size).alias("_total"))
+    tools = rows.where("role = 'tool'")
+    newest = top_k(tools.select("thread_id", "pos"), ["thread_id"], [F.desc("pos")], keep, "_n").drop("_n").distinct()
+    rows = rows.join(newest.withColumn("_new", F.lit(True)), ["thread_id", "pos"], "left")
     rows = salted_join(rows, totals, ["thread_id"], spread_by=["pos"])
     old = (F.col("role") == "tool") & F.col("_new").isNull() & (size > fixed.OLD_OUTPUT_CHARS)
     saving = F.when(old, size - fixed.OLD_OUTPUT_CHARS - len(fixed.OLD_OUTPUT_NOTE)).otherwise(F.lit(0))
@@ -259,14 +264,24 @@ def compacted(messages: DataFrame, max_chars: int, keep: int = fixed.KEEP_RECENT
     rows = salted_join(rows, all_saved, ["thread_id"], spread_by=["pos"])
     cut_old = (F.col("_saving") != 0) & (F.col("_total") - F.col("_saved") > max_chars)
     cut_new = F.col("_new").isNotNull() & (size > fixed.RECENT_OUTPUT_CHARS) & (F.col("_total") - F.col("_all") > max_chars)
+    cut = F.when(cut_old, "old").when(cut_new, "new").when((cut_old | cut_new).isNull(), "unknown")
+    verdicts = rows.select("thread_id", "pos", "role", F.coalesce(size, F.lit(-1)).alias("_size"), cut.alias("_cut"))
+    verdicts = checkpointed(verdicts.where("_cut IS NOT NULL").groupBy("thread_id", "pos", "role", "_size").agg(F.max("_cut").alias("_cut")))
 
     def short(n: int, note: str) -> Column:
         return F.concat(F.left("text", F.lit(n)), F.lit(note))
 
-    text = F.when(cut_old, short(fixed.OLD_OUTPUT_CHARS, fixed.OLD_OUTPUT_NOTE)).when(
-        cut_new, short(fixed.RECENT_OUTPUT_CHARS, fixed.RECENT_OUTPUT_NOTE)
+    text = F.when(F.col("_cut") == "old", short(fixed.OLD_OUTPUT_CHARS, fixed.OLD_OUTPUT_NOTE)).when(
+        F.col("_cut") == "new", short(fixed.RECENT_OUTPUT_CHARS, fixed.RECENT_OUTPUT_NOTE)
     )
-    return rows.select("thread_id", "pos", "role", F.coalesce(text, F.col("text")).alias("text"), (cut_old | cut_new).alias("shortened"))
+    # Plain keys: messages that are grouped by them already need no further shuffle.
+    texts = messages.where("thread_id IS NOT NULL").withColumn("_size", F.coalesce(F.length("text"), F.lit(-1)))
+    known = texts.where("pos IS NOT NULL")
+    placed = verdicts.where("pos IS NOT NULL").hint("shuffle_hash")
+    met = known.join(placed, ["thread_id", "pos", "role", "_size"], "left").select("thread_id", "pos", "role", "text", "_cut")
+    met = met.unionByName(texts.where("pos IS NULL").join(verdicts.where("pos IS NULL").drop("pos"), ["thread_id", "role", "_size"], "left").select("thread_id", "pos", "role", "text", "_cut"))
+    shortened = F.when(F.col("_cut").isNull(), F.lit(False)).when(F.col("_cut") != "unknown", F.lit(True))
+    return met.select("thread_id", "pos", "role", F.coalesce(text, F.col("text")).alias("text"), shortened.alias("shortened"))
 
 
 def thread_titles(messages: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_importers_of_a_directory_are_joined_last(spark):
     got = [(r["module"], r["relation"], r["path"]) for r in out.collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
+
+
+def test_compaction_sorts_and_stores_no_texts(spark, monkeypatch):
+    seen, old = [], ops.running_sum
+    monkeypatch.setattr(ops, "running_sum", lambda df, *a: seen.append(df.columns) or old(df, *a))
+    rows = [(1, i, "tool", f"{i}" * 1000) for i in range(6)] + [(1, 9, "user", "u" * 5000), (1, None, "tool", "n" * 700), (1, None, "user", "v" * 700), (2, 1, "tool", "x" * 900), (2, 2, "tool", None), (None, 1, "tool", "y" * 9000)]
+    rows += [(3, 1, "tool", "a" * 1000), (3, 1, "tool", "b" * 1000), (3, 2, "tool", "c" * 2500), (3, 2, "user", "d"), (3, 3, "tool", "e" * 10), (3, 4, "tool", "f" * 10)]
+    out = ops.compacted(spark.createDataFrame(rows, "thread_id int, pos int, role string, text string"), 4000).collect()
+    assert all("text" not in columns for columns in seen) and seen
+    got = sorted((r["thread_id"], -1 if r["pos"] is None else r["pos"], r["role"], len(r["text"] or ""), (r["text"] or "")[:1], r["shortened"]) for r in out)
+    note = 400 + len(ops.fixed.OLD_OUTPUT_NOTE)
+    assert [g[1:] for g in got if g[0] == 1] == [(-1, "tool", note, "n", True), (-1, "user", 700, "v", False)] + [(i, "tool", note, str(i), True) for i in range(3)] + [(i, "tool", 1000, str(i), False) for i in (3, 4, 5)] + [(9, "user", 5000, "u", False)]
+    assert [g[1:] for g in got if g[0] == 2] == [(1, "tool", 900, "x", False), (2, "tool", 0, "", False)]
+    assert [(g[1], g[2], g[4], g[5]) for g in got if g[0] == 3] == [(1, "tool", "a", True), (1, "tool", "b", True), (2, "tool", "c", False), (2, "user", "d", False), (3, "tool", "e", False), (4, "tool", "f", False)]
+    assert len(got) == 17
