@@ -32,11 +32,17 @@ def _keys(space: str, keys: Column, target: Column) -> Column:
     )
 
 
+def _extension(path: Column) -> Column:
+    """What ``path`` ends with from its last dot on, also where nothing comes before the dot."""
+    return F.regexp_extract(path, r"(\.[^./]*)$", 1)
+
+
 def resolution_index(files: DataFrame) -> DataFrame:
     """What a specifier may match, one row per key: ``repo_id, space, key, target``.
 
     Spaces: ``path`` (exact), ``py`` (dotted suffixes of modules, shallowest file wins), ``java``
-    (path suffixes), ``dir`` (directories), ``dirs`` (directory suffixes).
+    (path suffixes), ``js`` (paths without an extension that may be left out, the first extension wins), ``index``
+    (the same for ``/index`` files), ``dir`` (directories), ``dirs`` (directory suffixes).
     """
     path = F.col("path")
     python = path.rlike(r"\.pyi?$")
@@ -44,10 +50,13 @@ def resolution_index(files: DataFrame) -> DataFrame:
     init = F.element_at(parts, -1) == "__init__"
     module = F.slice(parts, F.lit(1), F.size(parts) - init.cast("int"))
     none = F.array().cast("array<struct<space:string,key:string,target:string>>")
+    stem, js = F.regexp_replace(path, r"\.[^./]*$", ""), _extension(path).isin(fixed.JS_RESOLVE_EXTENSIONS)
     per_file = F.concat(
         F.array(F.struct(F.lit("path").alias("space"), path.alias("key"), path.alias("target"))),
         F.when(python, _keys("py", _suffixes(module, "."), path)).otherwise(none),
         F.when(F.endswith(path, F.lit(".java")), _keys("java", _suffixes(F.split(path, "/"), "/"), path)).otherwise(none),
+        F.when(js, _keys("js", F.array(stem), path)).otherwise(none),
+        F.when(js & F.endswith(stem, F.lit("/index")), _keys("index", F.array(F.regexp_replace(stem, "/index$", "")), path)).otherwise(none),
     )
     rows = files.select("repo_id", F.inline(per_file))
     dirs = files.select("repo_id", P.module_of(path).alias("d")).distinct()
@@ -56,7 +65,9 @@ def resolution_index(files: DataFrame) -> DataFrame:
         _keys("dirs", _suffixes(F.split("d", "/"), "/"), F.col("d")),
     )
     rows = rows.unionByName(dirs.select("repo_id", F.inline(per_dir)))
-    depth = F.when(F.col("space") == "py", P.depth(F.col("target"))).otherwise(0)
+    ends = F.array(*[F.lit(e) for e in fixed.JS_RESOLVE_EXTENSIONS])
+    turn = F.array_position(ends, _extension(F.col("target"))).cast("int")
+    depth = F.when(F.col("space") == "py", P.depth(F.col("target"))).when(F.col("space").isin("js", "index"), turn).otherwise(0)
     return rows.groupBy("repo_id", "space", "key").agg(
         F.min_by("target", F.struct(depth, F.col("target"))).alias("target")
     )
@@ -105,17 +116,16 @@ def python_candidates(stem: Column, module: Column, level: Column, names: Column
 
 
 def js_candidates(target: Column) -> Column:
-    """The path itself, TypeScript sources behind a script suffix, added extensions, index files."""
+    """The path itself, TypeScript sources behind a script suffix, added extensions, index files.
+
+    One key stands for all extensions; the index holds the file that comes first in their order.
+    """
     ext = P.suffix(P.basename(target))
     stem = F.regexp_replace(target, r"\.[^./]*$", "")
-    ends = fixed.JS_RESOLVE_EXTENSIONS
-
-    def added(head: Column) -> Column:
-        return F.array(*[F.concat(head, F.lit(e)) for e in ends])
-
-    swapped = F.when(ext.isin(fixed.JS_SOURCE_EXTENSIONS), added(stem)).otherwise(P.no_strings())
-    keys = F.concat(F.array(target), swapped, added(target), added(F.concat(target, F.lit("/index"))))
-    return F.when(target.isNotNull(), _as_candidates("path", keys)).otherwise(F.array().cast(CANDIDATE))
+    none = F.array().cast(CANDIDATE)
+    swapped = F.when(ext.isin(fixed.JS_SOURCE_EXTENSIONS), _as_candidates("js", F.array(stem))).otherwise(none)
+    keys = F.concat(_as_candidates("path", F.array(target)), swapped, _as_candidates("js", F.array(target)), _as_candidates("index", F.array(target)))
+    return F.when(target.isNotNull(), keys).otherwise(none)
 
 
 def java_candidates(module: Column) -> Column:

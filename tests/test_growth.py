@@ -105,3 +105,27 @@ def test_compaction_sorts_and_stores_no_texts(spark, monkeypatch):
     assert [g[1:] for g in got if g[0] == 2] == [(1, "tool", 900, "x", False), (2, "tool", 0, "", False)]
     assert [(g[1], g[2], g[4], g[5]) for g in got if g[0] == 3] == [(1, "tool", "a", True), (1, "tool", "b", True), (2, "tool", "c", False), (2, "user", "d", False), (3, "tool", "e", False), (4, "tool", "f", False)]
     assert len(got) == 17
+
+
+def test_script_specifiers_have_one_key_for_all_extensions(spark):
+    from corpusloom import fixed
+
+    files = ["a/m.tsx", "a/m.js", "a/m.d.ts", "a/n.ts", "a/n.js", "a/o/index.jsx", "a/o/index.ts", "a/p", "a/p.ts", "a/q.css", "a/r.cjs/index.mjs", "a/index.ts", "a/x.js.ts", "a/x.ts"]
+    asked = ["./m", "./m.js", "./m.d", "./n.js", "./n.mjs", "./o", "./o/index", "./p", "./q.css", "./q", "./r.cjs", ".", "./x.js", "./z"]
+    rows = [("r", "js", "a", m, 0, "") for m in asked]
+    signatures = spark.createDataFrame(rows, "repo_id string, family string, base string, module string, level int, names string")
+    frame = spark.createDataFrame([("r", f) for f in files], "repo_id string, path string")
+    modules = spark.createDataFrame([("r", "example.com/r")], "repo_id string, go_module string")
+    got = {r["module"]: r["hit"]["target"] for r in graph.resolved_signatures(signatures, frame, modules).collect()}
+    want = {}
+    for m in asked:
+        t = "a" if m == "." else "a" + m[1:]
+        name = t.rsplit("/", 1)[-1]
+        stem = t.rsplit(".", 1)[0]
+        swapped = [stem + e for e in fixed.JS_RESOLVE_EXTENSIONS] if any(name.endswith(e) for e in fixed.JS_SOURCE_EXTENSIONS) else []
+        hit = [c for c in [t, *swapped, *[t + e for e in fixed.JS_RESOLVE_EXTENSIONS], *[t + "/index" + e for e in fixed.JS_RESOLVE_EXTENSIONS]] if c in files]
+        if hit:
+            want[m] = hit[0]
+    assert got == want and len(want) > 9
+    counted = spark.createDataFrame([("a/m.js",)], "t string").select(F.size(graph.js_candidates(F.col("t"))).alias("n"))
+    assert counted.first()["n"] == 4
