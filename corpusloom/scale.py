@@ -75,11 +75,14 @@ def top_k(
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the smallest by ``order``; a plain aggregate, so combined map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order))
-    picked = df.groupBy(*keys).agg(best.alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    """One row per key, the smallest by ``order``; a plain aggregate, so combined map-side.
+
+    One aggregate per column, not one of whole rows: a column that the caller drops is never read, carried or sorted.
+    All of them compare the same ``order`` in the same pass, so they pick the same row.
+    """
+    first = F.struct(*order)
+    rest = [F.min_by(c, first).alias(c) for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*rest).select(*df.columns)
 
 
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -107,6 +107,14 @@ def test_compaction_sorts_and_stores_no_texts(spark, monkeypatch):
     assert len(got) == 17
 
 
+def test_first_rows_read_only_the_columns_that_are_kept(spark):
+    rows = spark.createDataFrame([(1, 5, None, "b"), (1, 3, None, "a"), (1, None, 7, "n"), (2, 4, 8, "c")], "k int, pos int, wide int, name string")
+    out = refs.first_seen(rows, ["k"])
+    plan = out.select("k", "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide" not in plan.split("LogicalRDD")[0]
+    assert {tuple(r) for r in out.collect()} == {(1, None, 7, "n"), (2, 4, 8, "c")}
+
+
 def test_script_specifiers_have_one_key_for_all_extensions(spark):
     from corpusloom import fixed
 
