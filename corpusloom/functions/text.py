@@ -71,8 +71,9 @@ def code_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(words, parts), F.lower))
 
 
-_COMPOUND = "_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
-_COMPOUND_WORD = f"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*?(?:{_COMPOUND}))[A-Za-z0-9_]+"
+# A word is simple if it is "abc", "Abc", "ABC" or "123"; possessive runs tell that in one step each, whatever its length.
+_SIMPLE = "(?:[A-Z]?+[a-z]*+|[A-Z]++|[0-9]++)(?![A-Za-z0-9_])"
+_COMPOUND_WORD = f"(?<![A-Za-z0-9_])(?!{_SIMPLE})[A-Za-z0-9_]++"
 
 
 def indexed_tokens(text: Column) -> Column:
@@ -80,8 +81,9 @@ def indexed_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
     compound = F.array_join(F.regexp_extract_all(text, F.lit(_COMPOUND_WORD), F.lit(0)), " ")
     parts = F.regexp_extract_all(compound, F.lit(fixed.WORD_PART), F.lit(0))
-    # One pass over the joined words is cheaper than a call per word; they are ASCII by now.
-    return F.regexp_extract_all(F.lower(F.array_join(F.concat(words, parts), " ")), F.lit("[a-z0-9_]+"), F.lit(0))
+    every = F.concat(words, parts)
+    # One pass over the joined words is cheaper than a call per word; they are ASCII by now and hold no space.
+    return F.when(F.size(every) == 0, every).otherwise(F.split(F.lower(F.array_join(every, " ")), " "))
 
 
 def squeezed(text: Column) -> Column:

@@ -137,3 +137,17 @@ def test_script_specifiers_have_one_key_for_all_extensions(spark):
     assert got == want and len(want) > 9
     counted = spark.createDataFrame([("a/m.js",)], "t string").select(F.size(graph.js_candidates(F.col("t"))).alias("n"))
     assert counted.first()["n"] == 4
+
+
+def test_compound_words_are_found_in_one_step_each(spark):
+    import re
+
+    from corpusloom.functions import text as X
+
+    frame = spark.createDataFrame([("aB ABc ABC Abc abc 12 a1 1a _x __ A_ AB1 HTTPServer é_aB aé1 fooBar2Baz",), ("",), (" - ",), (None,)], "t string")
+    got = [r[0] for r in frame.select(X.indexed_tokens(F.col("t"))).collect()]
+    assert got[1:] == [[], [], None]
+    words = re.findall("[A-Za-z0-9_]+", frame.first()["t"])
+    mixed = [w for w in words if re.search("_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]", w)]
+    assert got[0] == [w.lower() for w in words + re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", " ".join(mixed), re.ASCII)]
+    assert "(?=[A-Za-z0-9_]*?" not in X._COMPOUND_WORD
