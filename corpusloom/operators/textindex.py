@@ -22,10 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions import words as W
 from corpusloom.scale import top_k
 from corpusloom.session import durable_path, slice_count
 
@@ -35,10 +37,12 @@ SEGMENT = 4096
 SEGMENT_TOKENS = 1 << 20
 GROUP_SEGMENTS = 4
 BUCKETS = 32
+SIEVE_FLAGS = 1 << 20
 FIRST_UNITS = 16
 QUERY_SLICE = 5000
 TIES = ["path", "start_line", "chunk_id"]
 _PLACE = ["chunk_id", "path", "start_line"]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,7 @@ def _segment(batch: pa.Table, names: list[str]) -> pa.RecordBatch:
     number = np.arange(n) - starts[group]
     tokens = [batch.column(f"t_{f}").combine_chunks() for f in FIELDS]
     sizes = [pc.list_value_length(t).fill_null(0).to_numpy(False).astype(np.int64) for t in tokens]
+    lengths = [batch.column(f"l_{f}").combine_chunks().to_numpy(False) for f in FIELDS]
     coded = pa.concat_arrays([t.flatten().cast(pa.string()) for t in tokens]).dictionary_encode()
     field = np.repeat(np.arange(len(FIELDS)), [s.sum() for s in sizes])
     row = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
@@ -94,7 +99,7 @@ def _segment(batch: pa.Table, names: list[str]) -> pa.RecordBatch:
     segment = int.from_bytes(os.urandom(8), "little", signed=True)
     out = [pa.array(np.full(len(every), segment)), repos, tokens_out, _lists(np.concatenate((number[at], number)), every)]
     begins = np.concatenate((heads, len(pair) + starts))
-    for t, size in zip(times, sizes, strict=True):
+    for t, size in zip(times, lengths, strict=True):
         both, length = np.concatenate((t, size)), np.concatenate((size[at], size))
         out.append(_lists(both, every))
         reduce = (lambda f, x: f.reduceat(x, begins)) if len(begins) else (lambda f, x: x)
@@ -109,23 +114,103 @@ def _segment(batch: pa.Table, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names)
 
 
-def segments(chunks: DataFrame, tokens: Callable[[Column], Column], size: int = SEGMENT, most: int = SEGMENT_TOKENS) -> DataFrame:
+def _hashes(values: pa.Array) -> np.ndarray:
+    """A hash for each string, zero for null."""
+    known = pc.is_valid(values).to_numpy(False)
+    return np.where(known, pd.util.hash_array(values.fill_null("").to_numpy(False).astype(object), categorize=False), np.uint64(0))
+
+
+def _places(tokens: np.ndarray, repos: np.ndarray | np.uint64, flags: int) -> np.ndarray:
+    return ((tokens ^ (repos * _ODD)) * _ODD) >> np.uint64(64 - (flags.bit_length() - 1))
+
+
+@dataclass(frozen=True)
+class Sieve:
+    """Tells whether a token may be among the asked ones: never no for one that is, seldom yes for another."""
+
+    sent: Broadcast
+    flags: int
+    free: bool
+
+    def holds(self, tokens: np.ndarray, repos: np.ndarray) -> np.ndarray:
+        held = self.sent.value[_places(tokens, repos, self.flags)]
+        return held | self.sent.value[_places(tokens, np.uint64(0), self.flags)] if self.free else held
+
+
+def sieve_of(asked: DataFrame) -> Sieve:
+    """The sieve of ``asked`` (``repo_id, token``; a NULL repo asks all of them).
+
+    It has 16 flags a key and ``SIEVE_FLAGS`` (a megabyte) at most, which is all that the driver and each task hold. Beyond
+    that it lets more tokens pass; the exact join comes afterwards.
+    """
+    keys = asked.select("repo_id", "token").distinct()
+    count, free = keys.agg(F.count("*"), F.bool_or(F.isnull("repo_id"))).first()
+    flags = min(max(1 << 10, 1 << (16 * max(count, 1) - 1).bit_length()), SIEVE_FLAGS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(_hashes(batch.column("token")), _hashes(batch.column("repo_id")), flags)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int64))], ["place"])
+
+    held = np.zeros(flags, bool)
+    held[keys.mapInArrow(run, "place long").distinct().toPandas()["place"].to_numpy(np.int64)] = True
+    return Sieve(keys.sparkSession.sparkContext.broadcast(held), flags, bool(free))
+
+
+def _listed_pairs(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens, and the pairs of a row and the number of a token, with repeats."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(False)
+    coded = lists.flatten().cast(pa.string()).dictionary_encode()
+    return coded.dictionary, np.repeat(np.arange(len(lists)), sizes), coded.indices.to_numpy(False).astype(np.int64)
+
+
+def _token_batches(batch: pa.RecordBatch, sieve: Sieve | None) -> Iterator[pa.RecordBatch]:
+    """Rows with the lists of their tokens that pass the sieve (``t_``) and the lengths of the whole lists (``l_``).
+
+    The fields come as texts, cut here as ``X.code_tokens`` does, or as lists of tokens.
+    """
+    fields = [batch.column(f"t_{f}") for f in FIELDS]
+    plain = pa.types.is_string(fields[0].type) or pa.types.is_large_string(fields[0].type)
+    for start, stop in W.text_slices(fields) if plain else [(0, batch.num_rows)]:
+        part = batch.slice(start, stop - start)
+        repos = _hashes(part.column("repo_id")) if sieve else None
+        lists, lengths = [], []
+        for f in FIELDS:
+            tokens, row, code = (W.code_token_pairs if plain else _listed_pairs)(part.column(f"t_{f}"))
+            lengths.append(pa.array(np.bincount(row, minlength=part.num_rows)))
+            if sieve:
+                held = sieve.holds(_hashes(tokens)[code], repos[row])
+                row, code = row[held], code[held]
+            ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
+            offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(offsets, tokens.take(pa.array(code))))
+        own = ["repo_id", *_PLACE]
+        names = [*own, *[f"t_{f}" for f in FIELDS], *[f"l_{f}" for f in FIELDS]]
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *lists, *lengths], names)
+
+
+def segments(
+    chunks: DataFrame, tokens: Callable[[Column], Column], size: int = SEGMENT, most: int = SEGMENT_TOKENS, asked: DataFrame | None = None
+) -> DataFrame:
     """The index rows of ``chunks`` (chunk_id, repo_id, path, start_line, content, symbol); a null field has no token.
 
     A segment ends at ``size`` chunks or about ``most`` tokens: a task holds one at a time, however long the chunks are.
+    With ``asked`` (``repo_id, token``) most other tokens are left out; field lengths still count them.
     """
-    lists = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in FIELDS]
+    texts = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in FIELDS}
+    lists = [(text if tokens is X.code_tokens else tokens(text)).alias(f"t_{f}") for f, text in texts.items()]
     rows = chunks.select(F.col("repo_id").cast("string").alias("repo_id"), *_PLACE, *lists)
     kind = {c: rows.schema[c].dataType.simpleString() for c in _PLACE}
     per_field = [f"{f} array<int>, n_{f} long, sum_{f} long, most_{f} long, short_{f} long" for f in FIELDS]
     places = [f"chunk_{c} array<{kind[c]}>" for c in _PLACE]
     schema = ", ".join(["segment long, repo_id string, token string, at array<int>", *per_field, *places])
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    sieve = None if asked is None else sieve_of(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, words = [], 0, 0
-        for batch in batches:
-            sizes = [pc.list_value_length(batch.column(f"t_{f}")).fill_null(0).to_numpy(zero_copy_only=False) for f in FIELDS]
+        for batch in (part for whole in batches for part in _token_batches(whole, sieve)):
+            sizes = [pc.list_value_length(batch.column(f"t_{f}")).to_numpy(zero_copy_only=False) for f in FIELDS]
             ends, start = np.concatenate(([0], np.cumsum(np.sum(sizes, axis=0, dtype=np.int64)))), 0
             while start < batch.num_rows:
                 fits = int(np.searchsorted(ends, ends[start] + most - words, "right")) - 1
@@ -160,8 +245,11 @@ def open_index(spark: SparkSession, path: str) -> TextIndex:
 
 
 def index_for(chunks: DataFrame, asked: DataFrame, tokens: Callable[[Column], Column]) -> TextIndex:
-    """An index that is kept for one batch of queries: only rows of the tokens in ``asked`` are stored."""
-    rows = segments(chunks, tokens).withColumn("bucket", _bucket(F.col("token")))
+    """An index that is kept for one batch of queries: only rows of the tokens in ``asked`` are stored.
+
+    Most others are dropped before the segments are made.
+    """
+    rows = segments(chunks, tokens, asked=asked).withColumn("bucket", _bucket(F.col("token")))
     wanted = asked.select(F.col("token").alias("_token")).distinct()
     kept = rows.join(wanted, F.col("token") == F.col("_token"), "left_outer").where("token IS NULL OR _token IS NOT NULL").drop("_token")
     path = durable_path(chunks.sparkSession, "text-index")
