@@ -40,6 +40,8 @@ BUCKETS = 32
 SIEVE_FLAGS = 1 << 20
 FIRST_UNITS = 16
 QUERY_SLICE = 5000
+SENT_TOKENS = 100_000
+SENT_ROWS = 1 << 15
 TIES = ["path", "start_line", "chunk_id"]
 _PLACE = ["chunk_id", "path", "start_line"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,6 +116,12 @@ def _segment(batch: pa.Table, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names)
 
 
+def _sent(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A segment in pieces: the other side holds one at a time, outside its heap."""
+    for start in range(0, rows.num_rows, SENT_ROWS):
+        yield rows.slice(start, SENT_ROWS)
+
+
 def _hashes(values: pa.Array) -> np.ndarray:
     """A hash for each string, zero for null."""
     known = pc.is_valid(values).to_numpy(False)
@@ -218,10 +226,10 @@ def segments(
                 held.append(batch.slice(start, stop - start))
                 count, words, start = count + stop - start, words + int(ends[stop] - ends[start]), stop
                 if count >= size or words >= most or start < batch.num_rows:
-                    yield _segment(pa.Table.from_batches(held), names)
+                    yield from _sent(_segment(pa.Table.from_batches(held), names))
                     held, count, words = [], 0, 0
         if count:
-            yield _segment(pa.Table.from_batches(held), names)
+            yield from _sent(_segment(pa.Table.from_batches(held), names))
 
     return rows.mapInArrow(run, schema)
 
@@ -369,7 +377,12 @@ def search(
     terms = _saved(terms.select("query_id", "segment", "repo_id", "token", "bucket", "bound", *weights), "terms")
     units = terms.groupBy("query_id", "segment", "repo_id").agg(F.sum("bound").alias("bound"), F.collect_list("token").alias("tokens"))
     units = _saved(top_k(units, ["query_id"], [F.desc("bound"), F.col("segment"), F.col("repo_id")], (1 << 31) - 1, "turn"), "units")
-    slices = ceil(asked.select("query_id").distinct().count() / QUERY_SLICE) or 1
+    many, tokens = asked.agg(F.count_distinct("query_id"), F.count_distinct("token")).first()
+    slices = ceil(many / QUERY_SLICE) or 1
+    # Postings that nobody asks for stay where they are; above ``SENT_TOKENS`` the join alone sorts them out.
+    asked_postings = index.postings
+    if tokens <= SENT_TOKENS:
+        asked_postings = asked_postings.join(F.broadcast(asked.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")
     kind_of = {c: index.rows.schema[f"chunk_{c}"].dataType.elementType.simpleString() for c in _PLACE}
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kind_of[c]}" for c in _PLACE) + ", score double"
     run = _unit_best(_gain(kind, k1, b), k, ["query_id", *_PLACE, "score"])
@@ -379,16 +392,17 @@ def search(
     slice_of = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
 
     def best_of(some: DataFrame) -> DataFrame:
+        # Terms, units and homes grow with the index, and their files compress so well that the planner takes them for small.
         at = ["segment", "repo_id"]
         mine = some.select("query_id", *at, "tokens", slice_of.alias("slice"))
-        needed = terms.join(some.select("query_id", *at), ["query_id", "segment"]).where(terms["repo_id"].eqNullSafe(some["repo_id"]))
+        needed = terms.join(some.select("query_id", *at).hint("merge"), ["query_id", "segment"]).where(terms["repo_id"].eqNullSafe(some["repo_id"]))
         needed = needed.select(terms["segment"], terms["repo_id"], "token", "bucket", *weights, slice_of.alias("slice")).distinct()
         needed = needed.withColumnsRenamed({"segment": "_s", "repo_id": "_r", "token": "_t", "bucket": "_b"})
         same = (F.col("segment") == F.col("_s")) & F.col("repo_id").eqNullSafe(F.col("_r"))
-        hits = index.postings.join(needed, same & (F.col("bucket") == F.col("_b")) & (F.col("token") == F.col("_t")))
+        hits = asked_postings.join(needed.hint("merge"), same & (F.col("bucket") == F.col("_b")) & (F.col("token") == F.col("_t")))
         homes = needed.select("_s", "_r", "slice").distinct()
         empty = [F.lit(None).cast("double").alias(w) for w in weights]
-        own = index.lengths.join(homes, same).select("*", *empty)
+        own = index.lengths.join(homes.hint("merge"), same).select("*", *empty)
         wide = [*at, "token", "at", *FIELDS, *[f"chunk_{c}" for c in _PLACE], *weights, "slice"]
         rows = hits.select(*wide).unionByName(own.select(*wide))
         home = F.xxhash64("segment", F.col("repo_id").isNull(), "repo_id", "slice")
