@@ -7,19 +7,24 @@ centroid; so each half gives every centroid a least distance, and a cell's is th
 multi-sequence traversal goes through the two sorted lists of least distances, nearest cells first, and stops where
 the sum passes ``r^2``. No cell beyond holds a link, so the target recall is 1. What is visited is then verified by
 cosine in double precision.
+
+Neighbouring cells form areas. A vector is sent once to each area where it visits a cell, with a bit for each cell there,
+and not once for each cell: what is shuffled grows with the number of areas, which are as large as a task can hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import isqrt
+from dataclasses import dataclass
+from math import ceil, isqrt, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import mix64, stored
 from corpusloom.llm.components import connected, merged
 from corpusloom.llm.rotated_codes import cosine, usable
 
@@ -27,6 +32,10 @@ SAMPLE = 20_000
 CELL = 128
 MOST = 512
 TILE = 2048
+STEP = 2048
+HELD = 1 << 22
+PASSING = 1 << 20
+GROUPS = 3
 
 
 def codebook(points: np.ndarray, size: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -73,59 +82,206 @@ def traversal(first: np.ndarray, second: np.ndarray, limit: float) -> np.ndarray
     return (i * len(second) + j)[order]
 
 
-def _assigned(distinct: DataFrame, books: tuple[np.ndarray, np.ndarray], limit: float) -> DataFrame:
-    """``distinct`` with its own cell and the cells to visit (own and higher: a link is seen from its lower side)."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Vectors as bytes: four a component where that is exact, else eight."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return _binary(short if np.array_equal(short.astype(np.float64), x) else x.astype("<f8"))
+
+
+def unpacked(values: pa.Array, dim: int) -> np.ndarray:
+    size, out = pc.binary_length(values).to_numpy(zero_copy_only=False), np.empty((len(values), dim))
+    for kind in ("<f4", "<f8"):
+        at = np.flatnonzero(size == dim * np.dtype(kind).itemsize)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(values.take(pa.array(at)).to_pylist()), kind).reshape(-1, dim)
+    return out
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _assigned(distinct: DataFrame, books: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``distinct`` with its own cell; vectors as bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for start in range(0, len(whole), 2048):
-                frame = whole.iloc[start : start + 2048]
-                x = np.stack(frame["vector"].to_numpy())
-                x = x / np.sqrt((x * x).sum(1))[:, None]
-                half = x.shape[1] // 2
-                own1, near1 = least_squares(x[:, :half], books[0])
-                own2, near2 = least_squares(x[:, half:], books[1])
-                own = own1 * len(books[1]) + own2
-                visits = [traversal(a, b, limit) for a, b in zip(near1, near2, strict=True)]
-                yield frame.assign(cell=own.astype("int64"), visits=[v[v >= o] for v, o in zip(visits, own, strict=True)])
-
-    return distinct.mapInPandas(run, "rep long, copies long, vector array<double>, cell long, visits array<long>")
-
-
-def _verified(least: float):
-    """Links between the members of a cell (left) and those that visit it (right)."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        m, q = (np.stack(f["vector"].to_numpy()) for f in (left, right))
-        reps, asks = left["rep"].to_numpy(), right["rep"].to_numpy()
-        unit = m / np.sqrt((m * m).sum(1))[:, None]
-        inside = right["cell"].to_numpy() == left["cell"].iloc[0]
-        names = np.unique(np.concatenate([reps, asks]))
-        here, there = np.searchsorted(names, reps), np.searchsorted(names, asks)
-        labels, total = np.arange(len(names)), np.zeros(len(names), np.int64)
-        copies_m, copies_q = left["copies"].to_numpy(), right["copies"].to_numpy()
-        for start in range(0, len(q), 512):
-            part = slice(start, start + 512)
-            rows = q[part] / np.sqrt((q[part] * q[part]).sum(1))[:, None]
-            near = rows @ unit.T
-            i, j = np.nonzero(near >= least - 1e-9)
-            true = near[i, j] >= least + 1e-9
-            close = np.flatnonzero(~true)
-            if len(close):
-                true[close] = cosine(q[part][i[close]], m[j[close]]) >= least
-            # Inside one cell both sides see a link: it counts where the visitor has the smaller id.
-            true &= (asks[part][i] < reps[j]) | (~inside[part][i] & (asks[part][i] != reps[j]))
-            i, j = i[true] + start, j[true]
-            np.add.at(total, there[i], copies_m[j])
-            np.add.at(total, here[j], copies_q[i])
-            labels = merged(labels, there[i], here[j])
+            for start in range(0, whole.num_rows, STEP):
+                batch = whole.slice(start, STEP)
+                vectors = np.stack(batch.column("vector").to_numpy(zero_copy_only=False))
+                x, half = _unit(vectors), vectors.shape[1] // 2
+                own1, _ = least_squares(x[:, :half], books[0])
+                own2, _ = least_squares(x[:, half:], books[1])
+                own = pa.array((own1 * len(books[1]) + own2).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), packed(vectors), own], ["rep", "copies", "vector", "cell"])
+
+    return distinct.mapInArrow(run, "rep long, copies long, vector binary, cell long")
+
+
+@dataclass(frozen=True)
+class Areas:
+    """Runs of neighbouring cells; a task holds the members of an area, or of a piece of it, and sees its visitors pass.
+
+    ``of`` and ``used`` tell a cell's area and whether it has members, ``starts`` the first cell of each area. An area's
+    members are dealt over its ``pieces``, its visitors over ``turns``; ``base`` is the number of its first group.
+    """
+
+    of: np.ndarray
+    used: np.ndarray
+    starts: np.ndarray
+    pieces: np.ndarray
+    turns: int
+
+    @property
+    def base(self) -> np.ndarray:
+        return (np.cumsum(self.pieces) - self.pieces) * self.turns
+
+    @property
+    def groups(self) -> int:
+        return int(self.pieces.sum()) * self.turns
+
+
+def areas_of(members: np.ndarray, dim: int, groups: int) -> Areas:
+    """Areas for cells with so many members.
+
+    A vector is sent once a turn and once for each area that it visits, so both numbers are kept small: members fill what a
+    task may hold, and there are about ``groups`` groups unless that takes more.
+    """
+    n = int(members.sum())
+    most = max(1, min(HELD // dim, max(TILE, ceil(n / ceil(sqrt(2 * groups))))))
+    _, of = np.unique((np.cumsum(members) - members) // most, return_inverse=True)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    pieces = np.maximum(np.ceil(np.bincount(of, members) / (2 * most)).astype(np.int64), 1)
+    turns = max(min(ceil(groups / pieces.sum()), ceil(n / TILE)), ceil(n / PASSING), 1)
+    return Areas(of, members > 0, starts, pieces, turns)
+
+
+def _sent(cells: DataFrame, books: tuple[np.ndarray, np.ndarray], limit: float, areas: Areas) -> DataFrame:
+    """Rows for the groups: members (``visits`` is null), and visitors with the cells of the area that they visit, as bits.
+
+    A vector visits its own cell and higher ones: a link is seen from its lower side.
+    """
+    half, dim, size = books[0].shape[1], books[0].shape[1] + books[1].shape[1], len(areas.of)
+    step, ends = max(1, min(STEP, (1 << 24) // size)), np.append(areas.starts[1:], size)
+    names = ["home", "visits", "rep", "copies", "vector", "cell"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, step) for whole in parts for i in range(0, whole.num_rows, step)):
+            own, rep = batch.column("cell").to_numpy(), batch.column("rep").to_numpy()
+            piece, turn = mix64(rep.astype(np.uint64)), (mix64(rep.astype(np.uint64) ^ np.uint64(1 << 63)) % np.uint64(areas.turns)).astype(np.int64)
+            columns = [batch.column(c) for c in names[2:]]
+            home = areas.base[areas.of[own]] + (piece % areas.pieces[areas.of[own]].astype(np.uint64)).astype(np.int64) * areas.turns
+            for i in range(areas.turns):
+                yield pa.RecordBatch.from_arrays([pa.array(home + i), pa.nulls(len(own), pa.binary()), *columns], names)
+            x = _unit(unpacked(batch.column("vector"), dim))
+            near1, near2 = least_squares(x[:, :half], books[0])[1], least_squares(x[:, half:], books[1])[1]
+            seen = np.zeros((len(own), size), bool)
+            for row, o, a, b in zip(seen, own, near1, near2, strict=True):
+                visits = traversal(a, b, limit)
+                row[visits[visits >= o]] = True
+            seen &= areas.used
+            for area, (start, end) in enumerate(zip(areas.starts, ends, strict=True)):
+                at = np.flatnonzero(seen[:, start:end].any(1))
+                if not len(at):
+                    continue
+                there, bits = [c.take(pa.array(at)) for c in columns], _binary(np.packbits(seen[at, start:end], axis=1))
+                for i in range(areas.pieces[area]):
+                    home = areas.base[area] + i * areas.turns + turn[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(home), bits, *there], names)
+
+    return cells.mapInArrow(run, "home long, visits binary, rep long, copies long, vector binary, cell long")
+
+
+class _Members:
+    """The members of an area (or a piece of it), and the links found so far."""
+
+    def __init__(self, rows: pa.Table, dim: int, least: float, start: int) -> None:
+        rows = rows.sort_by("cell").combine_chunks()
+        self.reps, self.copies, self.cells = (rows[c].to_numpy() for c in ("rep", "copies", "cell"))
+        self.vectors = unpacked(rows["vector"].combine_chunks(), dim)
+        self.unit = _unit(self.vectors)
+        self.begin = np.flatnonzero(np.diff(self.cells, prepend=-1))
+        self.end = np.append(self.begin[1:], len(self.cells))
+        self.total, self.labels = np.zeros(len(self.reps), np.int64), np.arange(len(self.reps))
+        self.dim, self.least, self.start = dim, least, start
+
+    def met(self, visitors: pa.RecordBatch) -> pa.RecordBatch:
+        """Links of some visitors: their number, and one linked member."""
+        asks, copies, own = (visitors.column(c).to_numpy() for c in ("rep", "copies", "cell"))
+        q = unpacked(visitors.column("vector"), self.dim)
+        unit, total, root = _unit(q), np.zeros(len(q), np.int64), np.full(len(q), -1)
+        bits = np.frombuffer(b"".join(visitors.column("visits").to_pylist()), np.uint8).reshape(len(q), -1)
+        bits = np.ascontiguousarray(np.unpackbits(bits, axis=1).T)
+        for begin, end in zip(self.begin, self.end, strict=True):
+            here = np.flatnonzero(bits[self.cells[begin] - self.start])
+            for some in (here[i : i + 512] for i in range(0, len(here), 512)):
+                for first in range(begin, end, TILE):
+                    part = slice(first, min(first + TILE, end))
+                    near = unit[some] @ self.unit[part].T
+                    i, j = np.nonzero(near >= self.least - 1e-9)
+                    true = near[i, j] >= self.least + 1e-9
+                    i, j = some[i], j + first
+                    close = np.flatnonzero(~true)
+                    if len(close):
+                        true[close] = cosine(q[i[close]], self.vectors[j[close]]) >= self.least
+                    # Inside one cell both sides see a link: it counts where the visitor has the smaller id.
+                    inside = own[i] == self.cells[begin]
+                    true &= (asks[i] < self.reps[j]) | (~inside & (asks[i] != self.reps[j]))
+                    i, j = i[true], j[true]
+                    np.add.at(total, i, self.copies[j])
+                    np.add.at(self.total, j, copies[i])
+                    new = root[i] < 0
+                    root[i[new]] = j[new]
+                    self.labels = merged(self.labels, root[i], j)
         some = np.flatnonzero(total)
-        return pd.DataFrame({"node": names[some], "n": total[some], "root": names[labels[some]]})
+        return _found(asks[some], total[some], self.reps[root[some]])
+
+    def all(self) -> pa.RecordBatch:
+        """Links of the members, and the smallest member that each hangs together with."""
+        some = np.flatnonzero(self.total)
+        return _found(self.reps[some], self.total[some], self.reps[self.labels[some]])
+
+
+def _found(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "n", "root"])
 
-    return run
+
+def _verified(sent: DataFrame, dim: int, least: float, areas: Areas) -> DataFrame:
+    """(node, n, root): each group's members are held, its visitors come after them."""
+    area = np.repeat(np.arange(len(areas.pieces)), areas.pieces * areas.turns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, held, members = -1, [], None
+        for batch in batches:
+            homes, asks = batch.column("home").to_numpy(), pc.is_valid(batch.column("visits")).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(homes * 2 + asks)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(homes)], strict=True):
+                if homes[start] != home:
+                    if members:
+                        yield members.all()
+                    home, held, members = homes[start], [], None
+                if not asks[start]:
+                    held.append(batch.slice(start, end - start))
+                    continue
+                if held:
+                    members, held = _Members(pa.Table.from_batches(held), dim, least, areas.starts[area[home]]), []
+                if members:  # a piece may be empty
+                    for i in range(start, end, STEP):
+                        yield members.met(batch.slice(i, min(STEP, end - i)))
+        if members:
+            yield members.all()
+
+    dealt = sent.repartitionById(areas.groups, F.col("home").cast("int"))
+    return dealt.sortWithinPartitions("home", F.isnotnull("visits")).mapInArrow(run, "node long, n long, root long")
 
 
 def _links(distinct: DataFrame, least: float) -> DataFrame:
@@ -135,27 +291,15 @@ def _links(distinct: DataFrame, least: float) -> DataFrame:
     drawn = distinct.where(F.pmod(F.xxhash64(F.lit(9), "rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     points = np.stack([np.array(r["vector"]) for r in drawn.select("vector").collect()] or [np.array(distinct.first()["vector"])])
     points = points / np.sqrt((points * points).sum(1))[:, None]
-    size, half = min(MOST, max(2, isqrt(n // CELL))), points.shape[1] // 2
-    books = codebook(points[:, :half], size), codebook(points[:, half:], size)
-    cells = stored(_assigned(distinct, books, 2 - 2 * least + 1e-9), "imi-cells")
-    members = cells.groupBy("cell").agg(F.count("*").alias("m"))
-    visitors = cells.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("v"))
+    size, dim = min(MOST, max(2, isqrt(n // CELL))), points.shape[1]
+    books = codebook(points[:, : dim // 2], size), codebook(points[:, dim // 2 :], size)
+    cells = stored(_assigned(distinct, books), "imi-cells")
     # At most MOST^2 cells: a bounded table.
-    counts = members.join(visitors, "cell").select(
-        F.col("cell").alias("at"), F.ceil(F.col("m") / TILE).cast("int").alias("ms"), F.ceil(F.col("v") / (2 * TILE)).cast("int").alias("vs")
-    )
-    counts = F.broadcast(stored(counts, "imi-counts"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    held = cells.join(counts, F.col("cell") == F.col("at"))
-    held = held.select("rep", "copies", "vector", "cell", "at", part("ms").alias("mp"), every("vs").alias("vp"))
-    asks = cells.select("rep", "copies", "vector", "cell", F.explode("visits").alias("visit"))
-    asks = asks.join(counts, F.col("visit") == F.col("at"))
-    asks = asks.select("rep", "copies", "vector", "cell", "at", every("ms").alias("mp"), part("vs").alias("vp"))
-    keys = ["at", "mp", "vp"]
-    asks = asks.toDF(*asks.columns)  # names of its own: both sides come from one table
-    pairs = held.groupBy(*keys).cogroup(asks.groupBy(*keys))
-    return pairs.applyInPandas(_verified(least), "node long, n long, root long")
+    counts = cells.groupBy("cell").agg(F.count("*").alias("m")).toPandas()
+    members = np.zeros(len(books[0]) * len(books[1]), np.int64)
+    members[counts["cell"].to_numpy()] = counts["m"].to_numpy()
+    areas = areas_of(members, dim, GROUPS * distinct.sparkSession.sparkContext.defaultParallelism)
+    return _verified(_sent(cells, books, 2 - 2 * least + 1e-9, areas), dim, least, areas)
 
 
 def near_duplicates(
@@ -173,7 +317,7 @@ def near_duplicates(
     good = good.withColumn("vector", plain)
     key = F.struct(F.xxhash64("vector"), F.xxhash64(F.lit(1), F.reverse("vector")))
     good = good.withColumn("key", key)
-    once = stored(good.groupBy("key", "vec_id").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim")), "imi-vectors")
+    once = good.groupBy("key", "vec_id").agg(F.first("vector").alias("vector"), F.first("dim").alias("dim"))
     distinct = stored(
         once.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("dim").alias("dim")),
         "imi-distinct",
@@ -192,7 +336,7 @@ def near_duplicates(
     named = distinct.join(sums, F.col("rep") == F.col("node"), "left").select(
         "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    linked = once.select("key", "vec_id").join(named, "key").groupBy("vec_id").agg(
+    linked = good.select("key", "vec_id").distinct().join(named, "key").groupBy("vec_id").agg(
         F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id")
     )
     out = everything.join(linked, "vec_id", "left")
